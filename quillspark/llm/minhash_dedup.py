@@ -20,7 +20,7 @@ set size and hash; an empty table gives an empty result; other columns are not l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lowered, mix, settle, shingle_sets, sub_batches
-from .components import components
+from .linking import linked
 
 SKETCH, PREFIX, COMMON, OVERLAP, SLACK = 48, 20, 64, 3, 0.35
 
 
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """rows (id, text) to (id, shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw, bounds in sub_batches(batches, "text"):
-            sets = shingle_sets(lowered(raw), bounds, words)
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "shingles"])
-
-    return rows.mapInArrow(run, "id long, shingles array<long>")
-
-
 def sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
     """rows (id, text) to (id, n, print_a, print_b, sketch): set size, two hashes of the whole set, the k smallest of it."""
 
@@ -74,19 +61,17 @@ def _listed(reps: DataFrame, prefix: int, common: int) -> DataFrame:
     return both.select("id", "n", F.size("hot").alias("centre"), F.array_intersect(F.concat(rare, fill), "shared").alias("values")).where(F.size("values") > 0)
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, percent: int, slack: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: first by the union of both sketches, then by the full sets."""
+def _likely(reps: DataFrame, percent: int, slack: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (a, b) whose similarity, estimated from the union of both sketches, is near the threshold."""
     sketch = reps.select("id", "sketch")
-    near = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
-    # a union sketch is sound up to the smaller of the two last values, where a sketch holds less than its set
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, F.greatest(F.size("sketch_a"), F.size("sketch_b")))
-    estimate = F.size(F.array_intersect(F.array_intersect(union, "sketch_a"), "sketch_b")) / F.size(union)
-    near = settle(near.where(estimate >= percent / 100 - slack).select("a", "b"))
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    sets = settle(_sets(rows.join(wanted, "id", "left_semi"), words))
-    joined = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return settle(joined.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
+
+    def run(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sketch.toDF("a", "sketch_a"), "a").join(sketch.toDF("b", "sketch_b"), "b")
+        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, F.greatest(F.size("sketch_a"), F.size("sketch_b")))
+        estimate = F.size(F.array_intersect(F.array_intersect(union, "sketch_a"), "sketch_b")) / F.size(union)
+        return near.where(estimate >= percent / 100 - slack).select("a", "b")
+
+    return run
 
 
 def near_groups(
@@ -112,30 +97,7 @@ def near_groups(
     known = settle(table.join(classes, ["print_a", "print_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")))
     reps = known.where(F.col("sketch").isNotNull()).select("id", "n", "sketch")
     listed = settle(_listed(reps, prefix, common))
-    lists = listed.select("id", "n", "centre", F.explode("values").alias("value"))
-    hubs = lists.groupBy("value").agg(F.min(F.struct(-F.col("centre"), "id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    fair = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = lists.join(hubs.select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "value").where(F.col("id") != F.col("hub")).where(fair(F.col("n"), F.col("hub_n")))
-    pairs = stars.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= overlap)
-    links = _confirm(pairs.select("a", "b"), reps, rows, words, percent, slack)
-    found = components(links)
-
-    placed = listed.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = settle(placed.select("id", "n", "component", F.explode("values").alias("value")))
-    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("value", "members")
-    open_ = settle(placed.join(split, "value"))
-    # members of long lists: the shingles that no other such member has cannot be shared
-    long_ = open_.where(F.col("members") > common).select("id").distinct()
-    long_sets = _sets(rows.join(long_, "id", "left_semi"), words)
-    lone = long_sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    bound = settle(open_.join(lone, "id", "left").withColumn("rest", F.col("n") - F.when(F.col("members") > common, F.coalesce("lone", F.lit(0))).otherwise(0)).select("value", "id", "n", "component", "rest"))
-    x, y = bound.alias("x"), bound.alias("y")
-    least = F.least("x.rest", "y.rest")
-    cross = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * least >= percent * (F.col("x.n") + F.col("y.n") - least)))
-    pairs = cross.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= overlap)
-    more = _confirm(pairs.select("a", "b"), reps, rows, words, percent, slack)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    found = linked(listed, rows, words, percent, common, overlap, _likely(reps, percent, slack))
     return known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, minhash_dedup, mixing, packing, topk_search
+from . import exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, paragraph_dedup, preferences, substring_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.format_pairs(preferences.swapped_answers(preferences.conversations(table(spark, sf_dir, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return pairs.select(F.col("id").alias("conv_id"), "prefix_turns", "prompt", "chosen_text", spans("chosen_spans").alias("chosen_spans"), "rejected_text", spans("rejected_spans").alias("rejected_spans"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -37,15 +43,33 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.paragraph_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a document's place in its source's tree follows from its id: source/d<id div 100>/d<id div 10>/<id>
+    up = lambda n: F.concat(F.lit("d"), F.floor(F.col("doc_id") / n).cast("string"))
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), up(100), up(10), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan.scan(files, "doc_id", "path", "text").withColumnRenamed("id", "doc_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, sources = mixing.mix(table(spark, sf_dir, "documents"))
     own = docs.withColumn("source", F.col("members")[0])
@@ -55,10 +79,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_preferences": op2_preferences,
         "op3_language_id": op3_language_id,
         "op4_packing": op4_packing,
+        "op5_paragraph_dedup": op5_paragraph_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_topk_search": op8_topk_search,
+        "op9_license_scan": op9_license_scan,
         "op10_mixing": op10_mixing,
     }
 
