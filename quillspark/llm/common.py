@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SUB_BATCH_BYTES = 1 << 21
@@ -22,13 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and outlives lost executors."""
+def settle(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and outlives lost executors. files: at most so many."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df on the executors' disks while later jobs read it again; a lost part is computed again from its inputs.
+
+    For small results between settled tables. They go with the session, or with spark.catalog.clearCache().
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def binary_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, end to end, and the offsets of its rows; null reads as empty."""
     column = column.cast(pa.large_binary())

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import hold, settle
 
 SEGMENT_KEYS = 1 << 15
 SLOTS_PER_KEY = 16
@@ -90,7 +90,7 @@ def flag_possible_repeats(rows: DataFrame, keys: DataFrame, filter_bytes: int =
     spark = rows.sparkSession
     segments = max(1, -(-keys.count() // SEGMENT_KEYS))
     step = max(1, filter_bytes // (SEGMENT_KEYS * SLOTS_PER_KEY // 8))
-    bits = settle(repeat_filter(keys, segments))
+    bits = hold(repeat_filter(keys, segments))
     at = rows.columns.index("digest")
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", again boolean"
     out = None
@@ -120,7 +120,7 @@ def flag_possible_repeats(rows: DataFrame, keys: DataFrame, filter_bytes: int =
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row for each row of docs: id, keep_id (largest id of its text), group_size, kept, digest."""
     keys = settle(digests(docs, id_col, text_col))
-    flagged = settle(flag_possible_repeats(keys, keys, filter_bytes))
+    flagged = hold(flag_possible_repeats(keys, keys, filter_bytes))
     lone = flagged.where(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     some = flagged.where("again")
     groups = some.groupBy("digest").agg(F.max(F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("at"), "tag", "id")).alias("best"), F.count(F.lit(1)).alias("group_size"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settle
+from .common import hold
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -123,7 +123,7 @@ def mix(
     """
     kind = dict(docs.dtypes)[sources]
     member = F.col(sources) if kind.startswith("array") else F.array(F.col(sources).cast("string"))
-    rows = settle(
+    rows = hold(
         docs.select(
             F.col(id_col).cast("long").alias("id"),
             F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string"))))).alias("members"),
@@ -155,7 +155,7 @@ def mix(
     filled = dealt.groupBy("members", "bin").agg(F.sum("size").alias("held"), F.first("want").alias("whole"))
     before = F.coalesce(F.sum("held").over(W.partitionBy("members").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     edges = filled.withColumn("before", before).select("members", "bin", F.when(F.col("before") + F.col("held") <= F.col("whole"), -1).otherwise(F.greatest(F.col("whole") - F.col("before"), F.lit(0))).alias("rest"))
-    met = settle(dealt.join(edges, ["members", "bin"]))
+    met = hold(dealt.join(edges, ["members", "bin"]))
     plain = met.where("rest <= 0").select("id", "members", "size", "base", ((F.col("rest") < 0) & (F.col("size") > 0)).alias("extra"))
     edge = met.where("rest > 0").withColumn("want", F.col("rest")).groupBy("members", "bin").applyInPandas(_fill, "id long, members array<string>, size long, base long, extra boolean")
     out = plain.unionByName(edge).select("id", "members", "size", (F.col("size") * (F.col("base") + F.col("extra").cast("long"))).alias("taken"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, binary_view, mix, powers, settle
+from .common import _BYTE, binary_view, hold, mix, powers, settle
 
 LENGTH, WINDOW = 50, 16
 CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 1 << 21, 60_000, 12 << 20
@@ -220,7 +220,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]] * n), pa.array(bucket), bin_(trigger), bin_(key), bin_(doc), bin_([r["ids"]] * n)], ["chunk", "bucket", "trigger", "key", "doc", "ids"])
 
     form = "chunk long, kind int, bucket long, answer binary"
-    phrases = settle(table.mapInArrow(ask, "chunk long, bucket long, trigger binary, key binary, doc binary, ids binary").groupBy("bucket").applyInPandas(_phrases, form))
+    phrases = hold(table.mapInArrow(ask, "chunk long, bucket long, trigger binary, key binary, doc binary, ids binary").groupBy("bucket").applyInPandas(_phrases, form))
 
     def look(key: tuple, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"chunk": [], "bucket": [], "key": [], "doc": [], "ids": []}
@@ -236,7 +236,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     by_chunk = table.groupBy("chunk")
     inner = by_chunk.cogroup(phrases.groupBy("chunk")).applyInPandas(look, "chunk long, bucket long, key binary, doc binary, ids binary")
-    suffixes = settle(inner.groupBy("bucket").applyInPandas(_suffixes, form))
+    suffixes = hold(inner.groupBy("bucket").applyInPandas(_suffixes, form))
 
     def cut(key: tuple, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"id": [], "n_bytes": [], "spans": [], "kept": []}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settle
+from .common import hold
 
 SHARD_ROWS, QUERY_BLOCK, LEAF = 1 << 14, 1 << 10, 64
 SCALE = 1024.0
@@ -125,7 +125,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     small = dim * (wide["m"] * scale + 1) ** 2 < 2**53
     kind = np.float64 if small else object
     shards = max(1, -(-wide["n"] // shard_rows))
-    rows = settle(whole.where(F.size("v") == dim).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")))
+    rows = hold(whole.where(F.size("v") == dim).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")))
     queries = rows.where(F.col("id") % every == 0)
     blocks = max(1, -(-wide["n"] // every // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
 
     # each shard goes to every block of queries: rows / every / QUERY_BLOCK of them
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "id", "v")
-    near = settle(search(first.select(F.col("home").alias("shard"), "block", "id", "v"), spread))
+    near = hold(search(first.select(F.col("home").alias("shard"), "block", "id", "v"), spread))
     line = near.groupBy("query_id").agg(F.min("score").alias("line"), F.count(F.lit(1)).alias("found")).select(F.col("query_id").alias("id"), F.when(F.col("found") >= k, F.col("line")).alias("line"))
     others = first.join(line, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
     far = search(others.select("shard", "block", "id", "v", F.col("line").cast("double").alias("line")), spread) if shards > 1 else near.limit(0)
