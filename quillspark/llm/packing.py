@@ -27,7 +27,9 @@ from .common import sub_batches, word_hashes, word_spans
 MAX_TOKENS, MAX_SEGMENTS = 4096, 256
 END_ID = 2
 OPEN_BINS = 48
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+BATCH_BYTES = 1 << 22
+ODD_SPACE = regex.compile(r"[^\S\n]")  # white space that does not end a word here, but does in the tokenizer
 
 
 class WordTokens:
@@ -48,14 +50,30 @@ class WordTokens:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.pieces: dict[str, bytes] = {}
         self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        # words met before: their hashes in order, and where the ids of each are in `flat`
+        self.keys, self.base, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of each word."""
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        plain = [bool(w.isascii() and "<|" not in w) or ("<|" not in w and "\x85" not in w and not any(c.isspace() for c in w)) for w in words]
-        parts = [self.split.findall(unicodedata.normalize("NFC", w).lower() if not w.isascii() else w.lower()) if ok else [] for w, ok in zip(words, plain)]
-        new = list({x for p in parts for x in p} - self.pieces.keys())
+        text = "\n".join(words)
+        odd = "<|" in text or ODD_SPACE.search(text)
+        plain = [not (odd and ("<|" in w or ODD_SPACE.search(w))) for w in words]
+        # the tokenizer lower-cases letter by letter, so a final sigma is like any other
+        low = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower().split("\n")
+        parts = []
+        for w in low:
+            if w.isalpha():
+                parts.append((w,))
+            elif w[-1] in ".," and w[:-1].isalpha():
+                parts.append((w[:-1], w[-1]))
+            else:
+                parts.append(self.split.findall(w))
+        new = list({x for p, ok in zip(parts, plain) if ok for x in p} - self.pieces.keys())
         for lo in range(0, len(new), 512):
             some = new[lo : lo + 512]
             ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -68,26 +86,34 @@ class WordTokens:
             else:
                 for x in some:
                     self.pieces[x] = np.array(self.bare.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for w, ok, p in zip(words, plain, parts):
-            out.append(b"".join([self.pieces[x] for x in p]) if ok else np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
-        return out
+        known = self.pieces
+        return [b"".join([known[x] for x in p]) if ok else np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w, ok, p in zip(words, plain, parts)]
 
     def rows(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and the offsets of the rows."""
         starts, ends, first = word_spans(raw, bounds)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
-        _, sample, which = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        known = self.words([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[sample].tolist(), ends[sample].tolist())])
-        size = np.array([len(x) for x in known], np.int64) // 4
-        flat = np.frombuffer(b"".join(known), "<u4")
-        base = np.cumsum(size) - size
-        n = size[which]
+        if len(self.keys) > self.most:
+            self._forget()
+        hashes = word_hashes(raw, starts, ends)
+        at = np.searchsorted(self.keys, hashes)
+        miss = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != hashes) if len(self.keys) else np.arange(len(hashes))
+        if len(miss):
+            fresh, sample = np.unique(hashes[miss], return_index=True)
+            sample, data = miss[sample], raw.tobytes()
+            got = self.words([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[sample].tolist(), ends[sample].tolist())])
+            size = np.array([len(x) for x in got], np.int64) // 4
+            into = np.searchsorted(self.keys, fresh)
+            self.keys = np.insert(self.keys, into, fresh)
+            self.base = np.insert(self.base, into, len(self.flat) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, into, size)
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(got), "<u4")))
+            at = np.searchsorted(self.keys, hashes)
+        n = self.size[at]
         stop = np.cumsum(n)
-        at = np.arange(int(stop[-1])) + np.repeat(base[which] - (stop - n), n)
-        return flat[at], np.concatenate(([0], stop))[first]
+        take = np.arange(int(stop[-1])) + np.repeat(self.base[at] - (stop - n), n)
+        return self.flat[take], np.concatenate(([0], stop))[first]
 
 
 class Bins:
@@ -234,7 +260,7 @@ def pack(
                     del kept[row]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.binary())], names)
 
-        for rows, raw, bounds in sub_batches(batches, "text"):
+        for rows, raw, bounds in sub_batches(batches, "text", BATCH_BYTES):
             flat, offsets = tokens.rows(raw, bounds)
             out = []
             for k, (doc, loss) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist())):
