@@ -10,7 +10,7 @@ in blocks of `QUERY_BLOCK`, and each pair of a shard and a block is one unit of
 
 Defined cases: vectors that are null, hold null or non-finite components, or have another length than most take no part; so do
 rows without an id; a repeated id is a row of its own, but no row is a candidate for a query of its own id; with fewer than k
-candidates all are returned; empty tables give an empty result; other columns are not looked at.
+candidates all are returned; a score beyond 64 bits is reported as the nearest 64-bit number; empty tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .common import hold
 
 SHARD_ROWS, QUERY_BLOCK, LEAF = 1 << 14, 1 << 10, 64
 SCALE = 1024.0
+MOST = 2**63 - 1
 
 
 class BallTree:
@@ -138,17 +139,18 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         out = []
         if len(points) and len(asked):
             tree = BallTree(points["id"].to_numpy(np.int64), as_matrix(points["v"]))
-            q = as_matrix(asked["v"])
-            floors = asked["line"] if "line" in asked else [None] * len(asked)
-            for i, (query, line) in enumerate(zip(asked["id"].tolist(), floors)):
-                out += [(query, v, s) for s, v in tree.search(int(query), q[i], k, None if line is None or pd.isna(line) else int(line))]
+            q = as_matrix(asked["q_v"])
+            floors = asked["q_line"] if "q_line" in asked else [None] * len(asked)
+            for i, (query, line) in enumerate(zip(asked["q_id"].tolist(), floors)):
+                out += [(query, v, max(-MOST, min(MOST, s))) for s, v in tree.search(int(query), q[i], k, None if line is None or pd.isna(line) else int(line))]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
     form = "query_id long, id long, score long"
     first = queries.withColumn("home", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(shards)).cast("int"))
 
     def search(asked: DataFrame, points: DataFrame) -> DataFrame:
-        return points.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(probe, form)
+        named = asked.toDF(*[f"q_{c}" for c in asked.columns])
+        return points.groupBy("shard", "block").cogroup(named.groupBy("q_shard", "q_block")).applyInPandas(probe, form)
 
     # each shard goes to every block of queries: rows / every / QUERY_BLOCK of them
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "id", "v")
