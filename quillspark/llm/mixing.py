@@ -97,12 +97,15 @@ def route(supply: list[int], members: list[list[int]], quota: list[int], repeats
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In seeded order, each document that still fits; of one bin."""
+    """In seeded order, each document of one bin that still fits, and one more if that comes nearer to what is wanted."""
     pdf = pdf.sort_values(["draw", "id", "size"], na_position="first")
     left, got = int(pdf["want"].iloc[0]), []
     for s in pdf["size"].tolist():
         got.append(0 < s <= left)
         left -= s if got[-1] else 0
+    gaps = [(abs(left - s), k) for k, s in enumerate(pdf["size"].tolist()) if s > 0 and not got[k]]
+    if gaps and min(gaps)[0] < left:
+        got[min(gaps)[1]] = True
     return pdf.assign(extra=got)[["id", "members", "size", "base", "extra"]]
 
 
