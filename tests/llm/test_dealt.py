@@ -299,4 +299,17 @@ def test_pipeline(spark, tmp_path):
     low = [(i, (t or "").translate(LOW)) for i, t in enumerate(texts()) if re.search(r"[^\W\d_]", t or "")]
     last = {t: i for i, t in low}
     groups = brute_groups({i: shingles(t, 5) for t, i in last.items()}, 80)
-    assert {r["doc_id"] for r in out} == {k for k, c in groups.items() if k == c}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = {k for k, c in groups.items() if k == c}
+    assert {r["doc_id"] for r in docs.collect()} == kept
+    taken = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    times = collections.Counter(r["doc_id"] for r in taken.collect())
+    assert max(times.values()) <= 2 and {r["doc_id"] for r in out} == set(times) <= kept
+    ids = collections.Counter()
+    for r in out:
+        ids[r["doc_id"]] += r["length"]
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in out}
+    assert all(ids[k] == times[k] * tokens[k] for k in times)
