@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,12 +60,20 @@ def slices(bounds: np.ndarray, most: int = SUB_BATCH_BYTES) -> Iterator[tuple[in
         lo = min(hi, n)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it keep what they have
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = SUB_BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch in pieces of bounded text: (rows, bytes, offsets)."""
     for batch in batches:
         raw, bounds = binary_view(batch.column(batch.schema.get_field_index(text)))
         for lo, hi in slices(bounds, most):
             yield batch.slice(lo, hi - lo), raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
+    give_back()
 
 
 _SPACE = np.zeros(256, bool)

@@ -85,14 +85,16 @@ def repeat_filter(keys: DataFrame, segments: int) -> DataFrame:
     return sent.groupBy("segment").applyInPandas(merge, "segment long, bits binary")
 
 
-def flag_possible_repeats(rows: DataFrame, keys: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """rows with `again`: true for each digest that occurs twice in keys, and for a few others. keys is a settled table."""
+def flag_possible_repeats(rows: DataFrame, keys: DataFrame, filter_bytes: int = FILTER_BYTES, text: str | None = None) -> DataFrame:
+    """rows with `again`: true for each digest that occurs twice in keys, and for a few others. keys is a settled table.
+
+    text: the column to take the digest from, in the same pass, where rows have none."""
     spark = rows.sparkSession
     segments = max(1, -(-keys.count() // SEGMENT_KEYS))
     step = max(1, filter_bytes // (SEGMENT_KEYS * SLOTS_PER_KEY // 8))
     bits = hold(repeat_filter(keys, segments))
-    at = rows.columns.index("digest")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", again boolean"
+    at = rows.columns.index(text or "digest")
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + (", digest binary" if text else "") + ", again boolean"
     out = None
     for lo in range(0, segments, step):
         held = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in bits.where(F.col("segment").between(lo, lo + step - 1)).toLocalIterator()})
@@ -102,7 +104,9 @@ def flag_possible_repeats(rows: DataFrame, keys: DataFrame, filter_bytes: int =
             for b in batches:
                 if not b.num_rows:
                     continue
-                where, slots = _slots(b.column(at), segments)
+                if text:
+                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(_digest(b.column(at)), pa.binary())], [*b.schema.names, "digest"])
+                where, slots = _slots(b.column(b.num_columns - 1 if text else at), segments)
                 again = np.zeros(b.num_rows, bool)
                 for s in np.unique(where):
                     if (mine := table.get(int(s))) is not None:
@@ -133,15 +137,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     plain = docs.toDF(*names)
-    schema = ", ".join(f"`{n}` {t}" for n, t in plain.dtypes)
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_digest(b.column(at)), pa.binary())], [*b.schema.names, "digest"])
-
-    rows = plain.mapInArrow(run, f"{schema}, digest binary")
-    flagged = flag_possible_repeats(rows, settle(rows.select("digest")), filter_bytes)
+    flagged = flag_possible_repeats(plain, settle(digests(docs, id_col, text_col).select("digest")), filter_bytes, text)
     some = flagged.where("again")
     best = some.groupBy("digest").agg(F.max(key).alias("best"))
     met = some.join(best, "digest").where(F.col(key).eqNullSafe(F.col("best"))).dropDuplicates(["digest"])

@@ -13,6 +13,7 @@ an empty table gives no pieces; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches, word_hashes, word_spans
+from .common import give_back, sub_batches, word_hashes, word_spans
 
 MAX_TOKENS, MAX_SEGMENTS = 4096, 256
 END_ID = 2
@@ -38,7 +39,7 @@ class WordTokens:
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         # the same model on pieces that are already normalised and split
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
@@ -52,6 +53,13 @@ class WordTokens:
         self.most = most
         self._forget()
 
+    @functools.cached_property
+    def whole(self):  # noqa: ANN201
+        """The tokenizer as it is, for words that it may split or normalise in its own way."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         # words met before: their hashes in order, and where the ids of each are in `flat`
         self.keys, self.base, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
@@ -279,5 +287,7 @@ def pack(
                 yield emit(out)
         if rest := bins.finish():
             yield emit(rest)
+        del tokens
+        give_back()
 
     return rows.mapInArrow(run, "id long, start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary")
