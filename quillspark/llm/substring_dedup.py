@@ -37,7 +37,7 @@ LAST = np.iinfo(np.int64).max
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, ids, bounds, data): documents of a chunk in order of id, their texts end to end."""
+    """(chunk, size, ids, bounds, data): documents of a chunk in order of id, their texts end to end and compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -51,8 +51,9 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             held.sort(key=lambda x: x[0])
             ids = np.array([x[0] for x in held], "<i8")
             bounds = np.concatenate(([0], np.cumsum([len(x[1]) for x in held]))).astype("<i8")
-            cols = [pa.array([tag | number])] + [pa.array([x], pa.binary()) for x in (ids.tobytes(), bounds.tobytes(), b"".join(x[1] for x in held))]
-            return pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "bounds", "data"])
+            data = pa.compress(b"".join(x[1] for x in held), codec="zstd", asbytes=True)
+            cols = [pa.array([tag | number]), pa.array([int(bounds[-1])])] + [pa.array([x], pa.binary()) for x in (ids.tobytes(), bounds.tobytes(), data)]
+            return pa.RecordBatch.from_arrays(cols, ["chunk", "size", "ids", "bounds", "data"])
 
         for b in batches:
             raw, bounds = binary_view(b.column(1))
@@ -67,15 +68,17 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "chunk long, ids binary, bounds binary, data binary")
+    return rows.mapInArrow(run, "chunk long, size long, ids binary, bounds binary, data binary")
 
 
 class Parse:
     """The phrases of one chunk."""
 
     def __init__(self, ids: bytes, bounds: bytes, data: bytes, length: int, buckets: int):
-        self.ids, self.bounds, self.data = np.frombuffer(ids, "<i8"), np.frombuffer(bounds, "<i8"), data
-        raw = np.frombuffer(data, np.uint8)
+        self.ids, self.bounds = np.frombuffer(ids, "<i8"), np.frombuffer(bounds, "<i8")
+        total = int(self.bounds[-1])
+        raw = np.frombuffer(pa.decompress(data, decompressed_size=total, codec="zstd", asbytes=True) if total else b"", np.uint8)
+        self.data = raw
         n = len(raw) - length + 1
         none = np.zeros(0, np.int64)
         self.lo = self.hi = self.doc = self.which = self.bucket = none
@@ -206,7 +209,7 @@ def _suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, spans, kept): removed spans of bytes as an array of (start, end), and the bytes that stay. length: 32 to 64."""
     table = settle(chunks(docs, id_col, text_col))
-    total = table.select(F.sum(F.length("data"))).first()[0] or 0
+    total = table.select(F.sum("size")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +237,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     out[c].append(v)
         return pd.DataFrame(out)
 
-    by_chunk = table.groupBy("chunk")
+    by_chunk = table.drop("size").groupBy("chunk")
     inner = by_chunk.cogroup(phrases.groupBy("chunk")).applyInPandas(look, "chunk long, bucket long, key binary, doc binary, ids binary")
     suffixes = hold(inner.groupBy("bucket").applyInPandas(_suffixes, form))
 
@@ -245,7 +248,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             first = answers[answers["kind"] == 0]
             best, edge = p.told(first["bucket"].to_numpy(), first["answer"].tolist())
             _, bucket, phrase, offset = p.suffixes(best, edge, buckets)
-            covered = np.zeros(len(r.data) + 1, np.int32)
+            covered = np.zeros(len(p.data) + 1, np.int32)
 
             def cover(lo: np.ndarray, hi: np.ndarray, covered: np.ndarray = covered) -> None:
                 np.add.at(covered, lo, 1)
@@ -263,7 +266,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     x, o = np.nonzero(again[p.which[own]])
                     cover(p.lo[own][x] + o, p.lo[own][x] + o)
             gone = np.cumsum(covered[:-1]) > 0
-            raw = np.frombuffer(r.data, np.uint8)
+            raw = p.data
             for k, (a, b) in enumerate(zip(p.bounds[:-1].tolist(), p.bounds[1:].tolist())):
                 g = np.r_[False, gone[a:b], False]
                 step = np.flatnonzero(g[1:] != g[:-1])

@@ -155,6 +155,7 @@ def test_repeats(docs, empty, odd):
         assert r["n_bytes"] == len(r["kept"]) + sum(s["end"] - s["start"] for s in r["spans"])
     assert substring_dedup.repeats(empty).count() == 0
     assert substring_dedup.repeats(odd).count() == 6
+    assert substring_dedup.repeats(odd.where("text = '' OR text IS NULL")).count() == 2
 
 
 def test_packing_round_trip(docs, empty):
