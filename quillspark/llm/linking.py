@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from .common import lowered, settle, shingle_sets, sub_batches
 from .components import components
 
+# So many ids, 8 bytes each, are sent to every task at most; more of them are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows whose id is among ids (left_semi) or is not (left_anti). ids is one column of distinct ids; its size is counted, and up
+    to BROADCAST_IDS of them spare the rows, which hold whole texts, a shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+
+
+# Sets to a file of an intermediate table, for rows with whole sets or lists and for rows of a few numbers.
+WIDE, NARROW = 10_000, 50_000
+
 
 def full_sets(rows: DataFrame, words: int) -> DataFrame:
     """rows (id, text) to (id, shingles)."""
@@ -26,45 +39,49 @@ def full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scale: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. rows: (id, text)."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = settle(full_sets(rows.join(wanted, "id", "left_semi"), words))
+    sets = settle(full_sets(only(rows, wanted), words), 1 + scale // WIDE)
     joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return settle(joined.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
+    return settle(joined.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), 1 + scale // NARROW)
 
 
-def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, scale: int, share: int = 0, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(id, component) for each set that is linked with another one.
 
     listed: (id, n, centre, values), settled; n is the size of the set, centre tells how well it stands for its lists, values are the
     lists it is in. Round 1 compares each list's hub (largest centre) with the other members. Round 2 compares, in lists that still
     touch several components, the members of different components, except pairs whose sizes, less the shingles that no
-    other member of a long list has, rule the similarity out. A pair must meet in `overlap` lists, and `likely` may drop pairs.
+    other member of a long list has, rule the similarity out. A pair must meet in `overlap` lists, pairs of long lists also in
+    `share` percent of their lists together, and `likely` may drop pairs.
+    scale: about how many sets there are; intermediate tables are written in files to match.
     """
     lists = listed.select("id", "n", "centre", F.explode("values").alias("value"))
     hubs = lists.groupBy("value").agg(F.min(F.struct(-F.col("centre"), "id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     stars = lists.join(hubs.select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "value").where(F.col("id") != F.col("hub"))
     stars = stars.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     pairs = stars.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= overlap)
-    links = confirm(settle(likely(pairs.select("a", "b"))), rows, words, percent)
+    links = confirm(settle(likely(pairs.select("a", "b")), 1 + scale // NARROW), rows, words, percent, scale)
     found = components(links)
 
     placed = listed.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = settle(placed.select("id", "n", "component", F.explode("values").alias("value")))
+    placed = settle(placed.select("id", "n", "component", F.explode("values").alias("value")), 1 + scale // WIDE)
     split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("value", "members")
-    open_ = settle(placed.join(split, "value"))
+    open_ = settle(placed.join(split, "value"), 1 + scale // NARROW)
     long_ = open_.where(F.col("members") > common).select("id").distinct()
-    shingles = full_sets(rows.join(long_, "id", "left_semi"), words).select("id", F.explode("shingles").alias("shingle"))
+    shingles = full_sets(only(rows, long_), words).select("id", F.explode("shingles").alias("shingle"))
     alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     lone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     rest = F.col("n") - F.when(F.col("members") > common, F.coalesce("lone", F.lit(0))).otherwise(0)
-    bound = settle(open_.join(lone, "id", "left").select("value", "id", "n", "component", rest.alias("rest")))
+    bound = settle(open_.join(lone, "id", "left").join(listed.select("id", "values"), "id").select("value", "id", "n", "component", "values", (F.col("members") > common).alias("long"), rest.alias("rest")), 1 + scale // NARROW)
     x, y = bound.alias("x"), bound.alias("y")
-    least = F.least("x.rest", "y.rest")
+    least, both = F.least("x.rest", "y.rest"), F.array_intersect("x.values", "y.values")
     near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * least >= percent * (F.col("x.n") + F.col("y.n") - least))
-    cross = x.join(y, (F.col("x.value") == F.col("y.value")) & near)
-    pairs = cross.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= overlap)
-    more = confirm(settle(likely(pairs.select("a", "b"))), rows, words, percent)
+    # a pair counts in the first list that it shares, and in long lists only if it shares enough of its lists
+    enough = (F.size(both) >= overlap) & (~F.col("x.long") | (100 * F.size(both) >= share * F.size(F.array_union("x.values", "y.values"))))
+    cross = x.join(y, (F.col("x.value") == F.col("y.value")) & near & (F.get(both, F.lit(0)) == F.col("x.value")) & enough)
+    pairs = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    more = confirm(settle(likely(pairs), 1 + scale // NARROW), rows, words, percent, scale)
     return found if more.isEmpty() else components(links.union(more))

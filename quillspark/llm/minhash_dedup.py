@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lowered, mix, settle, shingle_sets, sub_batches
-from .linking import linked
+from .linking import NARROW, WIDE, linked, only
 
-SKETCH, PREFIX, COMMON, OVERLAP, SLACK = 48, 20, 64, 3, 0.35
+SKETCH, PREFIX, COMMON, OVERLAP, SHARE, SLACK = 48, 20, 64, 3, 30, 0.35
 
 
 def sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
@@ -93,16 +93,19 @@ def near_groups(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     table = settle(sketches(rows, words, sketch))
+    scale = table.count()
     classes = table.where("n > 0").groupBy("print_a", "print_b", "n").agg(F.min("id").alias("rep"))
-    known = settle(table.join(classes, ["print_a", "print_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")))
+    known = settle(table.join(classes, ["print_a", "print_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), 1 + scale // WIDE)
     reps = known.where(F.col("sketch").isNotNull()).select("id", "n", "sketch")
-    listed = settle(_listed(reps, prefix, common))
-    found = linked(listed, rows, words, percent, common, overlap, _likely(reps, percent, slack))
+    listed = settle(_listed(reps, prefix, common), 1 + scale // WIDE)
+    found = linked(listed, rows, words, percent, common, overlap, scale, SHARE, _likely(reps, percent, slack))
     return known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest id. Rows without an id stay."""
     groups = near_groups(docs, id_col, text_col, **options)
-    gone = groups.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = settle(groups.where("id <> component").select("id").distinct(), 1 + groups.count() // NARROW)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("id", F.col(names[docs.columns.index(id_col)]).cast("long"))
+    return only(rows, gone, "left_anti").select(*names).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lowered, mix, settle, shingle_sets, sub_batches
-from .linking import linked
+from .linking import NARROW, linked
 
 HASHES, COMMON, RECALL = 20, 64, 0.9999
 
@@ -93,18 +93,19 @@ def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row for each paragraph: doc_id, place (from 0), n (set size), first_doc, first_place (the one that stays), members, kept."""
     bands, rows = tune_bands(percent / 100, recall, hashes)
     cut = settle(paragraphs(docs, id_col, text_col, words, percent, bands, rows))
+    scale = cut.count()
     prints = ["print_a", "print_b", "n"]
     classes = cut.groupBy(*prints).agg(F.min("pid").alias("rep"))
-    known = settle(cut.select("pid", "doc_id", "place", *prints).join(classes, prints).select("pid", "doc_id", "place", "n", "rep"))
+    known = settle(cut.select("pid", "doc_id", "place", *prints).join(classes, prints).select("pid", "doc_id", "place", "n", "rep"), 1 + scale // NARROW)
     reps = known.where("pid = rep").select("pid")
     rich = cut.where(F.col("keys").isNotNull())
     listed = rich.join(reps, "pid", "left_semi").select(F.col("pid").alias("id"), "n", F.lit(0).alias("centre"), "keys")
     # keys that one class alone holds make no list
     flat = listed.select("id", F.explode("keys").alias("key"))
     met = flat.join(flat.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "key").groupBy("id").agg(F.collect_list("key").alias("values"), F.sum("held").alias("weight"))
-    listed = settle(listed.join(met, "id").select("id", "n", F.col("weight").alias("centre"), "values"))
-    found = linked(listed, rich.select(F.col("pid").alias("id"), "text"), words, percent, common, 1)
-    placed = settle(known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("pid", "doc_id", "place", "n", F.coalesce("component", "rep").alias("component")))
+    listed = settle(listed.join(met, "id").select("id", "n", F.col("weight").alias("centre"), "values"), 1 + scale // NARROW)
+    found = linked(listed, rich.select(F.col("pid").alias("id"), "text"), words, percent, common, 1, scale)
+    placed = settle(known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("pid", "doc_id", "place", "n", F.coalesce("component", "rep").alias("component")), 1 + scale // NARROW)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "pid")
     groups = placed.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("members"))
     return placed.join(groups, "component").select("doc_id", "place", "n", F.col("best.doc_id").alias("first_doc"), F.col("best.place").alias("first_place"), "members", (F.col("pid") == F.col("best.pid")).alias("kept"))
