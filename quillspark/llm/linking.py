@@ -39,6 +39,22 @@ def full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
+def lone_shingles(rows: DataFrame, words: int) -> DataFrame:
+    """(id, lone): how many shingles of a text no other text of rows has. Every task sends each of its distinct shingles once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw, bounds in sub_batches(batches, "text"):
+            sets = shingle_sets(lowered(raw), bounds, words)
+            flat = np.concatenate(sets).view(np.int64)
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            each, first, n = np.unique(flat, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n > 1), b.column(0).take(pa.array(row[first]))], ["shingle", "shared", "id"])
+
+    sent = rows.select("id", "text").mapInArrow(run, "shingle long, shared boolean, id long")
+    alone = sent.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.max("shared").alias("shared")).where("id = other AND NOT shared")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def confirm(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scale: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. rows: (id, text)."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -71,9 +87,7 @@ def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common:
     split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("value", "members")
     open_ = settle(placed.join(split, "value"), 1 + scale // NARROW)
     long_ = open_.where(F.col("members") > common).select("id").distinct()
-    shingles = full_sets(only(rows, long_), words).select("id", F.explode("shingles").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    lone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    lone = lone_shingles(only(rows, long_), words)
     rest = F.col("n") - F.when(F.col("members") > common, F.coalesce("lone", F.lit(0))).otherwise(0)
     bound = settle(open_.join(lone, "id", "left").join(listed.select("id", "values"), "id").select("value", "id", "n", "component", "values", (F.col("members") > common).alias("long"), rest.alias("rest")), 1 + scale // NARROW)
     x, y = bound.alias("x"), bound.alias("y")
