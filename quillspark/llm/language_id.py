@@ -30,6 +30,7 @@ BUCKETS, DIM = 1 << 16, 16
 ORDERS = (2, 3, 4)
 PER_LANG = 1500
 REJECT_SHARE = 0.001
+FEW_LANGS = 10_000
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -171,6 +172,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """Model from a sample of about per_lang rows of each language, trained in one task; its size is BUCKETS x languages."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = F.broadcast(counts) if counts.count() <= FEW_LANGS else counts  # else texts would shuffle to meet a handful of rows
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(counts, "lang").where(draw < per_lang / F.col("n")).select("id", "text", "lang")
 
