@@ -63,9 +63,11 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a document's place in its source's tree follows from its id: source/d<id div 100>/d<id div 10>/<id>
-    up = lambda n: F.concat(F.lit("d"), F.floor(F.col("doc_id") / n).cast("string"))
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), up(100), up(10), F.col("doc_id").cast("string"))
+    # a document's place in its source's tree: 0 to 3 levels down, by a hash of its id, in directories by its id div 2000 and coarser hashes
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).cast("binary"))
+    level = lambda name, n: F.concat(F.lit(name), F.coalesce(n, F.lit(0)).cast("string"))
+    levels = F.array(level("p", F.floor(F.col("doc_id") / 2000)), level("a", F.floor(h / 4) % 3), level("b", F.floor(h / 12) % 3))
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.slice(levels, 1, (h % 4).cast("int")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return license_scan.scan(files, "doc_id", "path", "text").withColumnRenamed("id", "doc_id")
 

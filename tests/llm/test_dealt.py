@@ -277,6 +277,33 @@ def test_licenses(spark, empty, odd):
     assert license_scan.scan(empty, "doc_id", "source", "text").count() == 0 and license_scan.scan(odd, "doc_id", "source", "text").count() == 6
 
 
+def test_license_scan_inherits_over_levels(spark, tmp_path):
+    from quillspark.llm import queries
+
+    filler = " ".join(f"word{i}" for i in range(40))
+    notes = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    rows = [(i, notes[i // 19 % 2] if i % 19 == 0 else filler, f"src{i % 20}") for i in range(2000)]
+    spark.createDataFrame([*rows, (None, filler, None)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_license_scan(spark, str(tmp_path)).collect()
+    folder = {r["doc_id"]: r["path"].rsplit("/", 1)[0] for r in got}
+    best = {}
+    for r in got:
+        if r["is_license_file"]:
+            d = folder[r["doc_id"]]
+            best[d] = min(best.get(d, (1,)), (-r["own_score"], r["doc_id"], r["own_license"]))
+    over = 0
+    for r in got:
+        up = folder[r["doc_id"]]
+        want = (r["own_license"], None)
+        levels = 0
+        while want == (None, None) and up:
+            want = (best[up][2], up) if up in best else want
+            up, levels = up.rsplit("/", 1)[0], levels + 1
+        assert (r["license"], r["from_dir"]) == want
+        over += want[1] is not None and levels > 2
+    assert len(got) == 2001 and over > 200 and len(set(folder.values())) < 700 and {p.count("/") for p in folder.values()} == {1, 2, 3, 4}
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "lost"), (0, 1, "assistant", "yes")]
     talks = preferences.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
