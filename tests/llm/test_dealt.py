@@ -277,6 +277,27 @@ def test_licenses(spark, empty, odd):
     assert license_scan.scan(empty, "doc_id", "source", "text").count() == 0 and license_scan.scan(odd, "doc_id", "source", "text").count() == 6
 
 
+def test_licence_texts_and_headers(spark):
+    filler = " ".join(f"word{i}" for i in range(40))
+    gnu = "This {1} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {0} License\nas published by the Free Software Foundation; either version {2}\nof the License, or (at your option) any later version.\n\nThis {1} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {0} License for more details."
+    code = lambda head: "import os\n" + "".join(f"# {x}".rstrip() + "\n" for x in head.split("\n")) + "\n\n\n" + "\n".join([filler] * 20)
+    headers = [(f"SPDX-License-Identifier: {k}", k.removesuffix("-or-later")) for k in ("MIT", "Apache-2.0", "GPL-2.0-or-later", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0")]
+    headers += [("This file is licensed under the MIT license.", "MIT"), ("SPDX-License-Identifier: Zlib", None), ("Licensed under CC BY 4.0.", "CC-BY-4.0")]
+    headers += [(gnu.format(*x), k) for k, x in {"GPL-2.0": ("General Public", "program", "2"), "GPL-3.0": ("General Public", "program", "3"), "LGPL-2.1": ("Lesser General Public", "library", "2.1"), "LGPL-3.0": ("Lesser General Public", "library", "3"), "AGPL-3.0": ("Affero General Public", "program", "3")}.items()]
+    headers.append(("Copyright 2020 Some One. All rights reserved.\n\n\n\n\n\n\n\nReleased under the\nMIT License.", "MIT"))
+    texts_ = license_scan.licence_texts()
+    headers += [(texts_[k].split("\n\n", 1)[1], k) for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")]
+    cut = lambda t: "Copyright (c) 2021 Jane Doe and others\n\n" + t[: int(len(t) * 0.9)]
+    rows = [(i, f"/h{i}/x.py", code(h)) for i, (h, _) in enumerate(headers)]
+    names = sorted(texts_)
+    rows += [(1000 + i, f"/f{i}/LICENSE", cut(texts_[k])) for i, k in enumerate(names)] + [(2000 + i, f"/f{i}/src/x.py", filler) for i in range(len(names))]
+    rows += [(3000 + i, None, filler) for i in range(200)]
+    got = {r["id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert {h: got[i]["own_license"] for i, (h, _) in enumerate(headers)} == dict(headers)
+    assert not any(got[i]["is_license_file"] for i in range(len(headers)))
+    assert {k: (got[1000 + i]["own_license"], got[1000 + i]["is_license_file"], got[2000 + i]["license"]) for i, k in enumerate(names)} == {k: (k, True, k) for k in names}
+
+
 def test_license_scan_inherits_over_levels(spark, tmp_path):
     from quillspark.llm import queries
 
