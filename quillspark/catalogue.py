@@ -868,9 +868,9 @@ def fit_fusion(spark, sf):
 
 @query("tune_thresholds")
 def tune_thresholds(spark, sf):
-    rows = posts(spark, sf).select("gold", *[F.col(k).alias(f"p_{k}") for k in LABELS])
-    best, margin, top = training.tune_thresholds(rows, rounds=1)
-    return spark.createDataFrame([(k, v, margin, top) for k, v in best.items()], "label string, threshold double, margin double, f1_macro double")
+    rows = posts(spark, sf).select("gold", "slice_type", "ambiguous_stance", *[F.col(k).alias(f"p_{k}") for k in LABELS])
+    best, about = training.tune_thresholds(rows, rows)
+    return spark.createDataFrame([(k, v, about["margin"], about["f1_macro"], about["feasible"], about["sanity_fpr"], about["sanity_fnr"]) for k, v in best.items()], "label string, threshold double, margin double, f1_macro double, feasible boolean, sanity_fpr double, sanity_fnr double")
 
 
 @query("score_candidates", f"""WITH {POSTS}, cand AS (SELECT CAST(range AS BIGINT) AS candidate, 0.2::DOUBLE + range * 0.02::DOUBLE AS t FROM range(8)), x AS (SELECT candidate, gold, neutral AS pn, list_filter([{', '.join(f"{{'m': -{k}, 'l': '{k}', 'ok': {k} >= t}}" for k in LABELS)}], lambda v: v.ok) AS ok FROM posts CROSS JOIN cand),

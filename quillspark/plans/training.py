@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, RegexTokenizer, StandardScaler, StringIndexerModel, VectorAssembler
@@ -120,23 +123,147 @@ def score_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return metrics.class_report(counted, ("candidate",)).groupBy("candidate").agg(F.avg("f1").alias("f1_macro"))
 
 
-def tune_thresholds(rows: DataFrame, margins: tuple[float, ...] = (0.0, 0.05, 0.1), grid: tuple[float, ...] = tuple(round(0.05 + 0.05 * i, 2) for i in range(16)), rounds: int = 3) -> tuple[dict[str, float], float, float]:
-    """Coordinate descent over thresholds: all values and margins of one class in a single aggregation; it stops when a round changes nothing."""
-    data = rows.select("gold", *[f"p_{k}" for k in LABELS]).cache()
-    best, margin, top = dict.fromkeys(LABELS, 0.25), 0.0, -1.0
+GRID = tuple(np.round(np.arange(0.08, 0.9225, 0.01), 4).tolist())
+MARGINS = tuple(np.round(np.arange(0.0, 0.345, 0.02), 4).tolist())
+_ORDER = sorted(LABELS)  # ties go to the smaller name
+_QUIET, _LOUD, _OTHER, _GROUPS = 4, 5, 6, 7  # groups of rows beside the four gold labels
+
+
+def _decided(p: np.ndarray, ok: np.ndarray, margin: float) -> np.ndarray:
+    """Number in _ORDER of the label of each row, for posteriors and which of them reach their thresholds."""
+    neutral = _ORDER.index(NEUTRAL)
+    held = np.where(ok, p, -np.inf)
+    pred = np.where(ok.any(1), held.argmax(1), neutral)
+    if margin > 0:
+        lead = np.delete(held, neutral, 1).max(1)
+        pred[(lead > -np.inf) & (lead - p[:, neutral] < margin)] = neutral
+    return pred
+
+
+def _summed(data: DataFrame, cells: int, count) -> np.ndarray:  # noqa: ANN001
+    """Sums over all rows of what count(posteriors, groups) gives: positions, in an array of `cells` numbers, to add one to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for b in batches:
+            p = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(_ORDER))])
+            for at in count(p, b.column(len(_ORDER)).to_numpy(zero_copy_only=False)):
+                lo = int(at.min()) if len(at) else 0
+                here = np.bincount(at - lo)
+                total[lo : lo + len(here)] += here
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    out = np.zeros(cells, np.int64)
+    for r in data.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # some tens of thousands at most
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def _rated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Macro F1, FPR and FNR from counts (..., group, predicted)."""
+    gold = counts[..., :4, :]
+    tp = np.diagonal(gold, axis1=-2, axis2=-1)
+    both = gold.sum(-1) + counts[..., [0, 1, 2, 3, _OTHER], :].sum(-2)
+    neutral = _ORDER.index(NEUTRAL)
+    share = lambda x, n: np.where(n > 0, x / np.maximum(n, 1), 0.0)
+    quiet, loud = counts[..., _QUIET, :], counts[..., _LOUD, :]
+    return share(2 * tp, both).mean(-1), share(quiet.sum(-1) - quiet[..., neutral], quiet.sum(-1)), share(loud[..., neutral], loud.sum(-1))
+
+
+def tune_thresholds(
+    rows: DataFrame,
+    sanity: DataFrame | None = None,
+    margins: tuple[float, ...] = MARGINS,
+    grid: tuple[float, ...] = GRID,
+    rounds: int = 10,
+    fpr_max: float = 0.2,
+    fnr_max: float = 0.2,
+    draws: int = 8000,
+    seed: int = 42,
+) -> tuple[dict[str, float], dict]:
+    """(thresholds, about) with the best macro F1 on rows (gold, p_<label>) whose rates on sanity rows (slice_type, ambiguous_stance,
+    p_<label>) are within the caps. about: feasible, margin, f1_macro, sanity_fpr, sanity_fnr.
+
+    Coordinate descent for each margin from thresholds of 0.5 (which the grid must hold); it stops when a round changes nothing. A class's
+    threshold moves a row between two labels only, so one aggregation by the place of its posterior in the grid scores all values for
+    all margins. Where no margin ends within the caps, the best of `draws` random candidates under a penalty is taken. Null posteriors are 0."""
+    ps = [F.coalesce(F.col(f"p_{k}").cast("double"), F.lit(0.0)).alias(k) for k in _ORDER]
+    group = F.lit(_OTHER)
+    for i, k in enumerate(_ORDER):
+        group = F.when(F.col("gold") == k, i).otherwise(group)
+    data = rows.select(*ps, group.alias("group"))
+    if sanity is not None:
+        kind = F.when(F.col("slice_type").isin(*metrics.INNOCENT), _QUIET).when(F.col("slice_type") == metrics.HARMFUL, _LOUD)
+        data = data.unionByName(sanity.where(metrics.not_ambiguous()).select(*ps, kind.alias("group")).where("group IS NOT NULL"))
+    data = data.cache()
+    steps, n, m = np.array(grid), len(grid), len(margins)
+    theta = np.full((m, 4), int(np.argmin(abs(steps - 0.5))))
+    ended = np.zeros((m, 3))
+    shape = (m, 2, n + 1, _GROUPS, 4)
+
+    def within(fpr: np.ndarray, fnr: np.ndarray) -> np.ndarray:
+        return (fpr <= fpr_max + 1e-9) & (fnr <= fnr_max + 1e-9)
+
+    active = np.ones(m, bool)
     for _ in range(rounds):
-        before = (dict(best), margin)
-        for k in LABELS:
-            options = [({**best, k: v}, m) for v in grid for m in margins]
-            table = data.sparkSession.createDataFrame([(i, *(o[c] for c in LABELS), m) for i, (o, m) in enumerate(options)], "candidate int, " + ", ".join(f"t_{c} double" for c in LABELS) + ", margin double")
-            got = score_candidates(data, table).orderBy(F.desc("f1_macro"), "candidate").first()
-            if got and got["f1_macro"] > top:
-                top = got["f1_macro"]
-                best, margin = options[got["candidate"]]
-        if before == (best, margin):
+        before = theta.copy()
+        for c in [_ORDER.index(k) for k in LABELS]:
+            todo, at = np.flatnonzero(active).tolist(), steps[theta]
+
+            def count(p: np.ndarray, g: np.ndarray, c: int = c, todo: list = todo, at: np.ndarray = at) -> Iterator[np.ndarray]:
+                place = np.searchsorted(steps, p[:, c], "right")  # so many values of the grid does it reach
+                for j in todo:
+                    ok = p >= at[j]
+                    for on in (0, 1):
+                        ok[:, c] = bool(on)
+                        yield np.ravel_multi_index((np.full(len(g), j), np.full(len(g), on), place, g, _decided(p, ok, margins[j])), shape)
+
+            got = _summed(data, int(np.prod(shape)), count).reshape(shape)
+            # at value i the rows with place > i reach the threshold
+            reach = got[:, 1].sum(1, keepdims=True) - np.cumsum(got[:, 1], 1)
+            f, fpr, fnr = _rated(reach[:, :n] + np.cumsum(got[:, 0], 1)[:, :n])
+            fine = within(fpr, fnr)
+            for j in todo:
+                best = theta[j, c]
+                top = f[j, best]
+                for i in np.flatnonzero(fine[j]):
+                    if f[j, i] > top + 1e-8:
+                        best, top = i, f[j, i]
+                theta[j, c] = best
+                ended[j] = f[j, best], fpr[j, best], fnr[j, best]
+        active &= (theta != before).any(1)
+        if not active.any():
             break
+    best, top = None, -1.0
+    for j in range(m):
+        if within(ended[j, 1], ended[j, 2]) and ended[j, 0] > top + 1e-12:
+            best, top = j, ended[j, 0]
+    if best is not None:
+        t, margin, (f1, fpr, fnr), relaxed = steps[theta[best]], margins[best], ended[best], False
+    else:
+        rng = np.random.default_rng(seed)
+        drawn = []
+        for _ in range(draws):
+            gap = float(rng.uniform(0.0, min(max(margins) + 0.001, 0.45)))
+            named = {k: float(rng.choice(steps)) for k in LABELS}
+            drawn.append((gap, np.array([named[k] for k in _ORDER])))
+
+        def count_drawn(p: np.ndarray, g: np.ndarray) -> Iterator[np.ndarray]:
+            for i, (gap, t) in enumerate(drawn):
+                yield (i * _GROUPS + g) * 4 + _decided(p, p >= t, gap)
+
+        f, x, y = _rated(_summed(data, len(drawn) * _GROUPS * 4, count_drawn).reshape(len(drawn), _GROUPS, 4))
+        score = f - 500 * np.maximum(0, x - fpr_max) - 500 * np.maximum(0, y - fnr_max)
+        k = 0
+        for i in range(len(drawn)):
+            if score[i] > score[k] + 1e-14:
+                k = i
+        (margin, t), f1, fpr, fnr = drawn[k], f[k], x[k], y[k]
+        relaxed = not bool(within(fpr, fnr))
     data.unpersist()
-    return best, margin, top
+    about = {"feasible": not relaxed, "margin": float(margin), "f1_macro": float(f1), "sanity_fpr": float(fpr), "sanity_fnr": float(fnr)}
+    return {k: float(t[_ORDER.index(k)]) for k in LABELS}, about
 
 
 def text_pipeline(words: int = 1 << 14, reg: float = 1e-3) -> Pipeline:
