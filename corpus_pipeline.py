@@ -27,11 +27,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to twice."""
-    taken, _ = mixing.mix(docs)
-    times = taken.where("taken > 0").select(F.col("id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    joined = docs.join(times.groupBy("_id").agg(F.max("_times").alias("_times")), docs["doc_id"] == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """Documents as often as the mix takes them, up to twice. Each row has its own count, also without an id or with another row's."""
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken, _ = mixing.mix(rows, tag_col="_row")
+    times = taken.where("taken > 0").select(F.col("tag").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def route(supply: list[int], members: list[list[int]], quota: list[int], repeats
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     """In seeded order, each document of one bin that still fits, and one more if that comes nearer to what is wanted."""
-    pdf = pdf.sort_values(["draw", "id", "size"], na_position="first")
+    pdf = pdf.sort_values(["draw", "id", "size", *(["tag"] if "tag" in pdf else [])], na_position="first")
     left, got = int(pdf["want"].iloc[0]), []
     for s in pdf["size"].tolist():
         got.append(0 < s <= left)
@@ -106,7 +106,7 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     gaps = [(abs(left - s), k) for k, s in enumerate(pdf["size"].tolist()) if s > 0 and not got[k]]
     if gaps and min(gaps)[0] < left:
         got[min(gaps)[1]] = True
-    return pdf.assign(extra=got)[["id", "members", "size", "base", "extra"]]
+    return pdf.assign(extra=got)[["id", *(["tag"] if "tag" in pdf else []), "members", "size", "base", "extra"]]
 
 
 def mix(
@@ -118,17 +118,21 @@ def mix(
     share: float = SHARE,
     max_repeats: int = MAX_REPEATS,
     seed: int = 11,
+    tag_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, sources). `sources` is a string column, or an array of strings for overlapping sources.
 
-    documents: id, members (array of source names), size, taken, one row for each row of docs.
+    documents: id, members (array of source names), size, taken, one row for each row of docs. tag_col: a column of longs that
+    tells rows apart; it comes back as tag, after id.
     sources: source, source_size, weight, target, routed.
     """
     kind = dict(docs.dtypes)[sources]
+    tag = ["tag"] if tag_col else []
     member = F.col(sources) if kind.startswith("array") else F.array(F.col(sources).cast("string"))
     rows = hold(
         docs.select(
             F.col(id_col).cast("long").alias("id"),
+            *[F.col(tag_col).cast("long").alias(t) for t in tag],
             F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string"))))).alias("members"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ).withColumn("draw", F.xxhash64("id", "size", F.lit(seed)))
@@ -159,7 +163,7 @@ def mix(
     before = F.coalesce(F.sum("held").over(W.partitionBy("members").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     edges = filled.withColumn("before", before).select("members", "bin", F.when(F.col("before") + F.col("held") <= F.col("whole"), -1).otherwise(F.greatest(F.col("whole") - F.col("before"), F.lit(0))).alias("rest"))
     met = hold(dealt.join(edges, ["members", "bin"]))
-    plain = met.where("rest <= 0").select("id", "members", "size", "base", ((F.col("rest") < 0) & (F.col("size") > 0)).alias("extra"))
-    edge = met.where("rest > 0").withColumn("want", F.col("rest")).groupBy("members", "bin").applyInPandas(_fill, "id long, members array<string>, size long, base long, extra boolean")
-    out = plain.unionByName(edge).select("id", "members", "size", (F.col("size") * (F.col("base") + F.col("extra").cast("long"))).alias("taken"))
+    plain = met.where("rest <= 0").select("id", *tag, "members", "size", "base", ((F.col("rest") < 0) & (F.col("size") > 0)).alias("extra"))
+    edge = met.where("rest > 0").withColumn("want", F.col("rest")).groupBy("members", "bin").applyInPandas(_fill, "id long, " + "tag long, " * len(tag) + "members array<string>, size long, base long, extra boolean")
+    out = plain.unionByName(edge).select("id", *tag, "members", "size", (F.col("size") * (F.col("base") + F.col("extra").cast("long"))).alias("taken"))
     return out, about

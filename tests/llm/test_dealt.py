@@ -362,3 +362,15 @@ def test_pipeline(spark, tmp_path):
         ids[r["doc_id"]] += r["length"]
     tokens = {r["doc_id"]: r["doc_tokens"] for r in out}
     assert all(ids[k] == times[k] * tokens[k] for k in times)
+
+
+def test_mix_sources_keeps_rows_without_or_with_shared_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i // 40, " ".join(["w"] * i), "en", ["a", "b", None][i % 7 % 3], i) for i in range(1, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r["size"]: r["taken"] // r["size"] for r in mixing.mix(docs)[0].collect()}
+    got = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert collections.Counter(r["n_chars"] for r in got.collect()) == collections.Counter({k: n for k, n in taken.items() if n})
+    assert len(set(taken.values())) > 1
