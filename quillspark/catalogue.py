@@ -558,6 +558,12 @@ def mcnemar(spark, sf):
     return _rounded(agreement.mcnemar(rows))
 
 
+@query("mcnemar_all", f"""WITH {POSTS}, s AS (SELECT count(*) FILTER (pred = gold AND pred_b <> gold) AS n10, count(*) FILTER (pred <> gold AND pred_b = gold) AS n01 FROM posts),
+t AS (SELECT n10, n01, (SELECT sum(exp(lgamma(n10 + n01 + 1) - lgamma(i + 1) - lgamma(n10 + n01 - i + 1) - (n10 + n01) * ln(2.0))) FROM range(0, least(n10, n01) + 1) r(i)) AS tail FROM s) SELECT n10, n01, round(CASE WHEN n10 + n01 = 0 THEN 1.0 ELSE least(1.0, 2 * tail) END, 6) AS p_value FROM t""")
+def mcnemar_all(spark, sf):
+    return _rounded(agreement.mcnemar(pairs(spark, sf).select("gold", F.col("pred").alias("pred_a"), F.col("pred_b"))))
+
+
 LONG = "lg AS (" + " UNION ALL ".join(f"SELECT '{k}' AS label, CAST(gold = '{k}' AS INTEGER) AS positive, {k} AS score FROM posts" for k in LABELS) + ")"
 
 
@@ -626,6 +632,12 @@ def gold_merge(spark, sf):
     return sampling.merge_gold(d.where("post_id % 2 = 0"), extra).select("post_id", "label")
 
 
+@query("gold_merge_all", f"WITH {DOCS}, u AS (SELECT CAST(doc_id AS BIGINT) AS post_id, CASE toxic WHEN 1 THEN 'toxic' ELSE 'clean' END AS label, 0 AS o FROM labels UNION ALL SELECT post_id, label, 1 FROM docs) SELECT post_id, label FROM u QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY o) = 1")
+def gold_merge_all(spark, sf):
+    rated = table(spark, sf, "labels").select(F.col("doc_id").cast("long").alias("post_id"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("label"), F.col("doc_id").alias("row_no"))
+    return sampling.merge_gold(rated, labelled_documents(spark, sf).select("post_id", "label", F.col("post_id").alias("row_no"))).select("post_id", "label")
+
+
 @query("attach_labels", "SELECT CAST(doc_id AS BIGINT) AS post_id, md5(text) AS text_md5, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id)")
 def attach_labels(spark, sf):
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "post_id")
