@@ -127,16 +127,26 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+_BLOCK = 1 << 17
+_UP, _DOWN = powers(_BLOCK + 1), powers(_BLOCK + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    within = np.arange(int(size.sum())) - np.repeat(first, size)
-    at = within + np.repeat(starts, size)
-    terms = _BYTE[raw[at]] * powers(int(size.max()))[within]
-    return mix(np.add.reduceat(terms, first) + size.astype(np.uint64))
+    """64-bit hash of each word's bytes, in blocks of whole words, so that temporaries stay small whatever the text's length."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        at = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, at + _BLOCK, "right")))
+        size = int(ends[hi - 1]) - at
+        up, down = (_UP, _DOWN) if size <= _BLOCK else (powers(size + 1), powers(size + 1, _DOWN[1]))
+        # sums of byte times power up to each place: a word's polynomial is a difference of two, shifted down to its start
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[raw[at : at + size]] * up[:size], out=sums[1:])
+        a, b = starts[lo:hi] - at, ends[lo:hi] - at
+        out[lo:hi] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def shingle_sets(raw: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:

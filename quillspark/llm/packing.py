@@ -28,15 +28,17 @@ from .common import give_back, sub_batches, word_hashes, word_spans
 MAX_TOKENS, MAX_SEGMENTS = 4096, 256
 END_ID = 2
 OPEN_BINS = 48
-CACHE_WORDS = 500_000
-BATCH_BYTES = 1 << 22
+# What a task holds besides its rows: so many words and pieces of words with their ids, about 25 MB each at most, so much text at
+# once, and so many bytes of pieces that are ready to leave.
+CACHE_WORDS, CACHE_PIECES = 400_000, 100_000
+BATCH_BYTES, OUT_BYTES = 1 << 20, 1 << 21
 ODD_SPACE = regex.compile(r"[^\S\n]")  # white space that does not end a word here, but does in the tokenizer
 
 
 class WordTokens:
     """Ids by a word-level tokenizer (white space never joins words), with the words it has met kept in a bounded cache."""
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.path = path
@@ -50,7 +52,7 @@ class WordTokens:
         # the tokenizer's own split pattern (a fixed value)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.pieces: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.most_pieces = most, most_pieces
         self._forget()
 
     @functools.cached_property
@@ -66,7 +68,7 @@ class WordTokens:
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of each word."""
-        if len(self.pieces) > self.most:
+        if len(self.pieces) > self.most_pieces:
             self.pieces.clear()
         text = "\n".join(words)
         odd = "<|" in text or ODD_SPACE.search(text)
@@ -270,7 +272,7 @@ def pack(
 
         for rows, raw, bounds in sub_batches(batches, "text", BATCH_BYTES):
             flat, offsets = tokens.rows(raw, bounds)
-            out = []
+            out, held = [], 0
             for k, (doc, loss) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist())):
                 ids = np.append(flat[offsets[k] : offsets[k + 1]], np.uint32(end_id)).astype("<u4")
                 kept[number] = [doc, ids, len(ids)]
@@ -278,11 +280,13 @@ def pack(
                 free = len(ids) - bears
                 for start in range(0, len(ids), whole):
                     length = min(whole, len(ids) - start)
-                    out += bins.add((number, start, length, max(0, start + length - max(start, free))))
+                    done = bins.add((number, start, length, max(0, start + length - max(start, free))))
+                    out += done
+                    held += sum(4 * p[2] for p in done)
+                    if held >= OUT_BYTES:
+                        yield emit(out)
+                        out, held = [], 0
                 number += 1
-                if len(out) >= 4096:
-                    yield emit(out)
-                    out = []
             if out:
                 yield emit(out)
         if rest := bins.finish():
