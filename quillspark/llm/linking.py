@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import lowered, settle, shingle_sets, sub_batches
@@ -22,6 +23,9 @@ def only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
+# After so many rounds of splitting long lists, what is left is compared in full.
+ROUNDS = 2
+
 # Sets to a file of an intermediate table, for rows with whole sets or lists and for rows of a few numbers.
 WIDE, NARROW = 10_000, 50_000
 
@@ -39,22 +43,6 @@ def full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
-def lone_shingles(rows: DataFrame, words: int) -> DataFrame:
-    """(id, lone): how many shingles of a text no other text of rows has. Every task sends each of its distinct shingles once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw, bounds in sub_batches(batches, "text"):
-            sets = shingle_sets(lowered(raw), bounds, words)
-            flat = np.concatenate(sets).view(np.int64)
-            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            each, first, n = np.unique(flat, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n > 1), b.column(0).take(pa.array(row[first]))], ["shingle", "shared", "id"])
-
-    sent = rows.select("id", "text").mapInArrow(run, "shingle long, shared boolean, id long")
-    alone = sent.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.max("shared").alias("shared")).where("id = other AND NOT shared")
-    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-
-
 def confirm(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scale: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. rows: (id, text)."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -64,38 +52,89 @@ def confirm(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scale:
     return settle(joined.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), 1 + scale // NARROW)
 
 
-def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, scale: int, share: int = 0, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def _hub_pairs(lists: DataFrame, percent: int, overlap: int) -> DataFrame:
+    """Distinct pairs (a, b) of a list's hub with its other members, where their sizes allow the similarity and they meet in `overlap` lists."""
+    hubs = _hubs(lists)
+    stars = lists.join(hubs, "value").where(F.col("id") != F.col("hub")).where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    return stars.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= overlap).select("a", "b")
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    hubs = lists.groupBy("value").agg(F.min(F.struct(-F.col("centre"), "id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return hubs.select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+
+
+def _by_differences(lists: DataFrame, rows: DataFrame, words: int, percent: int, scale: int) -> DataFrame:
+    """Shorter lists (value, id, n, centre, base, size, useful, asks, outside) that hold every similar pair of different components of the given ones.
+
+    lists: (value, id, n, centre, component), whose hubs were compared with all members. Say d(x) is what x's set and the hub's do not
+    share, and p the percentage. Similar x, y have |d(x)| + |d(y)| - 2 |d(x) & d(y)| <= c (|x| + |y|) with c = (100 - p) / (100 + p), and y,
+    in another component than the hub, has |d(y)| > c (|y| + |hub|). So they share more than (|d(x)| + c (|hub| - |x|)) / 2 elements of d(x),
+    one at least among so many of x's rarest as the rest cannot make up for. A new list holds, for one hub and element, the
+    sets that have it among these (asks), and the sets outside of the hub's component that have it at all (outside). size is |d(x)|,
+    useful is how many of d(x) a set of another component may share.
+    """
+    member = lists.join(_hubs(lists), "value")
+    home = member.where("id = hub").select("value", F.col("component").alias("hub_component"))
+    pairs = settle(member.join(home, "value").where("id <> hub").select("hub", "hub_n", "id", "n", "component", (F.col("component") != F.col("hub_component")).alias("outside")).distinct(), 1 + scale // NARROW)
+    sets = settle(full_sets(only(rows, pairs.select("id").union(pairs.select("hub")).distinct()), words), 1 + scale // WIDE)
+    both = pairs.join(sets.toDF("id", "own"), "id").join(sets.toDF("hub", "other"), "hub")
+    apart = both.withColumn("apart", F.concat(F.array_except("own", "other"), F.array_except("other", "own"))).withColumn("size", F.size("apart"))
+    shared = F.floor(((100 + percent) * F.col("size") + (100 - percent) * (F.col("hub_n") - F.col("n"))) / F.lit(2 * (100 + percent))) + 1
+    flat = settle(apart.select("hub", "id", "n", "component", "outside", "size", (F.col("size") - shared + 1).alias("prefix"), F.explode("apart").alias("element")), 1 + scale // WIDE)
+    # only elements that two components share, one of them outside, make a list; all others count as rarer than these
+    held = flat.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("held"), F.max("outside").alias("some"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("some AND lo < hi")
+    rank = F.row_number().over(W.partitionBy("hub", "id").orderBy("held", "element"))
+    useful = flat.join(held.select("hub", "element", "held"), ["hub", "element"]).withColumns({"rank": rank, "useful": F.count(F.lit(1)).over(W.partitionBy("hub", "id"))})
+    kept = useful.withColumn("asks", F.col("rank") + F.col("size") - F.col("useful") <= F.col("prefix")).where("asks OR outside")
+    met = kept.groupBy("hub", "element").agg(F.max("asks").alias("asked"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("asked AND lo < hi").select("hub", "element")
+    return settle(kept.join(met, ["hub", "element"]).select(F.xxhash64("hub", "element").alias("value"), "id", "n", (-F.col("size")).alias("centre"), F.col("hub").alias("base"), "size", "useful", "asks", "outside"), 1 + scale // WIDE)
+
+
+def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, scale: int, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(id, component) for each set that is linked with another one.
 
     listed: (id, n, centre, values), settled; n is the size of the set, centre tells how well it stands for its lists, values are the
-    lists it is in. Round 1 compares each list's hub (largest centre) with the other members. Round 2 compares, in lists that still
-    touch several components, the members of different components, except pairs whose sizes, less the shingles that no
-    other member of a long list has, rule the similarity out. A pair must meet in `overlap` lists, pairs of long lists also in
-    `share` percent of their lists together, and `likely` may drop pairs.
+    lists it is in. Each round compares each list's hub (largest centre) with the other members. Of the lists that then still touch several
+    components, those of up to `common` members have all their pairs of different components compared, and longer ones are split
+    into lists of sets that differ from the hub in the same way, which make the next round. In the first round a
+    pair must meet in `overlap` lists, and `likely` may drop pairs.
     scale: about how many sets there are; intermediate tables are written in files to match.
     """
     lists = listed.select("id", "n", "centre", F.explode("values").alias("value"))
-    hubs = lists.groupBy("value").agg(F.min(F.struct(-F.col("centre"), "id", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    stars = lists.join(hubs.select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "value").where(F.col("id") != F.col("hub"))
-    stars = stars.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    pairs = stars.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= overlap)
-    links = confirm(settle(likely(pairs.select("a", "b")), 1 + scale // NARROW), rows, words, percent, scale)
-    found = components(links)
-
-    placed = listed.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = settle(placed.select("id", "n", "component", F.explode("values").alias("value")), 1 + scale // WIDE)
-    split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("value", "members")
-    open_ = settle(placed.join(split, "value"), 1 + scale // NARROW)
-    long_ = open_.where(F.col("members") > common).select("id").distinct()
-    lone = lone_shingles(only(rows, long_), words)
-    rest = F.col("n") - F.when(F.col("members") > common, F.coalesce("lone", F.lit(0))).otherwise(0)
-    bound = settle(open_.join(lone, "id", "left").join(listed.select("id", "values"), "id").select("value", "id", "n", "component", "values", (F.col("members") > common).alias("long"), rest.alias("rest")), 1 + scale // NARROW)
-    x, y = bound.alias("x"), bound.alias("y")
-    least, both = F.least("x.rest", "y.rest"), F.array_intersect("x.values", "y.values")
-    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * least >= percent * (F.col("x.n") + F.col("y.n") - least))
-    # a pair counts in the first list that it shares, and in long lists only if it shares enough of its lists
-    enough = (F.size(both) >= overlap) & (~F.col("x.long") | (100 * F.size(both) >= share * F.size(F.array_union("x.values", "y.values"))))
-    cross = x.join(y, (F.col("x.value") == F.col("y.value")) & near & (F.get(both, F.lit(0)) == F.col("x.value")) & enough)
-    pairs = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = confirm(settle(likely(pairs), 1 + scale // NARROW), rows, words, percent, scale)
-    return found if more.isEmpty() else components(links.union(more))
+    links = None
+    for depth in range(ROUNDS):
+        pairs = _hub_pairs(lists, percent, 1 if depth else overlap)
+        near = confirm(settle(likely(pairs), 1 + scale // NARROW), rows, words, percent, scale)
+        links = near if links is None else links.union(near)
+        found = components(links)
+        placed = settle(lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), 1 + scale // WIDE)
+        split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("value", "members")
+        open_ = settle(placed.join(split, "value"), 1 + scale // NARROW)
+        short = open_.where(F.col("members") <= common) if depth < ROUNDS - 1 else open_
+        more = confirm(settle(likely(_all_pairs(short, percent, overlap, listed if not depth else None)), 1 + scale // NARROW), rows, words, percent, scale)
+        links = links.union(more)
+        long_ = open_.where(F.col("members") > common)
+        if depth == ROUNDS - 1 or long_.isEmpty():
+            break
+        found = components(links) if not more.isEmpty() else found
+        lists = _by_differences(long_.drop("component", "members").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), rows, words, percent, scale)
+        more = None
+        if lists.isEmpty():
+            break
+    return found if more is None or more.isEmpty() else components(links)
+
+
+def _all_pairs(lists: DataFrame, percent: int, overlap: int, listed: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of different components in the same list; each once, if listed tells all lists of each set, and then in `overlap` of them."""
+    x, y = lists.alias("x"), lists.alias("y")
+    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    if listed is None:
+        roles = (F.col("x.asks") & F.col("y.outside")) | (F.col("y.asks") & F.col("x.outside"))
+        apart = F.col("x.size") + F.col("y.size") - 2 * F.least("x.useful", "y.useful")
+        bound = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+        return x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.base") == F.col("y.base")) & near & roles & bound).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    whole = settle(lists.join(listed.select("id", "values"), "id"))
+    x, y = whole.alias("x"), whole.alias("y")
+    both = F.array_intersect("x.values", "y.values")
+    return x.join(y, (F.col("x.value") == F.col("y.value")) & near & (F.get(both, F.lit(0)) == F.col("x.value")) & (F.size(both) >= overlap)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

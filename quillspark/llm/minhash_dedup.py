@@ -4,9 +4,9 @@
 2. Inverted lists of retained values: a class is listed under the first `prefix` values of its sketch. Values that more than
    `common` classes retain come last in that order, so a passage that many texts share gives no list unless a text is made of it.
    Two sets of similarity s share none of their first p values with probability (1 - s)^p at most.
-3. Round 1 compares each list's hub (the member with the most common values) with the other members; round 2 compares, in
-   lists that still touch several components, all members of different components, except pairs whose sizes, less the
-   shingles that no other listed text has, rule the similarity out.
+3. Each list's hub (the member with the most common values) is compared with the other members. In lists that still touch several
+   components, all pairs of different components are compared if the list has up to `common` members; a longer list is split
+   by what its members do not share with the hub, by a bound that loses no similar pair, and its parts are lists of the next round.
 4. A pair goes on if it shares `overlap` listed values and the estimate from the union of both sketches is near the threshold;
    exact similarity of the full sets then decides. Components of the confirmed links are the groups.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import lowered, mix, settle, shingle_sets, sub_batches
 from .linking import NARROW, WIDE, linked, only
 
-SKETCH, PREFIX, COMMON, OVERLAP, SHARE, SLACK = 48, 20, 64, 3, 30, 0.35
+SKETCH, PREFIX, COMMON, OVERLAP, SLACK = 48, 20, 64, 3, 0.35
 
 
 def sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
@@ -98,7 +98,7 @@ def near_groups(
     known = settle(table.join(classes, ["print_a", "print_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), 1 + scale // WIDE)
     reps = known.where(F.col("sketch").isNotNull()).select("id", "n", "sketch")
     listed = settle(_listed(reps, prefix, common), 1 + scale // WIDE)
-    found = linked(listed, rows, words, percent, common, overlap, scale, SHARE, _likely(reps, percent, slack))
+    found = linked(listed, rows, words, percent, common, overlap, scale, _likely(reps, percent, slack))
     return known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
 
 
