@@ -1,15 +1,24 @@
-"""Near-duplicate paragraphs by MinHash banding.
+"""Near-duplicate paragraphs by MinHash banding, and repeated passages inside long ones.
 
 Paragraphs are the lines of a text. Each is a set of hashed word shingles; equal sets are one class, so a common line costs one row. Larger
 sets get a MinHash signature, cut into bands that are tuned for the wanted recall; classes that collide in a band are
-joined, exact Jaccard decides, and the components of the confirmed links are the groups. Of each group the first paragraph stays,
-by document id and place.
+joined, exact Jaccard decides, and the components of the confirmed links are the groups.
+
+A line of more than `LONG` words is also cut into pieces, so that a passage inside it is found though the rest of the line differs. A cut
+stands before a word if a hash of it and its predecessor is the smallest within `REACH` words to both sides: it depends on
+these words alone, so a passage of 50 words nearly always holds a whole piece. Pieces are grouped by equality of their sets; those that no other
+document has are not in the result.
+
+A line or piece is repeated if two documents have its group, and it is part of a passage if the repeated lines, or the
+repeated pieces of a line, that follow each other have `least_words` or more together. Shorter ones (a license line, a greeting) are boilerplate:
+they are reported, and stay. Of each group of passages the first one stays, by document id and place.
 
 Sets so small that no other set can be similar enough are compared by equality alone.
 
 Defined cases: null and empty texts have no paragraphs; lines without words are no paragraphs; a line shorter than a shingle is one
-shingle; a null document id sorts last in its group; rows that repeat an id repeat its paragraphs, of which one
-stays; an empty table gives an empty result; other columns are not looked at.
+shingle; a null document id sorts last in its group and counts as a document; rows that repeat an id repeat its paragraphs, of which one
+stays, and count as one document; a text of any length is cut whole, in one task; an empty table gives an empty result; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -21,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix, settle, shingle_sets, sub_batches
+from pyspark.sql import Window as W
+
+from .common import lowered, mix, settle, shingle_sets, sub_batches, word_hashes, word_spans
 from .linking import NARROW, linked
 
-HASHES, COMMON, RECALL = 20, 64, 0.9999
+HASHES, COMMON, RECALL = 6, 64, 0.9999
+LONG, REACH, LEAST_WORDS = 50, 6, 25
 
 
 def tune_bands(similarity: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -45,11 +57,11 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """(pid, doc_id, place, n, print_a, print_b, keys, text): text and band keys only where a similar other set is possible."""
+    """(pid, doc_id, place, words, n, print_a, print_b, keys, text): text and band keys only where a similar other set is possible."""
     least = -(-percent // (100 - percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "place", "n", "print_a", "print_b", "keys", "text"]
+        names = ["doc_id", "place", "words", "n", "print_a", "print_b", "keys", "text"]
         for b, raw, bounds in sub_batches(batches, "text"):
             cuts = np.union1d(np.flatnonzero(raw == 10) + 1, bounds)
             if len(cuts) < 2:
@@ -60,6 +72,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
             use = np.flatnonzero(size)
             if not len(use):
                 continue
+            held = np.diff(word_spans(raw, cuts)[2])
             place = np.arange(len(cuts) - 1) - np.searchsorted(cuts, bounds[:-1])[owner]
             rich = size[use] >= least
             keys: list = [None] * len(use)
@@ -76,6 +89,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
             cols = [
                 b.column(0).take(pa.array(owner[use])),
                 pa.array(place[use]),
+                pa.array(held[use].astype(np.int64)),
                 pa.array(size[use]),
                 pa.array(np.array([sets[k].sum(dtype=np.uint64) for k in use]).view(np.int64)),
                 pa.array(np.array([mix(sets[k] + np.uint64(1)).sum(dtype=np.uint64) for k in use]).view(np.int64)),
@@ -85,18 +99,98 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows_in.mapInArrow(run, "doc_id long, place long, n long, print_a long, print_b long, keys array<long>, text string")
+    cut = rows_in.mapInArrow(run, "doc_id long, place long, words long, n long, print_a long, print_b long, keys array<long>, text string")
     return cut.withColumn("pid", F.monotonically_increasing_id())
 
 
-def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hashes: int = HASHES, recall: float = RECALL, common: int = COMMON) -> DataFrame:
-    """One row for each paragraph: doc_id, place (from 0), n (set size), first_doc, first_place (the one that stays), members, kept."""
+def piece_starts(hashes: np.ndarray, first: np.ndarray, long: int, reach: int) -> np.ndarray:
+    """Numbers of the words before which long lines are cut, their first words included. first: number of each line's first word, and the end."""
+    size = np.diff(first)
+    wide = np.flatnonzero(size > long)
+    if not len(wide):
+        return np.zeros(0, np.int64)
+    pair = mix(hashes * np.uint64(3) + np.concatenate(([np.uint64(0)], hashes[:-1])))
+    best = np.full(len(pair), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(1, reach + 1):
+        np.minimum(best[k:], pair[:-k], out=best[k:])
+        np.minimum(best[:-k], pair[k:], out=best[:-k])
+    cut = pair < best
+    # the ends of a line count as cuts, so none stands within reach of them
+    at = np.arange(len(pair)) - np.repeat(first[:-1], size)
+    cut &= (at > reach) & (at < np.repeat(size, size) - reach) & np.repeat(size > long, size)
+    cut[first[:-1][wide]] = True
+    return np.flatnonzero(cut)
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, place, piece, words, n, print_a, print_b) of the pieces of long lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw, bounds in sub_batches(batches, "text"):
+            cuts = np.union1d(np.flatnonzero(raw == 10) + 1, bounds)
+            if len(cuts) < 2:
+                continue
+            low = lowered(raw)
+            starts, ends, first = word_spans(low, cuts)
+            at = piece_starts(word_hashes(low, starts, ends), first, LONG, REACH)
+            if not len(at):
+                continue
+            # each piece as bytes from its first word to the next piece, or to the end of its line
+            line = np.searchsorted(cuts, starts[at], "right") - 1
+            edges = np.union1d(starts[at], cuts[line + 1])
+            row = np.searchsorted(edges, starts[at])
+            sets = shingle_sets(low[edges[0] : edges[-1]], edges - edges[0], words)
+            sets = [sets[k] for k in row.tolist()]
+            owner = np.searchsorted(bounds, cuts[line], "right") - 1
+            new = np.r_[True, line[1:] != line[:-1]]
+            piece = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            held = np.searchsorted(starts, edges[row + 1]) - at
+            cols = [
+                b.column(0).take(pa.array(owner)),
+                pa.array(line - np.searchsorted(cuts, bounds[:-1])[owner]),
+                pa.array(piece),
+                pa.array(held.astype(np.int64)),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array(np.array([x.sum(dtype=np.uint64) for x in sets]).view(np.int64)),
+                pa.array(np.array([mix(x + np.uint64(1)).sum(dtype=np.uint64) for x in sets]).view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "piece", "words", "n", "print_a", "print_b"])
+
+    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows_in.mapInArrow(run, "doc_id long, place long, piece long, words long, n long, print_a long, print_b long")
+
+
+def _passages(found: DataFrame, line: list[str], place: str, least_words: int) -> DataFrame:
+    """found (.., documents) with `passage`: whether the repeated neighbours of a row, in order of place within line, have enough words together."""
+    some = found.where("documents > 1")
+    each = W.partitionBy(*line).orderBy(place)
+    # rows that repeat an id repeat its places, too
+    step = F.col(place) - F.coalesce(F.lag(place).over(each), F.lit(-2))
+    run = some.withColumn("step", (step > 1).cast("long")).withColumn("run", F.sum("step").over(each)).withColumn("together", F.sum("words").over(W.partitionBy(*line, "run")))
+    return run.withColumn("passage", F.col("together") >= least_words).drop("step", "run", "together").unionByName(found.where("documents <= 1").withColumn("passage", F.lit(False)))
+
+
+def _grouped(placed: DataFrame, by: list[str]) -> DataFrame:
+    """placed with its group's first paragraph and number of distinct documents."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "piece", "pid")
+    each = placed.groupBy(*by, "doc_id").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
+    groups = each.groupBy(*by).agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("documents"), F.sum("rows").alias("rows")).where("rows > 1")
+    return placed.join(groups.drop("rows"), by, "left").withColumns({"documents": F.coalesce("documents", F.lit(1)).cast("long"), "best": F.coalesce("best", order)})
+
+
+def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hashes: int = HASHES, recall: float = RECALL, common: int = COMMON, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row for each line, and for each piece of a long line that other documents have too.
+
+    doc_id, place (of the line, from 0), piece (null for whole lines), words, n (set size), first_doc, first_place, first_piece (the first of the
+    group), repeated (part of a passage that several documents have), members (documents that have it, 1 if not repeated),
+    boilerplate (documents that have it, 0 unless it repeats but is no passage), kept (false for all but the first of a repeated group).
+    """
     bands, rows = tune_bands(percent / 100, recall, hashes)
     cut = settle(paragraphs(docs, id_col, text_col, words, percent, bands, rows))
     scale = cut.count()
     prints = ["print_a", "print_b", "n"]
     classes = cut.groupBy(*prints).agg(F.min("pid").alias("rep"))
-    known = settle(cut.select("pid", "doc_id", "place", *prints).join(classes, prints).select("pid", "doc_id", "place", "n", "rep"), 1 + scale // NARROW)
+    known = settle(cut.select("pid", "doc_id", "place", "words", *prints).join(classes, prints).select("pid", "doc_id", "place", "words", "n", "rep"), 1 + scale // NARROW)
     reps = known.where("pid = rep").select("pid")
     rich = cut.where(F.col("keys").isNotNull())
     listed = rich.join(reps, "pid", "left_semi").select(F.col("pid").alias("id"), "n", F.lit(0).alias("centre"), "keys")
@@ -105,15 +199,25 @@ def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = flat.join(flat.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "key").groupBy("id").agg(F.collect_list("key").alias("values"), F.sum("held").alias("weight"))
     listed = settle(listed.join(met, "id").select("id", "n", F.col("weight").alias("centre"), "values"), 1 + scale // NARROW)
     found = linked(listed, rich.select(F.col("pid").alias("id"), "text"), words, percent, common, 1, scale)
-    placed = settle(known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("pid", "doc_id", "place", "n", F.coalesce("component", "rep").alias("component")), 1 + scale // NARROW)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "pid")
-    groups = placed.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("members"))
-    return placed.join(groups, "component").select("doc_id", "place", "n", F.col("best.doc_id").alias("first_doc"), F.col("best.place").alias("first_place"), "members", (F.col("pid") == F.col("best.pid")).alias("kept"))
+    none = F.lit(None).cast("long")
+    placed = settle(known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("pid", "doc_id", "place", none.alias("piece"), "words", "n", F.coalesce("component", "rep").alias("component")), 1 + scale // NARROW)
+    lines = _passages(_grouped(placed, ["component"]), ["doc_id"], "place", least_words)
+
+    parts = settle(pieces(docs, id_col, text_col, words).withColumn("pid", F.monotonically_increasing_id()), 1 + scale // NARROW)
+    more = parts.groupBy(*prints).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("none")).where("lo < hi OR none").select(*prints)
+    again = settle(parts.join(more, prints), 1 + scale // NARROW)
+    inner = _passages(_grouped(again, prints), ["doc_id", "place"], "piece", least_words // 2).where("documents > 1")
+    of = F.col("passage")
+    columns = ["doc_id", "place", "piece", "words", "n", F.col("best.doc_id").alias("first_doc"), F.col("best.place").alias("first_place"), F.col("best.piece").alias("first_piece"), of.alias("repeated")]
+    columns += [F.when(of, F.col("documents")).otherwise(1).alias("members"), F.when(~of & (F.col("documents") > 1), F.col("documents")).otherwise(0).alias("boilerplate"), (~of | (F.col("pid") == F.col("best.pid"))).alias("kept")]
+    return lines.select(*columns).unionByName(inner.select(*columns))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the paragraphs that do not stay taken out of their texts. Ids must be unique here."""
-    gone = paragraph_groups(docs, id_col, text_col, **options).where("NOT kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_gone"))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["_doc"], "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i.cast("long")), F.lit(False)))
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    """docs with the lines that do not stay taken out of their texts. Ids must be unique here; a row without an id stays whole."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    gone = paragraph_groups(docs, id_col, text_col, **options).where("NOT kept AND piece IS NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_gone"))
+    joined = docs.toDF(*names).join(gone, F.col(key).cast("long") == F.col("_doc"), "left")
+    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i.cast("long")), F.lit(False)))
+    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*names).toDF(*docs.columns)

@@ -127,17 +127,39 @@ def test_drop_exact_copies(docs, empty, odd):
 def test_paragraph_groups(docs, empty, odd):
     sets = {(i, k): shingles(line, 5) for i, t in enumerate(texts()) for k, line in enumerate((t or "").split("\n")) if WORD.search(line)}
     want = brute_groups(sets, 80)
-    got = paragraph_dedup.paragraph_groups(docs).collect()
-    assert {(r["doc_id"], r["place"]): (r["first_doc"], r["first_place"]) for r in got} == want
+    got = paragraph_dedup.paragraph_groups(docs, least_words=0).collect()
+    lines = [r for r in got if r["piece"] is None]
+    assert {(r["doc_id"], r["place"]): (r["first_doc"], r["first_place"]) for r in lines} == want
+    held = collections.defaultdict(set)
+    for k, v in want.items():
+        held[v].add(k[0])
+    assert {(r["doc_id"], r["place"]): (r["members"], r["kept"]) for r in lines} == {k: (len(held[v]), k == v or len(held[v]) == 1) for k, v in want.items()}
     assert paragraph_dedup.paragraph_groups(empty).count() == 0
-    assert sum(r["kept"] for r in paragraph_dedup.paragraph_groups(odd).collect()) == 2
-    assert paragraph_dedup.tune_bands(0.8, 0.9999, 20) == (10, 2)
+    assert [r["kept"] for r in paragraph_dedup.paragraph_groups(odd).collect()] == [True] * 4  # one document's own lines, too short besides
+    assert paragraph_dedup.tune_bands(0.8, 0.9999, 20) == (10, 2) and paragraph_dedup.tune_bands(0.8, 0.9999, 6) == (6, 1)
+
+
+def test_passages(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(n))
+    passage, license_line, spread = words(54), words(14), [words(9) for _ in range(6)]
+    rows = [(i, f"{license_line}\n{words(40)} {passage} {words(30)}") for i in range(6)]
+    rows += [(i, f"{license_line}\n{words(150)}\n{words(8)}") for i in range(6, 30)]
+    rows += [(i, "\n".join([words(12), *spread, words(12)])) for i in range(30, 33)]
+    rows += [(40, words(400_000)), (41, None), (None, passage)]
+    got = paragraph_dedup.paragraph_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["repeated"]} == {*range(6), *range(30, 33), None}
+    assert {r["boilerplate"] for r in got if r["place"] == 0 and r["piece"] is None and r["doc_id"] is not None and r["doc_id"] < 30} == {30}
+    whole = [r for r in got if r["doc_id"] in range(30, 33) and r["repeated"]]
+    assert {(r["place"], r["members"], r["kept"]) for r in whole} == {(k, 3, f) for k in range(1, 7) for f in (True, False)}
+    # only pieces that several documents have are rows
+    assert all(r["members"] > 1 or r["boilerplate"] > 1 for r in got if r["piece"] is not None)
 
 
 def test_drop_repeats(spark):
     line = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(1, f"a b c\n{line}"), (2, f"{line}\nnew words only here")], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in paragraph_dedup.drop_repeats(df).collect()} == {1: f"a b c\n{line}", 2: "new words only here"}
+    assert {r["doc_id"]: r["text"] for r in paragraph_dedup.drop_repeats(df, least_words=10).collect()} == {1: f"a b c\n{line}", 2: "new words only here"}
 
 
 def test_repeats(docs, empty, odd):
