@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -234,7 +235,25 @@ def test_top_k(spark, empty):
     assert {r["query_id"] for r in got} == {0, 100, 200, 300}
     assert topk_search.top_k(df.limit(0)).count() == 0
     few = topk_search.top_k(spark.createDataFrame([(0, [1e12, 1.0]), (1, [2e12, 3.0])], "vec_id long, embedding array<double>")).collect()
-    assert [(r["id"], r["rank"]) for r in few] == [(1, 1)]
+    assert [(r["id"], r["rank"], r["score"]) for r in few] == [(1, 1, 2**63 - 1)]
+
+
+def test_top_k_large_scores_and_mixed_lengths(spark):
+    """Equal scores beyond 2^53 in several shards, near ones that doubles cannot tell apart, lengths apart, repeated ids, another column."""
+    rng = random.Random(8)
+    big = [float(3 * 2**17), float(2**16 + 1)]
+    rows = [(i, big) for i in range(60)] + [(100 + i, [big[0], big[1] + rng.choice([0, 0, -(2.0**-10)])]) for i in range(1, 60)]
+    rows += [(i, [1.0, 2.0, float(i % 7)]) for i in range(200, 240)] + [(300, [1.0]), (7, big), (7, big)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, shard string")
+    got = collections.defaultdict(list)
+    for r in topk_search.top_k(df, shard_rows=9, pivots=3).collect():
+        got[r["query_id"]].append((r["rank"], r["id"], r["score"]))
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for q, v in whole:
+        if q % 100 == 0:
+            want = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v))[:10]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    assert max(s for _, _, s in got[0]) > 2**53
 
 
 def test_mix(docs, empty, odd):
