@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import _BLOCK, _BYTE, _DOWN, _UP, binary_view, give_back, hold, mix
 
 LENGTH, WINDOW = 50, 32
-CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 1 << 21, 60_000, 24 << 20
+CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES, PART_BYTES = 1 << 21, 60_000, 24 << 20, 2 << 20
 LAST = np.iinfo(np.int64).max
 _OTHER = mix(_BYTE)
 
@@ -233,18 +233,28 @@ def _earlier(pdf: pd.DataFrame) -> pd.DataFrame:
 def _suffixes(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Kind 3: of all suffixes of these phrases of the dictionary, in their order, those that an earlier document has."""
     widths = [unpacked(x, n, "<u4").astype(np.int64) for x, n in zip(pdf["widths"], pdf["n"].tolist())]
-    width = np.concatenate(widths)
     text = np.frombuffer(b"".join(pa.decompress(x, decompressed_size=int(w.sum()), codec="zstd", asbytes=True) for x, w in zip(pdf["text"], widths)), np.uint8)
-    doc = np.concatenate([unpacked(x, n, "<i8") for x, n in zip(pdf["doc"], pdf["n"].tolist())])
-    many = width - length + 1
-    start = np.repeat(np.cumsum(width) - width - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[start]).view(f"S{length}").reshape(-1)
-    own = np.repeat(doc, many)
-    order = np.argsort(strings, kind="stable")
-    first = np.flatnonzero(_runs(strings[order]))
-    best = np.repeat(np.minimum.reduceat(own[order], first), np.diff(np.r_[first, len(order)]))
-    again = np.zeros(len(order), bool)
-    again[order] = best < own[order]
+    tag, doc = (np.concatenate([unpacked(x, n, kind) for x, n in zip(pdf[c], pdf["n"].tolist())]) for c, kind in (("tag", "<u4"), ("doc", "<i8")))
+    width = np.concatenate(widths)
+    start, many = np.cumsum(width) - width, width - length + 1
+    place = np.cumsum(many) - many
+    again = np.zeros(int(many.sum()), bool)
+    every = np.lib.stride_tricks.sliding_window_view(text, length)
+    # phrases of one trigger stay together; so much text at once, as its suffixes take many times that
+    parts = 1 + len(text) // PART_BYTES
+    for part in range(parts):
+        use = np.flatnonzero(tag % np.uint32(parts) == part)
+        if not len(use):
+            continue
+        n = many[use]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        strings = every[np.repeat(start[use], n) + within].view(f"S{length}").reshape(-1)
+        own = np.repeat(doc[use], n)
+        order = np.argsort(strings, kind="stable")
+        first = np.flatnonzero(_runs(strings[order]))
+        best = np.repeat(np.minimum.reduceat(own[order], first), np.diff(np.r_[first, len(order)]))
+        again[(np.repeat(place[use], n) + within)[order]] = best < own[order]
+    del text, every
     give_back()
     return _replies(pdf, np.array([int((w - length + 1).sum()) for w in widths]), k3=again)
 
@@ -296,19 +306,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     told = shared.unionByName(earlier)
 
     def look(key: tuple, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {c: [] for c in ("chunk", "bucket", "n", "widths", "text", "doc")}
+        out: dict[str, list] = {c: [] for c in ("chunk", "bucket", "n", "tag", "widths", "text", "doc")}
         for r in chunk.itertuples() if (answers["kind"] == 2).any() else ():
             p, first, bucket, _ = parsed(r, answers)
             use = np.flatnonzero(_flags(answers, 2, len(first), bucket))
             for b, lo, hi in _split(bucket[use]):
                 at = first[use[lo:hi]]
                 text = b"".join(p.data[a : c + length].tobytes() for a, c in zip(p.lo[at].tolist(), p.hi[at].tolist()))
-                for c, v in zip(out.values(), (r.chunk, b, hi - lo, packed((p.hi[at] - p.lo[at] + length).astype("<u4")), pa.compress(text, codec="zstd", asbytes=True), packed(p.ids[p.doc[at]].astype("<i8")))):
+                for c, v in zip(out.values(), (r.chunk, b, hi - lo, packed((p.trigger[at] >> np.uint64(8)).astype("<u4")), packed((p.hi[at] - p.lo[at] + length).astype("<u4")), pa.compress(text, codec="zstd", asbytes=True), packed(p.ids[p.doc[at]].astype("<i8")))):
                     c.append(v)
         give_back()
         return pd.DataFrame(out)
 
-    inner = by_chunk.cogroup(told.groupBy("chunk")).applyInPandas(look, "chunk long, bucket long, n long, widths binary, text binary, doc binary")
+    inner = by_chunk.cogroup(told.groupBy("chunk")).applyInPandas(look, "chunk long, bucket long, n long, tag binary, widths binary, text binary, doc binary")
     suffixes = hold(inner.groupBy("bucket").applyInPandas(lambda pdf: _suffixes(pdf, length), form))
 
     def cut(key: tuple, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
