@@ -43,6 +43,22 @@ def full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
+def lone_shingles(rows: DataFrame, words: int) -> DataFrame:
+    """(id, lone): how many shingles of a text no other text of rows has. Every task sends each of its distinct shingles once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw, bounds in sub_batches(batches, "text"):
+            sets = shingle_sets(lowered(raw), bounds, words)
+            flat = np.concatenate(sets).view(np.int64)
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            each, first, n = np.unique(flat, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n > 1), b.column(0).take(pa.array(row[first]))], ["shingle", "shared", "id"])
+
+    sent = rows.select("id", "text").mapInArrow(run, "shingle long, shared boolean, id long")
+    alone = sent.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.max("shared").alias("shared")).where("id = other AND NOT shared")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def confirm(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scale: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. rows: (id, text)."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -91,14 +107,16 @@ def _by_differences(lists: DataFrame, rows: DataFrame, words: int, percent: int,
     return settle(kept.join(met, ["hub", "element"]).select(F.xxhash64("hub", "element").alias("value"), "id", "n", (-F.col("size")).alias("centre"), F.col("hub").alias("base"), "size", "useful", "asks", "outside"), 1 + scale // WIDE)
 
 
-def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, scale: int, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, scale: int, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, dense: bool = True) -> DataFrame:
     """(id, component) for each set that is linked with another one.
 
     listed: (id, n, centre, values), settled; n is the size of the set, centre tells how well it stands for its lists, values are the
     lists it is in. Each round compares each list's hub (largest centre) with the other members. Of the lists that then still touch several
     components, those of up to `common` members have all their pairs of different components compared, and longer ones are split
     into lists of sets that differ from the hub in the same way, which make the next round. In the first round a
-    pair must meet in `overlap` lists, and `likely` may drop pairs.
+    pair must meet in `overlap` lists, and `likely` may drop pairs. Without `dense`, where the members of long lists are not close to their hub,
+    long lists are not split: all their pairs of different components are compared whose sizes, less the shingles that no other member has,
+    allow the similarity.
     scale: about how many sets there are; intermediate tables are written in files to match.
     """
     lists = listed.select("id", "n", "centre", F.explode("values").alias("value"))
@@ -111,6 +129,10 @@ def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common:
         placed = settle(lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), 1 + scale // WIDE)
         split = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("value", "members")
         open_ = settle(placed.join(split, "value"), 1 + scale // NARROW)
+        if not dense:
+            more = confirm(settle(likely(_by_sizes(open_, rows, words, percent, common, overlap, listed, scale)), 1 + scale // NARROW), rows, words, percent, scale)
+            links = links.union(more)
+            break
         short = open_.where(F.col("members") <= common) if depth < ROUNDS - 1 else open_
         more = confirm(settle(likely(_all_pairs(short, percent, overlap, listed if not depth else None)), 1 + scale // NARROW), rows, words, percent, scale)
         links = links.union(more)
@@ -125,6 +147,19 @@ def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common:
     return found if more is None or more.isEmpty() else components(links)
 
 
+def _by_sizes(open_: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, listed: DataFrame, scale: int) -> DataFrame:
+    """Pairs (a, b) of different components, each once, that meet in `overlap` lists, where what a member of a long list may share with others allows
+    the similarity."""
+    wide = F.col("members") > common
+    lone = lone_shingles(only(rows, open_.where(wide).select("id").distinct()), words)
+    rest = F.col("n") - F.when(wide, F.coalesce("lone", F.lit(0))).otherwise(0)
+    bound = settle(open_.join(lone, "id", "left").join(listed.select("id", "values"), "id").select("value", "id", "n", "component", "values", rest.alias("rest")), 1 + scale // NARROW)
+    x, y = bound.alias("x"), bound.alias("y")
+    least, both = F.least("x.rest", "y.rest"), F.array_intersect("x.values", "y.values")
+    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * least >= percent * (F.col("x.n") + F.col("y.n") - least))
+    return x.join(y, (F.col("x.value") == F.col("y.value")) & near & (F.get(both, F.lit(0)) == F.col("x.value")) & (F.size(both) >= overlap)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def _all_pairs(lists: DataFrame, percent: int, overlap: int, listed: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of different components in the same list; each once, if listed tells all lists of each set, and then in `overlap` of them."""
     x, y = lists.alias("x"), lists.alias("y")

@@ -6,7 +6,7 @@ joined, exact Jaccard decides, and the components of the confirmed links are the
 
 A line of more than `LONG` words is also cut into pieces, so that a passage inside it is found though the rest of the line differs. A cut
 stands before a word if a hash of it and its predecessor is the smallest within `REACH` words to both sides: it depends on
-these words alone, so a passage of 50 words nearly always holds a whole piece. Pieces are grouped by equality of their sets; those that no other
+these words alone, so a passage of 50 words nearly always holds a whole piece. Pieces are grouped by equality of their words; those that no other
 document has are not in the result.
 
 A line or piece is repeated if two documents have its group, and it is part of a passage if the repeated lines, or the
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import Window as W
 
-from .common import lowered, mix, settle, shingle_sets, sub_batches, word_hashes, word_spans
-from .linking import NARROW, linked
+from .common import _DOWN, lowered, mix, powers, settle, shingle_sets, sub_batches, word_hashes, word_spans
+from .linking import BROADCAST_IDS, NARROW, linked
 
-HASHES, COMMON, RECALL = 6, 64, 0.9999
+HASHES, COMMON, RECALL = 14, 64, 0.999
 LONG, REACH, LEAST_WORDS = 50, 6, 25
 
 
@@ -122,8 +122,8 @@ def piece_starts(hashes: np.ndarray, first: np.ndarray, long: int, reach: int) -
     return np.flatnonzero(cut)
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, place, piece, words, n, print_a, print_b) of the pieces of long lines."""
+def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, place, piece, words, name_a, name_b) of the pieces of long lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw, bounds in sub_batches(batches, "text"):
@@ -132,32 +132,31 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
                 continue
             low = lowered(raw)
             starts, ends, first = word_spans(low, cuts)
-            at = piece_starts(word_hashes(low, starts, ends), first, LONG, REACH)
+            hashes = word_hashes(low, starts, ends)
+            at = piece_starts(hashes, first, LONG, REACH)
             if not len(at):
                 continue
-            # each piece as bytes from its first word to the next piece, or to the end of its line
-            line = np.searchsorted(cuts, starts[at], "right") - 1
-            edges = np.union1d(starts[at], cuts[line + 1])
-            row = np.searchsorted(edges, starts[at])
-            sets = shingle_sets(low[edges[0] : edges[-1]], edges - edges[0], words)
-            sets = [sets[k] for k in row.tolist()]
+            line = np.searchsorted(first, at, "right") - 1
+            # a piece ends where the next one starts, or its line ends
+            stop = np.minimum(np.append(at[1:], len(hashes)), first[line + 1])
+            names = []
+            for salt in (0, 1):
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(salt)) * powers(len(hashes)))))
+                names.append(mix((sums[stop] - sums[at]) * powers(len(hashes), _DOWN[1])[at] + (stop - at).astype(np.uint64)))
             owner = np.searchsorted(bounds, cuts[line], "right") - 1
             new = np.r_[True, line[1:] != line[:-1]]
-            piece = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            held = np.searchsorted(starts, edges[row + 1]) - at
             cols = [
                 b.column(0).take(pa.array(owner)),
                 pa.array(line - np.searchsorted(cuts, bounds[:-1])[owner]),
-                pa.array(piece),
-                pa.array(held.astype(np.int64)),
-                pa.array([len(x) for x in sets], pa.int64()),
-                pa.array(np.array([x.sum(dtype=np.uint64) for x in sets]).view(np.int64)),
-                pa.array(np.array([mix(x + np.uint64(1)).sum(dtype=np.uint64) for x in sets]).view(np.int64)),
+                pa.array(np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]),
+                pa.array((stop - at).astype(np.int64)),
+                pa.array(names[0].view(np.int64)),
+                pa.array(names[1].view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "piece", "words", "n", "print_a", "print_b"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "piece", "words", "name_a", "name_b"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, place long, piece long, words long, n long, print_a long, print_b long")
+    return rows_in.mapInArrow(run, "doc_id long, place long, piece long, words long, name_a long, name_b long")
 
 
 def _passages(found: DataFrame, line: list[str], place: str, least_words: int) -> DataFrame:
@@ -181,7 +180,7 @@ def _grouped(placed: DataFrame, by: list[str]) -> DataFrame:
 def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hashes: int = HASHES, recall: float = RECALL, common: int = COMMON, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each line, and for each piece of a long line that other documents have too.
 
-    doc_id, place (of the line, from 0), piece (null for whole lines), words, n (set size), first_doc, first_place, first_piece (the first of the
+    doc_id, place (of the line, from 0), piece (null for whole lines), words, n (set size; of a piece its shingles), first_doc, first_place, first_piece (the first of the
     group), repeated (part of a passage that several documents have), members (documents that have it, 1 if not repeated),
     boilerplate (documents that have it, 0 unless it repeats but is no passage), kept (false for all but the first of a repeated group).
     """
@@ -198,15 +197,17 @@ def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     flat = listed.select("id", F.explode("keys").alias("key"))
     met = flat.join(flat.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "key").groupBy("id").agg(F.collect_list("key").alias("values"), F.sum("held").alias("weight"))
     listed = settle(listed.join(met, "id").select("id", "n", F.col("weight").alias("centre"), "values"), 1 + scale // NARROW)
-    found = linked(listed, rich.select(F.col("pid").alias("id"), "text"), words, percent, common, 1, scale)
+    found = linked(listed, rich.select(F.col("pid").alias("id"), "text"), words, percent, common, 1, scale, dense=False)
     none = F.lit(None).cast("long")
     placed = settle(known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("pid", "doc_id", "place", none.alias("piece"), "words", "n", F.coalesce("component", "rep").alias("component")), 1 + scale // NARROW)
     lines = _passages(_grouped(placed, ["component"]), ["doc_id"], "place", least_words)
 
-    parts = settle(pieces(docs, id_col, text_col, words).withColumn("pid", F.monotonically_increasing_id()), 1 + scale // NARROW)
-    more = parts.groupBy(*prints).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("none")).where("lo < hi OR none").select(*prints)
-    again = settle(parts.join(more, prints), 1 + scale // NARROW)
-    inner = _passages(_grouped(again, prints), ["doc_id", "place"], "piece", least_words // 2).where("documents > 1")
+    # names that several documents have; few enough of them spare the pieces a shuffle, else they meet by it
+    parts = pieces(docs, id_col, text_col).withColumn("pid", F.monotonically_increasing_id())
+    more = settle(parts.groupBy("name_a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("none")).where("lo < hi OR none").select("name_a"), 1 + scale // NARROW)
+    again = settle(parts.join(F.broadcast(more) if more.count() <= BROADCAST_IDS else more, "name_a"), 1 + scale // NARROW)
+    n = F.greatest(F.col("words") - (words - 1), F.lit(1))
+    inner = _passages(_grouped(again, ["name_a", "name_b"]), ["doc_id", "place"], "piece", least_words // 2).where("documents > 1").withColumn("n", n)
     of = F.col("passage")
     columns = ["doc_id", "place", "piece", "words", "n", F.col("best.doc_id").alias("first_doc"), F.col("best.place").alias("first_place"), F.col("best.piece").alias("first_piece"), of.alias("repeated")]
     columns += [F.when(of, F.col("documents")).otherwise(1).alias("members"), F.when(~of & (F.col("documents") > 1), F.col("documents")).otherwise(0).alias("boilerplate"), (~of | (F.col("pid") == F.col("best.pid"))).alias("kept")]
