@@ -51,7 +51,8 @@ def div(a: Column, n: int) -> Column:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(c, 6)
+    """Six places, by the double nearest to a million times the number; round(c, 6) goes by its decimal digits and parts from SQL engines at ties."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6) / 1e6
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,16 +77,18 @@ def linear_posterior(features: dict[str, Column], means: dict[str, float], scale
 
 
 def blend(posterior: Dist, primary: Dist, auxiliary: Dist | None = None, w_primary: float = 0.10, w_auxiliary: float = 0.35) -> Dist:
-    """Posterior mixed with one or two head distributions; weights are clamped to 0.5 and 0.7."""
+    """Posterior mixed with one or two head distributions; weights are clamped to 0.5 and 0.7. Each is brought to a sum of 1 first, if it
+    is not 1 but for rounding."""
     w_p, w_a = min(max(w_primary, 0.0), 0.5), min(max(w_auxiliary, 0.0), 0.7)
     if w_p + w_a == 0:
         return posterior
 
     def unit(d: Dist) -> Dist:
         total = _sum(d[k] for k in LABELS)
-        return {k: F.when(total > 0, d[k] / total).otherwise(1.0 / len(LABELS)) for k in LABELS}
+        return {k: F.when(F.abs(total - 1) < 1e-12, d[k]).when(total > 0, d[k] / total).otherwise(1.0 / len(LABELS)) for k in LABELS}
 
-    kept = F.greatest(_sum(posterior[k] for k in LABELS), F.lit(1e-12))
+    held = _sum(posterior[k] for k in LABELS)
+    kept = F.when(F.abs(held - 1) < 1e-12, F.lit(1.0)).otherwise(F.greatest(held, F.lit(1e-12)))
     first, second = unit(primary), unit(auxiliary) if auxiliary else None
     mixed = {k: max(0.0, 1 - w_p - w_a) * posterior[k] / kept + w_p * first[k] + (w_a * second[k] if second else F.lit(0.0)) for k in LABELS}
     total = F.greatest(_sum(mixed.values()), F.lit(1e-12))
