@@ -80,7 +80,7 @@ def _hubs(lists: DataFrame) -> DataFrame:
     return hubs.select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
 
 
-def _by_differences(lists: DataFrame, rows: DataFrame, words: int, percent: int, scale: int) -> DataFrame:
+def _by_differences(lists: DataFrame, rows: DataFrame, words: int, percent: int, scale: int, least_lists: int) -> DataFrame:
     """Shorter lists (value, id, n, centre, base, size, useful, asks, outside) that hold every similar pair of different components of the given ones.
 
     lists: (value, id, n, centre, component), whose hubs were compared with all members. Say d(x) is what x's set and the hub's do not
@@ -92,7 +92,9 @@ def _by_differences(lists: DataFrame, rows: DataFrame, words: int, percent: int,
     """
     member = lists.join(_hubs(lists), "value")
     home = member.where("id = hub").select("value", F.col("component").alias("hub_component"))
-    pairs = settle(member.join(home, "value").where("id <> hub").select("hub", "hub_n", "id", "n", "component", (F.col("component") != F.col("hub_component")).alias("outside")).distinct(), 1 + scale // NARROW)
+    # a pair that has a short list in common was compared there; others meet in so many long ones
+    often = lists.groupBy("id").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= least_lists).select("id")
+    pairs = settle(member.join(often, "id", "left_semi").join(home, "value").where("id <> hub").select("hub", "hub_n", "id", "n", "component", (F.col("component") != F.col("hub_component")).alias("outside")).distinct(), 1 + scale // NARROW)
     sets = settle(full_sets(only(rows, pairs.select("id").union(pairs.select("hub")).distinct()), words), 1 + scale // WIDE)
     both = pairs.join(sets.toDF("id", "own"), "id").join(sets.toDF("hub", "other"), "hub")
     apart = both.withColumn("apart", F.concat(F.array_except("own", "other"), F.array_except("other", "own"))).withColumn("size", F.size("apart"))
@@ -140,7 +142,7 @@ def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common:
         if depth == ROUNDS - 1 or long_.isEmpty():
             break
         found = components(links) if not more.isEmpty() else found
-        lists = _by_differences(long_.drop("component", "members").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), rows, words, percent, scale)
+        lists = _by_differences(long_.drop("component", "members").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), rows, words, percent, scale, 1 if depth else overlap)
         more = None
         if lists.isEmpty():
             break
@@ -161,7 +163,8 @@ def _by_sizes(open_: DataFrame, rows: DataFrame, words: int, percent: int, commo
 
 
 def _all_pairs(lists: DataFrame, percent: int, overlap: int, listed: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of different components in the same list; each once, if listed tells all lists of each set, and then in `overlap` of them."""
+    """Pairs (a, b) of different components in the same list; each once, in the first of these lists that it shares, if listed tells all
+    lists of each set, and then in `overlap` of all."""
     x, y = lists.alias("x"), lists.alias("y")
     near = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     if listed is None:
@@ -169,7 +172,8 @@ def _all_pairs(lists: DataFrame, percent: int, overlap: int, listed: DataFrame |
         apart = F.col("x.size") + F.col("y.size") - 2 * F.least("x.useful", "y.useful")
         bound = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
         return x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.base") == F.col("y.base")) & near & roles & bound).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    whole = settle(lists.join(listed.select("id", "values"), "id"))
+    here = lists.groupBy("id").agg(F.array_sort(F.collect_set("value")).alias("here"))
+    whole = settle(lists.join(here, "id").join(listed.select("id", "values"), "id"))
     x, y = whole.alias("x"), whole.alias("y")
-    both = F.array_intersect("x.values", "y.values")
-    return x.join(y, (F.col("x.value") == F.col("y.value")) & near & (F.get(both, F.lit(0)) == F.col("x.value")) & (F.size(both) >= overlap)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    first, both = F.get(F.array_intersect("x.here", "y.here"), F.lit(0)), F.array_intersect("x.values", "y.values")
+    return x.join(y, (F.col("x.value") == F.col("y.value")) & near & (first == F.col("x.value")) & (F.size(both) >= overlap)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
