@@ -90,11 +90,15 @@ def _by_differences(lists: DataFrame, rows: DataFrame, words: int, percent: int,
     sets that have it among these (asks), and the sets outside of the hub's component that have it at all (outside). size is |d(x)|,
     useful is how many of d(x) a set of another component may share.
     """
-    member = lists.join(_hubs(lists), "value")
-    home = member.where("id = hub").select("value", F.col("component").alias("hub_component"))
-    # a pair that has a short list in common was compared there; others meet in so many long ones
-    often = lists.groupBy("id").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= least_lists).select("id")
-    pairs = settle(member.join(often, "id", "left_semi").join(home, "value").where("id <> hub").select("hub", "hub_n", "id", "n", "component", (F.col("component") != F.col("hub_component")).alias("outside")).distinct(), 1 + scale // NARROW)
+    placed = lists.join(_hubs(lists), "value")
+    home = placed.where("id = hub").select("value", F.col("component").alias("hub_component"))
+    # a pair that has a short list in common was compared there, and others meet in `least_lists` long ones: in any order of the lists, the first
+    # that a pair has in common is not among the last `least_lists` - 1 of either. Hubs of many lists come first, so that a set meets few hubs.
+    order = W.partitionBy("id").orderBy(F.desc("lists"), "hub", "value")
+    weight = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("lists"))
+    ranked = placed.join(weight, "hub").withColumns({"rank": F.row_number().over(order), "met": F.count(F.lit(1)).over(W.partitionBy("id"))})
+    member = ranked.where(F.col("rank") <= F.col("met") - (least_lists - 1))
+    pairs = settle(member.join(home, "value").where("id <> hub").select("hub", "hub_n", "id", "n", "component", (F.col("component") != F.col("hub_component")).alias("outside")).distinct(), 1 + scale // NARROW)
     sets = settle(full_sets(only(rows, pairs.select("id").union(pairs.select("hub")).distinct()), words), 1 + scale // WIDE)
     both = pairs.join(sets.toDF("id", "own"), "id").join(sets.toDF("hub", "other"), "hub")
     apart = both.withColumn("apart", F.concat(F.array_except("own", "other"), F.array_except("other", "own"))).withColumn("size", F.size("apart"))
@@ -104,9 +108,9 @@ def _by_differences(lists: DataFrame, rows: DataFrame, words: int, percent: int,
     held = flat.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("held"), F.max("outside").alias("some"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("some AND lo < hi")
     rank = F.row_number().over(W.partitionBy("hub", "id").orderBy("held", "element"))
     useful = flat.join(held.select("hub", "element", "held"), ["hub", "element"]).withColumns({"rank": rank, "useful": F.count(F.lit(1)).over(W.partitionBy("hub", "id"))})
-    kept = useful.withColumn("asks", F.col("rank") + F.col("size") - F.col("useful") <= F.col("prefix")).where("asks OR outside")
+    kept = settle(useful.withColumn("asks", F.col("rank") + F.col("size") - F.col("useful") <= F.col("prefix")).where("asks OR outside"), 1 + scale // WIDE)
     met = kept.groupBy("hub", "element").agg(F.max("asks").alias("asked"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("asked AND lo < hi").select("hub", "element")
-    return settle(kept.join(met, ["hub", "element"]).select(F.xxhash64("hub", "element").alias("value"), "id", "n", (-F.col("size")).alias("centre"), F.col("hub").alias("base"), "size", "useful", "asks", "outside"), 1 + scale // WIDE)
+    return settle(kept.join(met, ["hub", "element"], "left_semi").select(F.xxhash64("hub", "element").alias("value"), "id", "n", (-F.col("size")).alias("centre"), F.col("hub").alias("base"), "size", "useful", "asks", "outside"), 1 + scale // WIDE)
 
 
 def linked(listed: DataFrame, rows: DataFrame, words: int, percent: int, common: int, overlap: int, scale: int, likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, dense: bool = True) -> DataFrame:
