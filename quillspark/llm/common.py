@@ -16,12 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 SUB_BATCH_BYTES = 1 << 21
 
 
+_private: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none (tests)."""
+    """The folder that driver and executors share; a private one of the application only where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _private.setdefault(app, "") or tempfile.mkdtemp(prefix="quillspark-")
+        _private[app] = where
     return where.rstrip("/")
 
 
