@@ -847,6 +847,57 @@ def thresholds_file(spark, sf):
     return _rounded(loaders.thresholds_table(posts(spark, sf).select("post_id", body.alias("value")), ("post_id",)))
 
 
+# ---- single functions on whole tables
+
+
+_MOODS = ["LABEL_2", "pos", " Positive ", "LABEL_0", "NEGATIVE", "neutral", "mixed", "label_1"]
+_MEANS = dict(zip(LABELS, (0.25, 0.24, 0.26, 0.25)))
+_SCALES = dict(zip(LABELS, (0.12, 0.11, 0.13, 0.0)))
+_WEIGHTS = {a: {b: round(0.9 - 0.35 * abs(i - j), 2) for j, b in enumerate(LABELS)} for i, a in enumerate(LABELS)}
+_STARTS = dict(zip(LABELS, (0.1, -0.05, 0.0, 0.2)))
+
+
+def _score(k: str) -> str:
+    return " + ".join([f"{_STARTS[k]}::DOUBLE", *(f"(({c} - {_MEANS[c]}::DOUBLE) / {_SCALES[c]}::DOUBLE) * {_WEIGHTS[k][c]}::DOUBLE" for c in LABELS if _SCALES[c])])
+
+
+@query("linear_posterior", f"""WITH {POSTS}, s AS (SELECT post_id, {', '.join(f'{_score(k)} AS s_{k}' for k in LABELS)} FROM posts),
+e AS (SELECT post_id, {', '.join(f"exp(s_{k} - greatest({', '.join(f's_{c}' for c in LABELS)})) AS {k}" for k in LABELS)} FROM s)
+SELECT post_id, {', '.join(f"round({k} / ({' + '.join(LABELS)}), 6) AS {k}" for k in LABELS)} FROM e""")
+def linear_posterior(spark, sf):
+    got = decisions.linear_posterior(dist(), _MEANS, _SCALES, _WEIGHTS, _STARTS)
+    return posts(spark, sf).select("post_id", *[r6(v).alias(k) for k, v in got.items()])
+
+
+@query("normalised_snapshot", f"""WITH {POSTS}, n AS (SELECT post_id, {', '.join(f"greatest(0.0, CASE WHEN post_id % 5 = 0 THEN -{k} ELSE {k} - 0.2::DOUBLE END) AS {k}" for k in LABELS)} FROM posts)
+SELECT post_id, {', '.join(f"round(CASE WHEN {' + '.join(LABELS)} <= 0 THEN 0.25 ELSE {k} / ({' + '.join(LABELS)}) END, 6) AS {k}" for k in LABELS)} FROM n""")
+def normalised_snapshot(spark, sf):
+    raw = {k: F.when(F.col("post_id") % 5 == 0, -F.col(k)).otherwise(F.col(k) - 0.2) for k in LABELS}
+    return posts(spark, sf).select("post_id", *[r6(v).alias(k) for k, v in decisions.normalised(raw).items()])
+
+
+@query("sentiment_label", f"""WITH {POSTS}, m AS (SELECT post_id, lower(trim({_pick(_MOODS, 'post_id')})) AS m FROM posts)
+SELECT post_id, CASE WHEN m = 'label_2' OR contains(m, 'pos') THEN 'positive' WHEN m = 'label_0' OR contains(m, 'neg') THEN 'negative' ELSE 'neutral' END AS sentiment FROM m""")
+def sentiment_label(spark, sf):
+    return posts(spark, sf).select("post_id", decisions.sentiment(pick(_MOODS, F.col("post_id"))).alias("sentiment"))
+
+
+@query("type_hint", f"WITH {POSTS} SELECT post_id, CASE gold {' '.join(f'WHEN {_q(k)} THEN {_q(v)}' for k, v in lex.HINTS.items())} ELSE {_q(lex.OTHER_HINT)} END AS hint FROM posts")
+def type_hint(spark, sf):
+    return posts(spark, sf).select("post_id", explain.hint(F.col("gold")).alias("hint"))
+
+
+@query("natural_id", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 99999 ELSE doc_id % 1000 END::BIGINT AS number FROM documents")
+def natural_id(spark, sf):
+    name = F.when(F.col("doc_id") % 7 == 0, "p3_").otherwise(F.concat(F.lit("p3_"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")))
+    return table(spark, sf, "documents").select("doc_id", text.number_of(name).cast("long").alias("number"))
+
+
+@query("shortened_texts", "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) ELSE text END) AS digest FROM documents")
+def shortened_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.shortened(F.col("text"))).alias("digest"))
+
+
 # ---- end to end
 
 
