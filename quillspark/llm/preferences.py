@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
+MADE = ("prefix_turns", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans")
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -58,26 +59,38 @@ def loss_spans(turns: Column, speaker: str = "assistant") -> Column:
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """pairs, two columns of which are arrays of (role, text), with prefix_turns, prompt, and text and spans of both completions."""
-    n = common_turns(F.col(chosen), F.col(rejected))
-    rest = lambda c: F.slice(c, F.col("prefix_turns") + 1, F.greatest(F.size(c) - F.col("prefix_turns"), F.lit(0)))
-    cut = pairs.withColumn("prefix_turns", n).withColumns({"_chosen": rest(chosen), "_rejected": rest(rejected), "_prompt": F.slice(chosen, 1, F.col("prefix_turns"))})
-    return cut.select(
-        *[F.col(c) for c in pairs.columns if c not in (chosen, rejected)],
-        "prefix_turns",
-        render(F.col("_prompt")).alias("prompt"),
-        render(F.col("_chosen")).alias("chosen_text"),
-        loss_spans(F.col("_chosen")).alias("chosen_spans"),
-        render(F.col("_rejected")).alias("rejected_text"),
-        loss_spans(F.col("_rejected")).alias("rejected_spans"),
-    )
-
-
-def swapped_answers(talks: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: chosen is the conversation, rejected the same up to its last assistant turn, which it
-    takes from its neighbour (ids 2n and 2n + 1). Without a neighbour, or one that has no answer, the answer is left out."""
-    spoke = F.transform("turns", lambda t: F.coalesce(t["role"] == "assistant", F.lit(False)))
-    last = F.size("turns") - F.array_position(F.reverse(spoke), True) + 1
-    own = talks.select("id", "turns", F.when(F.array_contains(spoke, True), last).otherwise(F.size("turns") + 1).cast("int").alias("last"))
-    answer = own.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.when(F.col("last") <= F.size("turns"), F.slice("turns", F.col("last"), 1)).alias("other"))
-    none = F.slice("turns", 1, 0)
-    return own.join(answer, "id", "left").select("id", F.col("turns").alias("chosen"), F.concat(F.slice("turns", 1, F.col("last") - 1), F.coalesce("other", none)).alias("rejected"))
+    cut = "_cut"
+    while cut in {c.lower() for c in pairs.columns}:
+        cut += "_"
+    n, kept = F.col(f"{cut}.n"), [c for c in pairs.columns if c not in (chosen, rejected) and c.lower() not in MADE]
+    rest = lambda c: F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0)))
+    counted = pairs.withColumn(cut, F.struct(common_turns(F.col(chosen), F.col(rejected)).alias("n")))
+    parted = counted.withColumn(cut, F.struct(n.alias("n"), F.slice(chosen, 1, n).alias("prompt"), rest(chosen).alias("chosen"), rest(rejected).alias("rejected")))
+    part = lambda name: F.col(f"{cut}.{name}")
+    made = (n, render(part("prompt")), render(part("chosen")), loss_spans(part("chosen")), render(part("rejected")), loss_spans(part("rejected")))
+    return parted.select(*kept, *[c.alias(name) for name, c in zip(MADE, made)])
+
+
+def swapped_answers(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Pairs (id, chosen, rejected) from the turns of plain conversations: chosen is the conversation, rejected the same up to its last
+    assistant turn, which it takes from its neighbour (ids 2n and 2n + 1). Without a neighbour, or one that has no answer, the answer is
+    left out. Turns shuffle once: neighbours meet in one row."""
+    one = F.struct(F.col(turn_col).cast("long").alias("at"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = turns.select(F.col(id_col).cast("long").alias("id"), one.alias("one")).where("id IS NOT NULL")
+    odd = F.col("id") % 2 != 0
+    ordered = lambda c: F.array_sort(F.array_distinct(F.collect_list(c)))
+    met = rows.groupBy(F.shiftright("id", 1).alias("half")).agg(ordered(F.when(~odd, F.col("one"))).alias("even"), ordered(F.when(odd, F.col("one"))).alias("odd"))
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    two = met.select(F.shiftleft("half", 1).alias("id"), plain("even").alias("even"), plain("odd").alias("odd"))
+    own = lambda i, a, b: F.struct((F.col("id") + i).alias("id"), F.col(a).alias("turns"), F.col(b).alias("beside"))
+    each = two.select(F.explode(F.array(own(0, "even", "odd"), own(1, "odd", "even"))).alias("x")).select("x.*").where(F.size("turns") > 0)
+    last = each.withColumns({"at": _last_answer("turns"), "other": _last_answer("beside")})
+    answer = F.when(F.col("other") > 0, F.slice("beside", F.greatest("other", F.lit(1)), 1)).otherwise(F.slice("turns", 1, 0))
+    before = F.when(F.col("at") > 0, F.slice("turns", 1, F.greatest(F.col("at") - 1, F.lit(0)))).otherwise(F.col("turns"))
+    return last.select("id", F.col("turns").alias("chosen"), F.concat(before, answer).alias("rejected"))
+
+
+def _last_answer(turns: str) -> Column:
+    """Place of the last assistant turn, from 1; 0 without one."""
+    spoke = F.transform(turns, lambda t: F.coalesce(t["role"] == "assistant", F.lit(False)))
+    return F.when(F.array_contains(spoke, True), F.size(turns) - F.array_position(F.reverse(spoke), True) + 1).otherwise(0).cast("int")

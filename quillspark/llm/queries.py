@@ -26,7 +26,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preferences.format_pairs(preferences.swapped_answers(preferences.conversations(table(spark, sf_dir, "conversations"))))
+    pairs = preferences.format_pairs(preferences.swapped_answers(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return pairs.select(F.col("id").alias("conv_id"), "prefix_turns", "prompt", "chosen_text", spans("chosen_spans").alias("chosen_spans"), "rejected_text", spans("rejected_spans").alias("rejected_spans"))
 
@@ -96,8 +96,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _rendered(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, 'unknown') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"
+
+
+def _spans(turns: str) -> str:
+    head, body = "length(coalesce(t.role, 'unknown')) + 5", "length(coalesce(t.text, '')) + 8"
+    to = f"CAST(coalesce(list_sum(list_transform(list_filter({turns}, lambda t, j: j <= i), lambda t: {head} + {body})), 0) AS BIGINT)"
+    own = body.replace("t.text", f"{turns}[i].text")
+    return f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant'), lambda i: ({to} - ({own})) || '-' || {to}), ',')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_preferences": f"""
+            WITH t AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS id, CAST(turn AS BIGINT) AS place, role, text FROM conversations WHERE conv_id IS NOT NULL),
+                 talks AS (SELECT id, list({{'role': role, 'text': text}} ORDER BY place NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM t GROUP BY id),
+                 own AS (SELECT id, turns, coalesce(list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')), len(turns) + 1) AS last FROM talks),
+                 pairs AS (SELECT o.id, o.turns AS chosen, list_concat(list_filter(o.turns, lambda x, i: i < o.last),
+                                  coalesce(list_filter(n.turns, lambda x, i: i = n.last), list_filter(o.turns, lambda x, i: false))) AS rejected
+                           FROM own o LEFT JOIN own n ON n.id = xor(o.id, 1)),
+                 cut AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i] IS DISTINCT FROM rejected[i])) - 1,
+                                  least(len(chosen), len(rejected))) AS n FROM pairs),
+                 part AS (SELECT id, n, list_filter(chosen, lambda x, i: i <= n) AS prompt, list_filter(chosen, lambda x, i: i > n) AS chosen, list_filter(rejected, lambda x, i: i > n) AS rejected FROM cut)
+            SELECT id AS conv_id, CAST(n AS INTEGER) AS prefix_turns, {_rendered('prompt')} AS prompt, {_rendered('chosen')} AS chosen_text, {_spans('chosen')} AS chosen_spans,
+                   {_rendered('rejected')} AS rejected_text, {_spans('rejected')} AS rejected_spans FROM part""",
         "op6_exact_dedup": f"""
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256({LOWER}) AS text_sha256

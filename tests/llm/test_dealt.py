@@ -7,11 +7,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, paragraph_dedup, preferences, substring_dedup, topk_search
+from quillspark.llm import exact_dedup, language_id, license_scan, minhash_dedup, mixing, packing, paragraph_dedup, preferences, queries, substring_dedup, topk_search
 from quillspark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -368,9 +369,14 @@ def test_license_scan_inherits_over_levels(spark, tmp_path):
 
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "lost"), (0, 1, "assistant", "yes")]
-    talks = preferences.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    got = {r["id"]: r for r in preferences.format_pairs(preferences.swapped_answers(talks)).collect()}
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pairs = preferences.swapped_answers(table)
+    got = {r["id"]: r for r in preferences.format_pairs(pairs).collect()}
     assert sorted(got) == [0, 1, 2]
+    assert {r["id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in preferences.conversations(table).collect()} == {r["id"]: [(t["role"], t["text"]) for t in r["chosen"]] for r in pairs.collect()}
+    clash = preferences.format_pairs(pairs.selectExpr("*", "1 AS _cut", "2 AS prompt", "3 AS _chosen"))
+    assert clash.columns == ["id", "_cut", "_chosen", *preferences.MADE] and {r["id"]: r["prompt"] for r in clash.collect()} == {k: r["prompt"] for k, r in got.items()}
+    assert preferences.format_pairs(preferences.swapped_answers(table.limit(0))).count() == 0
     r = got[0]
     assert (r["prefix_turns"], r["prompt"]) == (1, "<|user|>\nhi<|end|>\n")
     span = r["chosen_spans"][0]
@@ -378,6 +384,17 @@ def test_preferences(spark):
     assert got[2]["prefix_turns"] == 1 and got[2]["chosen_text"] == got[2]["rejected_text"] == "" and got[2]["chosen_spans"] == []
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    got, want = queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got)
+    rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].to_numpy().tolist()), key=repr)
+    assert rows(got) == rows(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
