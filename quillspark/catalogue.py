@@ -919,6 +919,100 @@ def gold_evaluation(spark, sf):
     return _rounded(out.select("label", "precision", "recall", "support"), "support")
 
 
+# ---- systems beside each other, and the fusion model end to end
+
+
+@query("rule_only_baseline", f"""WITH {POSTS}, {FLAGS}, r AS (SELECT post_id, round(greatest(0.0, least(1.0, 0.35::DOUBLE * structure_score + CASE WHEN structure_score = 0 THEN -0.2 ELSE 0.0 END - CASE WHEN structure_score > 0 AND critical THEN 0.25 ELSE 0.0 END)), 9) AS base_score FROM structured)
+SELECT post_id, CASE WHEN base_score >= 0.6 THEN 'gender_bias' ELSE 'neutral' END AS pred, round(base_score, 6) AS base_score, round(greatest(0.5, least(0.95, base_score)), 6) AS confidence FROM r""")
+def rule_only_baseline(spark, sf):
+    got = decisions.rule_only(own_flags(), F.col("clean"))
+    return flagged(spark, sf).select("post_id", got["pred"].alias("pred"), r6(got["base_score"]).alias("base_score"), r6(got["confidence"]).alias("confidence"))
+
+
+_SIX = ", ".join(f"p{i} AS ({SQL[name]})" for i, name in ((1, "rule_only_baseline"), (2, "rule_linguistic_baseline"), (3, "head_decisions"), (5, "legacy_fusion")))
+
+
+@query("six_systems", SQL["compare_systems"].replace(SYSTEMS, f"""{_SIX}, sys AS (SELECT 'rules' AS system, gold, p1.pred FROM posts JOIN p1 USING (post_id) UNION ALL SELECT 'rules_linguistic', gold, p2.pred FROM posts JOIN p2 USING (post_id)
+UNION ALL SELECT 'head', gold, top FROM posts JOIN p3 USING (post_id) UNION ALL SELECT 'reply_a', gold, pred FROM posts UNION ALL SELECT 'reply_b', gold, pred_b FROM posts UNION ALL SELECT 'hybrid', gold, bias_type FROM posts JOIN p5 USING (post_id))"""))
+def six_systems(spark, sf):
+    t = F.col("clean")
+    p = flagged(spark, sf).withColumns({**features.linguistic(t, own_flags()), **features.methodology(t)})
+    two = decisions.rule_linguistic(own_flags(), {k: F.col(k) for k in features.LINGUISTIC}, {k: F.col(k) for k in features.METHODOLOGY})
+    systems = {
+        "rules": decisions.rule_only(own_flags(), t)["pred"],
+        "rules_linguistic": two["pred"],
+        "head": decisions.best(dist())["label"],
+        "reply_a": F.col("pred"),
+        "reply_b": F.col("pred_b"),
+        "hybrid": decisions.fuse(dist(), own_flags(), F.col("p_hate"), t)["bias_type"],
+    }
+    return _rounded(scoring.compare_systems(scoring.stacked(p, systems)), "n")
+
+
+@query("paired_systems", f"""WITH {POSTS}, a AS ({SQL["head_decisions"]}) SELECT top = gold AS a_right, pred_b = gold AS b_right, count(*) AS n FROM posts JOIN a USING (post_id) GROUP BY 1, 2""")
+def paired_systems(spark, sf):
+    p = posts(spark, sf)
+    both = agreement.paired(p, p.select("post_id", decisions.best(dist())["label"].alias("pred")), p.select("post_id", F.col("pred_b").alias("pred")))
+    return both.groupBy((F.col("a") == F.col("gold")).alias("a_right"), (F.col("b") == F.col("gold")).alias("b_right")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_BENCH = ", ".join(f"CAST(length(text) * {a} % {m} + 1 AS DOUBLE) AS {k}" for k, (a, m) in zip(LABELS, ((37, 101), (53, 97), (71, 89), (29, 103))))
+_TOP = "CASE WHEN gender_bias >= nationality_bias AND gender_bias >= profession_bias AND gender_bias >= neutral THEN 'gender_bias' WHEN nationality_bias >= profession_bias AND nationality_bias >= neutral THEN 'nationality_bias' WHEN profession_bias >= neutral THEN 'profession_bias' ELSE 'neutral' END"
+
+
+@query("benchmark_evaluation", SQL["class_report"].replace(f"WITH {POSTS}, {CELLS}", f"WITH items AS ({SQL['unpivot_pairs']}), scored AS (SELECT label AS gold, {_BENCH} FROM items), bench AS (SELECT gold, {_TOP} AS pred FROM scored), {CELLS.replace('FROM posts', 'FROM bench')}"))
+def benchmark_evaluation(spark, sf):
+    items = benchmarks.unpivot_pairs(crows(spark, sf))
+    n = F.length("text")
+    scores = items.select("text").distinct().select("text", *[(n * a % m + 1).cast("double").alias(k) for k, (a, m) in zip(LABELS, ((37, 101), (53, 97), (71, 89), (29, 103)))])
+    r = scoring.evaluate_benchmark(items, scores)
+    return r.select("label", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("long").alias("support"))
+
+
+_CONFIG = "SELECT '{0}' AS config, fp, fp_denom, fn, fn_denom, round(fp / fp_denom, 6) AS fpr, round(fn / fn_denom, 6) AS fnr, round((fp_denom - fp + fn_denom - fn) / (fp_denom + fn_denom), 6) AS stance_aware_accuracy FROM {0}"
+
+
+@query("sanity_by_config", f"""WITH {POSTS}, {PLATT}, x AS (SELECT post_id, slice_type, ambiguous_stance, {_TOP} AS pred FROM posts), y AS (SELECT x.* REPLACE ({_TOP} AS pred) FROM x JOIN pl USING (post_id)),
+{_SANE.replace("sane AS", "before AS").replace("FROM posts", "FROM x")}, {_SANE.replace("sane AS", "after AS").replace("FROM posts", "FROM y")} {_CONFIG.format("before")} UNION ALL {_CONFIG.format("after")}""")
+def sanity_by_config(spark, sf):
+    configs = {"before": decisions.best(dist())["label"], "after": decisions.best(decisions.platt(dist(), SLOPES, BIASES))["label"]}
+    return _rounded(scoring.sanity_by_config(posts(spark, sf), configs), "fp", "fp_denom", "fn", "fn_denom")
+
+
+_LINEAR = SQL["linear_posterior"].split("SELECT post_id, round(")[0] + f", lin AS (SELECT post_id, {', '.join(f'{k} / ({" + ".join(LABELS)}) AS {k}' for k in LABELS)} FROM e)"
+
+
+@query("score_posts_model", f"""{_LINEAR}, {PLATT.replace("post_id, gold, ", "post_id, ").replace("FROM posts", "FROM lin")}, z AS (SELECT post_id, {', '.join(f'{k} / ({" + ".join(LABELS)}) AS {k}' for k in LABELS)} FROM pl),
+c AS (SELECT *, list_filter([{', '.join(f"{{'m': -{k}, 'l': '{k}', 'ok': {k} >= {LIMITS[k]}}}" for k in LABELS)}], lambda x: x.ok) AS ok FROM z),
+d AS (SELECT *, CASE WHEN len(ok) = 0 THEN 'neutral' WHEN -list_min(list_transform(list_filter(ok, lambda x: x.l <> 'neutral'), lambda x: x.m)) - neutral < 0.05 THEN 'neutral' ELSE list_sort(ok)[1].l END AS bias_type FROM c)
+SELECT post_id, bias_type, CASE WHEN bias_type = 'neutral' THEN 'false' ELSE 'true' END AS bias_detected, round_even(greatest(0.5, least(0.95, CASE bias_type {' '.join(f"WHEN '{k}' THEN {k}" for k in LABELS)} END)), 3) AS confidence FROM d""")
+def score_posts_model(spark, sf):
+    names = features.CORE_NAMES[: len(LABELS)]
+    named = lambda d: dict(zip(names, d.values()))
+    model = scoring.FusionModel(named(_MEANS), named(_SCALES), {k: named(w) for k, w in _WEIGHTS.items()}, _STARTS, LIMITS, 0.05, SLOPES, BIASES, names=names)
+    p = posts(spark, sf)
+    out = scoring.score_posts(p.select("post_id", "text"), p.select("post_id", *LABELS), p.select("post_id", "p_hate"), model, temperature=1.0)
+    return out.select("post_id", "bias_type", "bias_detected", "confidence")
+
+
+@query("load_four_way", "SELECT md5(text) AS text_md5, CASE lang WHEN 'en' THEN 'neutral' ELSE 'gender_bias' END AS label FROM documents WHERE lang IN ('en', 'de')")
+def load_four_way(spark, sf):
+    label = F.when(F.col("lang") == "en", "neutral").when(F.col("lang") == "de", "gender_bias").otherwise(F.col("lang"))
+    raw = table(spark, sf, "documents").select(F.col("text").alias(" Text"), label.alias("LABEL"))
+    return loaders.four_way_corpus(raw).select(F.md5("text").alias("text_md5"), "label")
+
+
+@query("valid_comparisons", f"WITH {POSTS} SELECT post_id FROM posts WHERE NOT contains(lower(text), 'not inferior') AND NOT contains(lower(text), 'lol')")
+def valid_comparisons(spark, sf):
+    return posts(spark, sf).where(corpus.valid_comparison(F.col("text"), ("not inferior", "lol"))).select("post_id")
+
+
+@query("throughput", "SELECT CAST(user_id AS BIGINT) AS user_id, CASE WHEN sum(value) > 1e-6 THEN round(count(*) / (sum(value) / 1000.0), 6) END AS posts_per_s FROM (SELECT user_id, floor(value) AS value FROM events) GROUP BY 1")
+def throughput(spark, sf):
+    n = table(spark, sf, "events").groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value").cast("double")).alias("ms"))
+    return n.select("user_id", r6(metrics.throughput(F.col("n"), F.col("ms"))).alias("posts_per_s"))
+
+
 # ---- models: rows only
 
 
@@ -955,6 +1049,33 @@ def fit_platt(spark, sf):
     return spark.createDataFrame([(k, slopes[k], intercepts[k]) for k in LABELS], "label string, slope double, intercept double")
 
 
+def _leaning(label: Column) -> dict[str, Column]:
+    return {k: 0.4 * F.col(k) + F.when(label == k, 0.6).otherwise(0.0) for k in LABELS}
+
+
+@query("calibrate_and_tune")
+def calibrate_and_tune(spark, sf):
+    p = posts(spark, sf)
+    rows = p.select("gold", *[c.alias(f"p_{k}") for k, c in _leaning(F.col("pred_b")).items()])
+    said = F.when(F.col("slice_type") != metrics.HARMFUL, "neutral").when(F.col("gold") == "neutral", "gender_bias").otherwise(F.col("gold"))
+    sanity = p.select("slice_type", "ambiguous_stance", *[c.alias(f"p_{k}") for k, c in _leaning(said).items()])
+    slopes, intercepts, thresholds, about = training.calibrate_and_tune(rows, sanity)
+    return spark.createDataFrame([(k, slopes[k], intercepts[k], thresholds[k], about["margin"], about["f1_macro"], about["feasible"]) for k in LABELS], "label string, slope double, intercept double, threshold double, margin double, f1_macro double, feasible boolean")
+
+
+@query("isotonic_apply")
+def isotonic_apply(spark, sf):
+    rows = posts(spark, sf).select("post_id", "gold", *[c.alias(f"p_{k}") for k, c in _leaning(F.col("pred_b")).items()])
+    return _rounded(training.apply_isotonic(rows, training.fit_isotonic(rows)))
+
+
+@query("report_then_refit")
+def report_then_refit(spark, sf):
+    names = (*features.CORE_NAMES[:5], *(f"meth_{n}" for n in features.METHODOLOGY))
+    rows = feature_rows(spark, sf).select("post_id", "label", *names)
+    return _rounded(training.report_then_refit(rows, names, "post_id")[1], "support", "tp", "predicted")
+
+
 @query("fit_text_classifier")
 def fit_text_classifier(spark, sf):
     rows = labelled_documents(spark, sf)

@@ -124,6 +124,12 @@ def clamped(confidence: Column) -> Column:
     return F.bround(F.greatest(F.lit(0.5), F.least(F.lit(0.95), confidence)), 3)
 
 
+def rule_only(flags: Dist, text: Column) -> dict[str, Column]:
+    """Baseline from rules alone: the hand-tuned fusion of a head that says neutral, without hate."""
+    got = fuse({k: F.lit(1.0 if k == NEUTRAL else 0.0) for k in LABELS}, flags, F.lit(0.0), text)
+    return {"pred": got["bias_type"], "base_score": got["base_score"], "confidence": got["confidence"]}
+
+
 def rule_linguistic(flags: Dist, ling: Dist, meth: Dist) -> dict[str, Column]:
     """Baseline from rules and lexical features alone."""
     structure = structure_score(flags)

@@ -47,6 +47,12 @@ def cohen_kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out.select("*", F.when(F.col("expected") < 1, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
+def paired(gold: DataFrame, a: DataFrame, b: DataFrame, key: str = "post_id") -> DataFrame:
+    """(key, gold, a, b) for the posts that the gold set and both systems have. gold: key, gold; a, b: key, pred."""
+    own = lambda df, name: df.select(key, F.col("pred").alias(name))
+    return gold.select(key, "gold").join(own(a, "a"), key).join(own(b, "b"), key)
+
+
 def pair_agreement(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     same = F.col(a) == F.col(b)
     return pairs.agg(F.count_if(same).alias("agree"), F.count_if(~same).alias("disagree"))

@@ -100,6 +100,28 @@ def evaluate_sanity(predictions: DataFrame, slices: DataFrame, key: str = "post_
     return {"rates": rates, "slices": metrics.sanity_by_slice(rows), "gate": metrics.acceptance(rates)}
 
 
+def sanity_by_config(slices: DataFrame, configs: dict[str, Column]) -> DataFrame:
+    """Sanity rates of several ways to decide, such as before and after calibration: configs gives a predicted label over the rows of each."""
+    out = None
+    for name, pred in configs.items():
+        one = metrics.sanity_rates(slices.withColumn("pred", pred)).withColumn("config", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def evaluate_benchmark(items: DataFrame, type_scores: DataFrame) -> DataFrame:
+    """Report by class of a head on benchmark sentences: its likeliest class against the label. items: text, label;
+    type_scores: text, each once, and a column for each label."""
+    pred = decisions.best({k: F.col(k) for k in LABELS})["label"]
+    return metrics.class_report(items.select("text", F.col("label").alias("gold")).join(type_scores, "text").select("gold", pred.alias("pred")))
+
+
+def stacked(rows: DataFrame, systems: dict[str, Column]) -> DataFrame:
+    """(system, gold, pred) from rows that hold what all systems decide, in one pass over them."""
+    each = F.array(*[F.struct(F.lit(k).alias("system"), c.alias("pred")) for k, c in systems.items()])
+    return rows.select("gold", F.explode(each).alias("x")).select("x.system", "gold", "x.pred")
+
+
 def compare_systems(predictions: DataFrame) -> DataFrame:
     """Multiclass metrics for each system. predictions: system, gold, pred."""
     return metrics.multiclass_summary(predictions, ("system",))

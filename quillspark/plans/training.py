@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..labels import LABELS, NEUTRAL
 from ..operators import metrics
 from ..operators.sampling import folds
+from ..sources.loaders import thresholds_json
 from .scoring import FusionModel
 
 
@@ -111,6 +112,45 @@ def fit_isotonic(rows: DataFrame) -> dict[str, object]:
     return out
 
 
+def apply_isotonic(rows: DataFrame, models: dict[str, object]) -> DataFrame:
+    """rows with p_<label> replaced by what each class's isotonic model makes of it, floored at 1e-9 and renormalised."""
+    out, names = rows, {k: f"_x_{k}" for k in LABELS}
+    for k, x in names.items():
+        out = out.withColumn(x, F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col(f"p_{k}"))))
+        out = models[k].copy().setFeaturesCol(x).setPredictionCol(f"_q_{k}").transform(out)
+    q = {k: F.greatest(F.lit(1e-9), F.col(f"_q_{k}")) for k in LABELS}
+    total = q[LABELS[0]]
+    for k in LABELS[1:]:
+        total = total + q[k]
+    return out.withColumns({f"p_{k}": v / total for k, v in q.items()}).select(*rows.columns)
+
+
+def report_then_refit(rows: DataFrame, names: tuple[str, ...], key: str, c: float = 1.0, neutral: float | None = None, k: int = 5) -> tuple[FusionModel, DataFrame]:
+    """The fusion model of all rows, and a report by class on the first of k stratified folds by a model that has not seen it."""
+    data = folds(rows, key, k)
+    seen = fit_fusion(data.where("fold > 0"), names, c, neutral)
+    held = posteriors(data.where("fold = 0"), seen).select(F.col("label").alias("gold"), argmax_label().alias("pred"))
+    return fit_fusion(rows, names, c, neutral), metrics.class_report(held)
+
+
+def calibrate_and_tune(rows: DataFrame, sanity: DataFrame | None = None, path: str | None = None, **options) -> tuple[dict[str, float], dict[str, float], dict[str, float], dict]:
+    """(slopes, intercepts, thresholds, about): Platt calibration of rows (gold, p_<label>), then thresholds tuned on the calibrated rows
+    under the caps on the calibrated sanity rows. path: where the thresholds go as JSON, as loaders.thresholds_table reads them."""
+    from ..functions.decisions import platt
+
+    slopes, intercepts = fit_platt(rows)
+
+    def calibrated(df: DataFrame) -> DataFrame:
+        p = platt({k: F.col(f"p_{k}") for k in LABELS}, slopes, intercepts)
+        return df.withColumns({f"p_{k}": v for k, v in p.items()})
+
+    thresholds, about = tune_thresholds(calibrated(rows), None if sanity is None else calibrated(sanity), **options)
+    if path:
+        body = thresholds_json({k: F.lit(v) for k, v in thresholds.items()}, F.lit(about["margin"]))
+        rows.sparkSession.range(1).select(body.alias("value")).write.mode("overwrite").text(path)
+    return slopes, intercepts, thresholds, about
+
+
 def score_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """(candidate, f1_macro) of a small table of candidates (candidate, t_<label>, margin). Posts meet the broadcast candidates in one
     aggregation; nothing is collected."""

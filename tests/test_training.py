@@ -7,6 +7,7 @@ import pytest
 
 from quillspark.labels import LABELS, NEUTRAL
 from quillspark.plans import training
+from quillspark.sources import loaders
 
 
 def table(rng, n):
@@ -80,3 +81,30 @@ def test_caps_that_nothing_meets_are_reported(spark):
     got, about = training.tune_thresholds(*frames(spark, [(NEUTRAL, p)], sane), draws=50)
     assert not about["feasible"] and max(about["sanity_fpr"], about["sanity_fnr"]) > 0.2 and set(got) == set(LABELS)
     assert len(training.GRID) == 85 and len(training.MARGINS) == 18 and (training.GRID[-1], training.MARGINS[-1]) == (0.92, 0.34) and np.isin(0.5, training.GRID)
+
+
+def test_calibrate_and_tune_saves_what_it_returns(spark, tmp_path):
+    rng = random.Random(6)
+    rows, sane = table(rng, 80), [("neutral_policy" if g == NEUTRAL else "explicit_or_implicit_bias", p) for g, p in table(rng, 80)]
+    path = str(tmp_path / "limits")
+    slopes, intercepts, got, about = training.calibrate_and_tune(*frames(spark, rows, sane), path=path, margins=(0.0, 0.04), grid=(0.2, 0.3, 0.5), draws=50)
+    saved = loaders.thresholds_table(spark.read.text(path)).collect()
+    assert {r["label"]: r["threshold"] for r in saved} == got and {r["margin"] for r in saved} == {about["margin"]} and set(slopes) == set(intercepts) == set(LABELS)
+
+
+def test_isotonic_probabilities_sum_to_one_and_keep_order(spark):
+    rng = random.Random(7)
+    df, _ = frames(spark, table(rng, 120), [("neutral_policy", dict.fromkeys(LABELS, 0.25))])
+    models = training.fit_isotonic(df)
+    got = training.apply_isotonic(df, models)
+    assert got.columns == df.columns and all(abs(sum(r[f"p_{k}"] for k in LABELS) - 1) < 1e-9 for r in got.collect())
+    for m in models.values():
+        assert list(m.predictions) == sorted(m.predictions)
+
+
+def test_report_is_of_unseen_rows_and_the_model_of_all(spark):
+    rng = random.Random(8)
+    rows = [(i, LABELS[i % 4], *(float(i % 4 == k) + rng.random() for k in range(4))) for i in range(80)]
+    df = spark.createDataFrame(rows, "post_id long, label string, " + ", ".join(f"x{k} double" for k in range(4)))
+    model, report = training.report_then_refit(df, ("x0", "x1", "x2", "x3"), "post_id")
+    assert sum(r["support"] for r in report.collect()) == 16 and model == training.fit_fusion(df, ("x0", "x1", "x2", "x3"))
