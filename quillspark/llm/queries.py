@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, language_id, license_scan, minhash_dedup, mixing, packing, paragraph_dedup, preferences, substring_dedup, topk_search
+from . import collocations, exact_dedup, filter_audit, language_id, license_scan, minhash_dedup, mixing, packing, paragraph_dedup, preferences, substring_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(F.broadcast(sources), own["source"].eqNullSafe(sources["source"])).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk_search": op8_topk_search,
         "op9_license_scan": op9_license_scan,
         "op10_mixing": op10_mixing,
+        "op12_collocations": op12_collocations,
         "op13_filter_audit": op13_filter_audit,
     }
 
@@ -138,6 +143,23 @@ def oracle_sql() -> dict[str, str]:
                        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
                  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
             SELECT * FROM r WHERE rank <= 10""",
+        "op12_collocations": r"""
+            WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+                 p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(pieces), '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+                 g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+                 e AS (SELECT lang, w[i:i + k - 1] AS ws, k FROM g, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+                 f AS (SELECT lang, k, array_to_string(ws, ' ') AS phrase, any_value(ws) AS ws, count(*) AS a FROM e GROUP BY lang, k, phrase),
+                 n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+                 c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+                 x AS (SELECT lang, phrase, a, ws, k, unnest(range(1, k)) AS cut FROM c),
+                 s AS (SELECT x.lang, x.phrase, x.a, x.k, x.cut, l.a AS l, r.a AS r, CAST((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+                       FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[1:x.cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[x.cut + 1:], ' ')),
+                 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+                 h AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+                 m AS (SELECT lang, phrase, max(a) AS longer FROM h GROUP BY lang, phrase),
+                 k AS (SELECT b.* FROM b LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * b.a),
+                 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+            SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) WHERE rank <= 2000""",
         "op13_filter_audit": r"""
             WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
                  w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
