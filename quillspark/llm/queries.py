@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, filter_audit, language_id, license_scan, minhash_dedup, mixing, packing, paragraph_dedup, preferences, substring_dedup, topk_search
+from . import collocations, exact_dedup, filter_audit, html_extract, language_id, license_scan, minhash_dedup, mixing, packing, paragraph_dedup, preferences, substring_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(F.broadcast(sources), own["source"].eqNullSafe(sources["source"])).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.fit(html_extract.labelled_pages(spark))
+    texts = html_extract.extract(table(spark, sf_dir, "pages"), model)
+    return texts.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -98,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk_search": op8_topk_search,
         "op9_license_scan": op9_license_scan,
         "op10_mixing": op10_mixing,
+        "op11_html_extract": op11_html_extract,
         "op12_collocations": op12_collocations,
         "op13_filter_audit": op13_filter_audit,
     }
