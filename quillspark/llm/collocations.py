@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import binary_view, give_back, lowered, settle, sub_batches
 from .count_automata import Automaton, total_counts, unite, words_table
 
-SHARD_BYTES = 12 << 20
-RANGE_BYTES = 24 << 20
+SHARD_BYTES = 6 << 20
+RANGE_BYTES = 12 << 20
 SAMPLE_DOCS, MARKS, MAX_RANGES = 2000, 64, 1 << 17
 UNKNOWN = "und"
 
@@ -187,7 +187,7 @@ def counted(docs: DataFrame, edges: dict[str, list[tuple[bytes, ...]]], least: i
             give_back()
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = unite([Automaton.load(x) for x in pdf["body"]], least).dump()
+        out = unite(pdf["body"].tolist(), least).dump()
         give_back()
         return pd.DataFrame({"lang": [key[0]], "r": [key[1]], "words": [int(pdf["words"].sum())], "body": [out]})
 
@@ -237,7 +237,7 @@ def part_counts(ranges: DataFrame, edges: dict[str, list[tuple[bytes, ...]]]) ->
                         yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([r]), pa.array([Automaton.build(a.words, parts[lo:hi], np.ones(hi - lo, np.int64)).dump()], pa.binary())], ["lang", "r", "asked"])
 
     def answer(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        wanted = unite([Automaton.load(x) for x in asked["asked"]])
+        wanted = unite(asked["asked"].tolist())
         out = {"lang": [], "part": [], "f": []}
         for body in own["body"]:
             keys, counts = Automaton.load(body).compose(wanted)

@@ -216,17 +216,26 @@ class Automaton:
         return cls(words, [parts[1:5], parts[5:9], parts[9:13]])
 
 
-def unite(automata: list[Automaton], least: int = 1) -> Automaton:
-    """All n-grams of several automata with their counts added up; those of a smaller count than `least` are left out."""
-    if not automata:
-        return Automaton.build(pa.array([], pa.large_binary()), np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-    words = words_table(pa.chunked_array([a.words for a in automata]))
-    keys, weights = [], []
-    for a in automata:
-        own, n = a.paths()
-        number = np.concatenate(([0], pc.index_in(a.words, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64) + 1))
-        keys.append(number[own])
-        weights.append(n)
-    all_keys, totals = total_counts(np.concatenate(keys), np.concatenate(weights), len(words))
+def unite(bodies: list[bytes], least: int = 1) -> Automaton:
+    """All n-grams of several dumped automata with their counts added up; those of a smaller count than `least` are left out.
+
+    One automaton at a time is opened; what stays of it are its words and its paths in narrow numbers.
+    """
+    own = []
+    for data in bodies:
+        a = Automaton.load(data)
+        keys, counts = a.paths()
+        own.append((a.words, keys.astype(np.int32), counts))
+        del a, keys
+    words = words_table(pa.chunked_array([w for w, _, _ in own], pa.large_binary()))
+    weights = np.concatenate([n for _, _, n in own]) if own else np.zeros(0, np.int64)
+    keys = np.zeros((len(weights), 3), np.int64)
+    at = 0
+    for k, (w, mine, _) in enumerate(own):
+        number = np.concatenate(([0], pc.index_in(w, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64) + 1))
+        keys[at : at + len(mine)] = number[mine]
+        at += len(mine)
+        own[k] = ()
+    keys, totals = total_counts(keys, weights, len(words))
     keep = totals >= least
-    return Automaton.build(words, all_keys[keep], totals[keep])
+    return Automaton.build(words, keys[keep], totals[keep])
