@@ -238,11 +238,12 @@ def part_counts(ranges: DataFrame, edges: dict[str, list[tuple[bytes, ...]]]) ->
 
     def answer(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         wanted = unite(asked["asked"].tolist())
-        out = {"lang": [], "part": [], "f": []}
-        for body in own["body"]:
+        parts, f = [], []
+        for body in own["body"]:  # one, or none where nothing is frequent
             keys, counts = Automaton.load(body).compose(wanted)
-            out = {"lang": [key[0]] * len(keys), "part": [" ".join(x) for x in _lists(wanted.words, keys).to_pylist()], "f": counts}
-        return pd.DataFrame(out)
+            parts += [" ".join(x) for x in _lists(wanted.words, keys).to_pylist()]
+            f += counts.tolist()
+        return pd.DataFrame({"lang": pd.Series([key[0]] * len(parts), dtype=object), "part": pd.Series(parts, dtype=object), "f": pd.Series(f, dtype="int64")})
 
     wanted = ranges.select("lang", "body").mapInArrow(ask, "lang string, r long, asked binary")
     return ranges.select("lang", "r", "body").groupBy("lang", "r").cogroup(wanted.groupBy("lang", "r")).applyInPandas(answer, "lang string, part string, f long")

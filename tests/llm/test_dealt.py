@@ -387,7 +387,7 @@ def test_preferences(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "conversations"):
+    for table in ("documents", "embeddings", "conversations", "labels"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     got, want = queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got)
