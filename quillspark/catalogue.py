@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import decisions, explain, features, rules, text
+from .functions import decisions, explain, factors, features, rules, text
 from .functions import lexicons as lex
 from .labels import BIAS, LABELS, label_id, to_binary
 from .operators import agreement, metrics, sampling
-from .plans import corpus, scoring, training
+from .plans import corpus, joint, scoring, training
 from .sources import benchmarks, loaders, replies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ def r6(c: Column | str) -> Column:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    raw = table(spark, sf_dir, "events").select(i.cast("long").alias("post_id"))
+    raw = loaders.spread(table(spark, sf_dir, "events").select(i.cast("long").alias("post_id")))
     i = F.col("post_id")
     weights = [(i * a % m + 1).cast("double") for a, m in ((37, 101), (53, 97), (71, 89), (29, 103))]
     total = weights[0] + weights[1] + weights[2] + weights[3]
@@ -180,9 +180,12 @@ def clean_text(spark, sf):
     return text.clean_posts(posts(spark, sf).drop("clean")).select("post_id", "clean", F.size(text.tokens(F.col("clean"))).cast("long").alias("n_tokens"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts(spark, sf_dir).withColumn("words_in", factors.index(F.col("clean")))
+
+
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir)
-    return p.withColumns(rules.flags(F.col("clean")))
+    return indexed(spark, sf_dir).withColumns(rules.flags(F.col("clean"), "words_in"))
 
 
 def own_flags() -> dict[str, Column]:
@@ -215,7 +218,7 @@ fused AS (SELECT *, CASE WHEN base_score >= 0.6 THEN 'true' WHEN base_score <= 0
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = flagged(spark, sf_dir).drop("confidence")
-    return p.withColumns(decisions.fuse(dist(), own_flags(), F.col("p_hate"), F.col("clean")))
+    return p.withColumns(decisions.fuse(dist(), own_flags(), F.col("p_hate"), F.col("clean"), "words_in"))
 
 
 @query("legacy_fusion", f"WITH {POSTS}, {FUSE} SELECT post_id, bias_detected, CASE WHEN bias_detected = 'true' THEN candidate ELSE 'neutral' END AS bias_type, round(base_score, 6) AS base_score, round(greatest(0.5, least(0.95, base_score)), 6) AS confidence, intent, safeguard_applied FROM fused")
@@ -230,23 +233,23 @@ def fusion_counts(spark, sf):
 
 @query("linguistic_features", f"WITH {POSTS}, {LING} SELECT post_id, {_r(features.LINGUISTIC)} FROM ling")
 def linguistic_features(spark, sf):
-    out = flagged(spark, sf).withColumns(features.linguistic(F.col("clean"), own_flags()))
+    out = flagged(spark, sf).withColumns(features.linguistic(F.col("clean"), own_flags(), "words_in"))
     return out.select("post_id", *[r6(k).alias(k) for k in features.LINGUISTIC])
 
 
 @query("stance_features", f"WITH {POSTS}, {STANCE} SELECT post_id, {_r(features.STANCE)} FROM stance")
 def stance_features(spark, sf):
-    return posts(spark, sf).withColumns(features.stance(F.col("clean"))).select("post_id", *[r6(k).alias(k) for k in features.STANCE])
+    return indexed(spark, sf).withColumns(features.stance(F.col("clean"), "words_in")).select("post_id", *[r6(k).alias(k) for k in features.STANCE])
 
 
 @query("methodology_features", f"WITH {POSTS}, {METH % 'posts'} SELECT post_id, {_r(features.METHODOLOGY)} FROM meth")
 def methodology_features(spark, sf):
-    return posts(spark, sf).withColumns(features.methodology(F.col("clean"))).select("post_id", *[r6(k).alias(k) for k in features.METHODOLOGY])
+    return indexed(spark, sf).withColumns(features.methodology(F.col("clean"), "words_in")).select("post_id", *[r6(k).alias(k) for k in features.METHODOLOGY])
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = flagged(spark, sf_dir)
-    p = p.withColumns(features.linguistic(F.col("clean"), own_flags())).withColumns(features.stance(F.col("clean"))).withColumns(features.methodology(F.col("clean")))
+    p = p.withColumns(features.linguistic(F.col("clean"), own_flags(), "words_in")).withColumns(features.stance(F.col("clean"), "words_in")).withColumns(features.methodology(F.col("clean"), "words_in"))
     part = lambda names: {k: F.col(k) for k in names}
     row = features.feature_row(dist(), F.col("p_hate"), own_flags(), rules.structure_score(own_flags()), part(features.LINGUISTIC), part(features.STANCE), part(features.METHODOLOGY))
     return p.select("post_id", "clean", F.col("gold").alias("label"), "slice_type", "ambiguous_stance", *[c.alias(k) for k, c in row.items()])
@@ -268,7 +271,7 @@ SELECT post_id, round(activity, 6) AS activity, CASE WHEN activity < 0.42 THEN '
   round(CASE WHEN activity < 0.42 THEN least(0.92, 0.52 + 0.15 * activity) ELSE least(0.95, 0.55 + 0.35 * greatest(sg, sn, sp)) END, 6) AS confidence FROM s""")
 def rule_linguistic_baseline(spark, sf):
     p = flagged(spark, sf).drop("confidence", "pred")
-    p = p.withColumns({**features.linguistic(F.col("clean"), own_flags()), **features.methodology(F.col("clean"))})
+    p = p.withColumns({**features.linguistic(F.col("clean"), own_flags(), "words_in"), **features.methodology(F.col("clean"), "words_in")})
     got = decisions.rule_linguistic(own_flags(), {k: F.col(k) for k in features.LINGUISTIC}, {k: F.col(k) for k in features.METHODOLOGY})
     return p.withColumns(got).select("post_id", r6("activity").alias("activity"), "pred", r6("confidence").alias("confidence"))
 
@@ -291,14 +294,14 @@ h3 AS (SELECT *, (CASE WHEN workplace AND len(comp) = 0 AND len(gen) = 0 THEN li
 
 @query("heuristic_terms", f"WITH {POSTS}, {HEUR} SELECT post_id, len(comp) > 0 AS has_comparison, len(gen) > 0 AS has_generalization, strength, array_to_string(match_terms, '|') AS match_terms, {_has(lex.INEQUALITY_TALK)} AS is_inequality FROM h3")
 def heuristic_terms(spark, sf):
-    p = posts(spark, sf).withColumn("h", rules.heuristics(F.col("clean")))
+    p = indexed(spark, sf).withColumn("h", rules.heuristics(F.col("clean"), "words_in"))
     return p.select("post_id", "h.has_comparison", "h.has_generalization", "h.strength", F.array_join("h.match_terms", "|").alias("match_terms"), F.col("h.is_inequality_discussion").alias("is_inequality"))
 
 
 @query("workplace_criticism", f"WITH {POSTS}, {HEUR} SELECT workplace, array_to_string(structural, '|') AS hits, CAST(count(*) AS BIGINT) AS n FROM h3 GROUP BY 1, 2")
 def workplace_criticism(spark, sf):
-    p = posts(spark, sf).withColumn("found", rules.structural_hits(F.col("clean")))
-    return p.groupBy(rules.workplace_criticism(F.col("clean"), F.col("found")).alias("workplace"), F.array_join("found", "|").alias("hits")).agg(F.count(F.lit(1)).alias("n"))
+    p = indexed(spark, sf).withColumn("found", rules.structural_hits(F.col("clean"), "words_in"))
+    return p.groupBy(rules.workplace_criticism(F.col("clean"), F.col("found"), "words_in").alias("workplace"), F.array_join("found", "|").alias("hits")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- distributions and decisions
@@ -925,7 +928,7 @@ def gold_evaluation(spark, sf):
 @query("rule_only_baseline", f"""WITH {POSTS}, {FLAGS}, r AS (SELECT post_id, round(greatest(0.0, least(1.0, 0.35::DOUBLE * structure_score + CASE WHEN structure_score = 0 THEN -0.2 ELSE 0.0 END - CASE WHEN structure_score > 0 AND critical THEN 0.25 ELSE 0.0 END)), 9) AS base_score FROM structured)
 SELECT post_id, CASE WHEN base_score >= 0.6 THEN 'gender_bias' ELSE 'neutral' END AS pred, round(base_score, 6) AS base_score, round(greatest(0.5, least(0.95, base_score)), 6) AS confidence FROM r""")
 def rule_only_baseline(spark, sf):
-    got = decisions.rule_only(own_flags(), F.col("clean"))
+    got = decisions.rule_only(own_flags(), F.col("clean"), "words_in")
     return flagged(spark, sf).select("post_id", got["pred"].alias("pred"), r6(got["base_score"]).alias("base_score"), r6(got["confidence"]).alias("confidence"))
 
 
@@ -936,15 +939,15 @@ _SIX = ", ".join(f"p{i} AS ({SQL[name]})" for i, name in ((1, "rule_only_baselin
 UNION ALL SELECT 'head', gold, top FROM posts JOIN p3 USING (post_id) UNION ALL SELECT 'reply_a', gold, pred FROM posts UNION ALL SELECT 'reply_b', gold, pred_b FROM posts UNION ALL SELECT 'hybrid', gold, bias_type FROM posts JOIN p5 USING (post_id))"""))
 def six_systems(spark, sf):
     t = F.col("clean")
-    p = flagged(spark, sf).withColumns({**features.linguistic(t, own_flags()), **features.methodology(t)})
+    p = flagged(spark, sf).withColumns({**features.linguistic(t, own_flags(), "words_in"), **features.methodology(t, "words_in")})
     two = decisions.rule_linguistic(own_flags(), {k: F.col(k) for k in features.LINGUISTIC}, {k: F.col(k) for k in features.METHODOLOGY})
     systems = {
-        "rules": decisions.rule_only(own_flags(), t)["pred"],
+        "rules": decisions.rule_only(own_flags(), t, "words_in")["pred"],
         "rules_linguistic": two["pred"],
         "head": decisions.best(dist())["label"],
         "reply_a": F.col("pred"),
         "reply_b": F.col("pred_b"),
-        "hybrid": decisions.fuse(dist(), own_flags(), F.col("p_hate"), t)["bias_type"],
+        "hybrid": decisions.fuse(dist(), own_flags(), F.col("p_hate"), t, "words_in")["bias_type"],
     }
     return _rounded(scoring.compare_systems(scoring.stacked(p, systems)), "n")
 
@@ -1076,6 +1079,21 @@ def report_then_refit(spark, sf):
     return _rounded(training.report_then_refit(rows, names, "post_id")[1], "support", "tp", "predicted")
 
 
+_SEARCHED = (*features.CORE_NAMES[:13], *(f"meth_{n}" for n in features.METHODOLOGY))
+
+
+@query("search_fusion")
+def search_fusion(spark, sf):
+    rows = feature_rows(spark, sf).select("post_id", "label", "slice_type", "ambiguous_stance", *_SEARCHED)
+    return _rounded(joint.search(rows, _SEARCHED, "post_id", sanity=rows), "place")
+
+
+@query("cross_fit")
+def cross_fit(spark, sf):
+    rows = feature_rows(spark, sf).select("post_id", "label", *_SEARCHED)
+    return _rounded(joint.cross_fit(rows, _SEARCHED, "post_id"), "post_id", "fold")
+
+
 @query("fit_text_classifier")
 def fit_text_classifier(spark, sf):
     rows = labelled_documents(spark, sf)

@@ -33,51 +33,51 @@ def _number(flag: Column) -> Column:
     return flag.cast("double")
 
 
-def linguistic(text: Column, flags: dict[str, Column]) -> dict[str, Column]:
+def linguistic(text: Column, flags: dict[str, Column], words_in: str | None = None) -> dict[str, Column]:
     t = F.trim(F.coalesce(text, F.lit("")))
     words = tokens(t)
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
     among = lambda bank: F.size(F.filter(words, lambda w: w.isin(*bank))).cast("double")
-    group = _unit(hits(t, lex.GROUP_WORDS) / F.greatest(F.lit(12.0), n * 0.25))
+    group = _unit(hits(t, lex.GROUP_WORDS, words_in) / F.greatest(F.lit(12.0), n * 0.25))
     negative = among(lex.NEGATIVE_WORDS)
     structural = F.greatest(*[flags[k] for k in ("generalisation", "comparison", "preference", "soft_preference", "coded_bias")])
     values = (
         group,
-        _unit(hits(t, lex.SOFT_PREFERENCE_HIT) / F.greatest(F.lit(8.0), n * 0.2)),
-        _unit((among(lex.HEDGE_WORDS) + hits(t, lex.HEDGE)) / F.greatest(F.lit(10.0), n)),
+        _unit(hits(t, lex.SOFT_PREFERENCE_HIT, words_in) / F.greatest(F.lit(8.0), n * 0.2)),
+        _unit((among(lex.HEDGE_WORDS) + hits(t, lex.HEDGE, words_in)) / F.greatest(F.lit(10.0), n)),
         _unit(F.greatest(F.lit(0.0), (among(lex.POSITIVE_WORDS) - negative) / n) * structural),
         _unit(flags["implicit_generalisation"] * group),
         _unit(negative / n * group),
-        _number(has(t, lex.EXCLUSION)),
-        _number(has(t, lex.ANTI_STEREOTYPE)),
+        _number(has(t, lex.EXCLUSION, words_in)),
+        _number(has(t, lex.ANTI_STEREOTYPE, words_in)),
     )
     return dict(zip(LINGUISTIC, values))
 
 
-def stance(text: Column) -> dict[str, Column]:
+def stance(text: Column, words: str | None = None) -> dict[str, Column]:
     t = F.trim(F.coalesce(text, F.lit("")))
-    group, denial, critical = has(t, lex.STANCE_GROUP), has(t, lex.DENIAL), has(t, lex.STEREOTYPE_CRITIQUE)
+    group, denial, critical = has(t, lex.STANCE_GROUP, words), has(t, lex.DENIAL, words), has(t, lex.STEREOTYPE_CRITIQUE, words)
     values = (
         _number(group),
-        F.when(group, F.least(F.lit(1.0), hits(t, lex.STANCE_NEGATIVE) / 2)).otherwise(0.0),
+        F.when(group, F.least(F.lit(1.0), hits(t, lex.STANCE_NEGATIVE, words) / 2)).otherwise(0.0),
         _number(group & ~denial & ~critical),
         _number(denial),
         _number(critical),
-        _number(has(t, lex.ENDORSEMENT)),
-        F.least(F.lit(1.0), hits(t, lex.NORMATIVE) / 2),
-        _number(group & has(t, lex.NEGATION)),
-        _number(has(t, lex.ESSENTIALIST)),
+        _number(has(t, lex.ENDORSEMENT, words)),
+        F.least(F.lit(1.0), hits(t, lex.NORMATIVE, words) / 2),
+        _number(group & has(t, lex.NEGATION, words)),
+        _number(has(t, lex.ESSENTIALIST, words)),
     )
     return dict(zip(STANCE, values))
 
 
-def methodology(text: Column) -> dict[str, Column]:
+def methodology(text: Column, words: str | None = None) -> dict[str, Column]:
     t = F.trim(F.coalesce(text, F.lit("")))
     span = F.greatest(F.length(t) / 120.0, F.lit(1.0))
-    cue = lambda p: F.least(F.lit(1.0), hits(t, p) / span)
+    cue = lambda p: F.least(F.lit(1.0), hits(t, p, words) / span)
     nation, work = cue(lex.NATIONALITY_CUES), cue(lex.PROFESSION_CUES)
-    counter = F.least(F.lit(1.0), hits(t, lex.COUNTER_SPEECH) / 2)
-    civil = _number(has(t, lex.POLICY_EVIDENCE)) * (1.0 - _number(has(t, lex.DEMEANING))) * (1.0 - 0.35 * counter)
+    counter = F.least(F.lit(1.0), hits(t, lex.COUNTER_SPEECH, words) / 2)
+    civil = _number(has(t, lex.POLICY_EVIDENCE, words)) * (1.0 - _number(has(t, lex.DEMEANING, words))) * (1.0 - 0.35 * counter)
     lean = F.when(t == "", 0.0).otherwise(_unit((nation - work + 1.0) / 2.0))
     return dict(zip(METHODOLOGY, (nation, work, cue(lex.GENDER_CUES), counter, lean, F.least(F.lit(1.0), civil))))
 

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .factors import any_of, may_match, required, whole_words
+
 FLAGS = "(?iU)"
+PLAIN = "(?i)"  # the same for text in ASCII
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 
@@ -39,14 +42,32 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), F.lit(1))
 
 
-def has(text: Column, bank: str | tuple[str, ...]) -> Column:
-    """Whether any pattern of the bank occurs; a bank folds into one alternation."""
-    pattern = bank if isinstance(bank, str) else "|".join(f"(?:{p})" for p in bank)
-    return text.rlike(FLAGS + pattern)
-
-
-def hits(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(FLAGS + pattern)).cast("double")
+def has(text: Column, bank: str | tuple[str, ...], words: str | None = None) -> Column:
+    """Whether any pattern of the bank occurs. Without an index of the text (words) a bank folds into one alternation; with one, each
+    pattern only runs where a literal that it needs occurs."""
+    each = (bank,) if isinstance(bank, str) else bank
+    whole = text.rlike(FLAGS + "|".join(f"(?:{p})" for p in each))
+    if words is None:
+        return whole
+    out = F.lit(False)
+    for p in each:
+        if whole_words(p):
+            one = any_of(words, whole_words(p))
+        else:
+            one = text.rlike(PLAIN + p) if required(p) is None else any_of(words, required(p)) & text.rlike(PLAIN + p)
+        out = out | one
+    return F.when(F.col(words).isNull(), whole).otherwise(out)
+
+
+def hits(text: Column, pattern: str, words: str | None = None) -> Column:
+    found = lambda flags: F.regexp_count(text, F.lit(flags + pattern)).cast("double")
+    return found(FLAGS) if words is None else F.when(F.col(words).isNull(), found(FLAGS)).when(may_match(words, pattern), found(PLAIN)).otherwise(0.0)
+
+
+def first_hit(text: Column, pattern: str, words: str | None = None) -> Column:
+    """The first match, empty without one."""
+    found = lambda flags: F.regexp_extract(text, flags + pattern, 0)
+    return found(FLAGS) if words is None else F.when(F.col(words).isNull(), found(FLAGS)).when(may_match(words, pattern), found(PLAIN)).otherwise("")
 
 
 def clean_generated(text: Column) -> Column:

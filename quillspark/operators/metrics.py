@@ -97,12 +97,13 @@ def not_ambiguous(column: str = "ambiguous_stance") -> Column:
     return ~F.coalesce(F.lower(F.trim(F.col(column).cast("string"))).isin("1", "true", "yes"), F.lit(False))
 
 
-def sanity_rates(rows: DataFrame) -> DataFrame:
-    """False positives on innocent slices, false negatives on the harmful one, and stance-aware accuracy. rows: slice_type, pred, ambiguous_stance."""
+def sanity_rates(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """False positives on innocent slices, false negatives on the harmful one, and stance-aware accuracy. rows: slice_type, pred, ambiguous_stance,
+    and what they are grouped by."""
     r = rows.where(not_ambiguous())
     quiet, loud = F.col("slice_type").isin(*INNOCENT), F.col("slice_type") == HARMFUL
     found = F.col("pred") != NEUTRAL
-    sums = r.agg(F.count_if(quiet & found).alias("fp"), F.count_if(quiet).alias("fp_denom"), F.count_if(loud & ~found).alias("fn"), F.count_if(loud).alias("fn_denom"))
+    sums = r.groupBy(*by).agg(F.count_if(quiet & found).alias("fp"), F.count_if(quiet).alias("fp_denom"), F.count_if(loud & ~found).alias("fn"), F.count_if(loud).alias("fn_denom"))
     right = F.col("fp_denom") - F.col("fp") + F.col("fn_denom") - F.col("fn")
     return sums.select("*", ratio(F.col("fp"), F.col("fp_denom")).alias("fpr"), ratio(F.col("fn"), F.col("fn_denom")).alias("fnr"), ratio(right, F.col("fp_denom") + F.col("fn_denom")).alias("stance_aware_accuracy"))
 
@@ -173,12 +174,31 @@ def long_scores(rows: DataFrame, scores: dict[str, str]) -> DataFrame:
     return rows.where(F.col("gold").isin(*LABELS)).select("gold", F.explode(pairs).alias("x")).select("x.label", (F.col("gold") == F.col("x.label")).cast("int").alias("positive"), "x.score")
 
 
+RANGES = 256
+
+
+def _range_of(score: Column, bounds: Column) -> Column:
+    """How many of the 255 bounds, which are in order, lie below the score: eight halvings."""
+    steps = F.array(*(F.lit(1 << k) for k in range(7, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.element_at(bounds, at + s) < score, at + s).otherwise(at))
+
+
 def _by_score(rows: DataFrame) -> DataFrame:
-    """Positives and negatives of each distinct score, and of all higher and lower ones. Equal scores meet before the window."""
+    """Positives and negatives of each distinct score, and of all higher and lower ones (tp, fp), and of its label (p, n).
+
+    Equal scores meet first. Distinct scores fall into ranges of about equal size; sums of whole ranges give each range what
+    lies above it, and windows only run inside a range of a label."""
     at = rows.groupBy("label", "score").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
-    down = W.partitionBy("label").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("label")
-    return at.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
+    bounds = at.groupBy(F.col("label").alias("_label")).agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("bounds"))
+    placed = at.join(bounds, F.col("label").eqNullSafe(F.col("_label"))).select("label", "score", "pos", "neg", _range_of(F.col("score"), F.col("bounds")).alias("r"))
+    sums = placed.groupBy("label", "r").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    above, whole = W.partitionBy("label").orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy("label")
+    over = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = sums.select(F.col("label").alias("_label"), F.col("r").alias("_r"), over("_pos", above).alias("_tp"), over("_neg", above).alias("_fp"), over("_pos", whole).alias("p"), over("_neg", whole).alias("n"))
+    down = W.partitionBy("label", "r").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    inside = placed.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    out = inside.join(sums, F.col("label").eqNullSafe(F.col("_label")) & (F.col("r") == F.col("_r")))
+    return out.select("label", "score", "pos", "neg", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "p", "n")
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import decisions, explain, features, rules
+from ..functions import decisions, explain, factors, features, rules
 from ..functions.text import clean_posts
 from ..labels import LABELS, NEUTRAL, to_label
 from ..operators import metrics
@@ -31,12 +31,14 @@ class FusionModel:
 
 
 def with_signals(posts: DataFrame, text: str = "clean") -> DataFrame:
-    """posts with structs flags, ling, stance, meth and heur, each computed once."""
-    t = F.col(text)
-    out = posts.withColumn("flags", F.struct(*[c.alias(k) for k, c in rules.flags(t).items()]))
+    """posts with structs flags, ling, stance, meth and heur, each computed once, and the index of the text in _words_in."""
+    t, words = F.col(text), "_words_in"
+    out = posts.withColumn("_words_in", factors.index(t))
+    out = out.withColumn("flags", F.struct(*[c.alias(k) for k, c in rules.flags(t, words).items()]))
     f = {k: F.col(f"flags.{k}") for k in rules.FLAG_NAMES}
     named = lambda d: F.struct(*[c.alias(k) for k, c in d.items()])
-    return out.withColumns({"ling": named(features.linguistic(t, f)), "stance": named(features.stance(t)), "meth": named(features.methodology(t)), "heur": rules.heuristics(t)})
+    out = out.withColumns({"ling": named(features.linguistic(t, f, words)), "stance": named(features.stance(t, words)), "meth": named(features.methodology(t, words)), "heur": rules.heuristics(t, words)})
+    return out
 
 
 def _struct(name: str, keys: tuple[str, ...]) -> dict[str, Column]:
@@ -57,7 +59,7 @@ def decided(scored: DataFrame, model: FusionModel | None = None) -> DataFrame:
     """with bias_detected, bias_type and confidence; hand-tuned fusion where no model is given."""
     dist, flags = _struct("dist", LABELS), _struct("flags", rules.FLAG_NAMES)
     if model is None:
-        got = decisions.fuse(dist, flags, F.col("p_hate"), F.col("clean"))
+        got = decisions.fuse(dist, flags, F.col("p_hate"), F.col("clean"), "_words_in")
         return scored.withColumns({**got, "confidence": decisions.clamped(got["confidence"])}).withColumn("posterior", F.lit(None).cast("struct<" + ",".join(f"{k}:double" for k in LABELS) + ">"))
     row = features.feature_row(dist, F.col("p_hate"), flags, rules.structure_score(flags), _struct("ling", features.LINGUISTIC), _struct("stance", features.STANCE), _struct("meth", features.METHODOLOGY))
     post = decisions.linear_posterior({k: row[k] for k in model.names}, model.means, model.scales, model.coefficients, model.intercepts)
@@ -79,7 +81,7 @@ def score_posts(posts: DataFrame, type_scores: DataFrame, hate_scores: DataFrame
     dist, flags = _struct("dist", LABELS), _struct("flags", rules.FLAG_NAMES)
     words = explain.important_words(F.col("clean"), F.col("bias_type"), F.col("bias_detected"), F.col("heur.match_terms"), F.col("p_hate"))
     out = scored.withColumns({"important_words": words, "explanation": explain.lines(F.col("bias_detected"), F.col("bias_type"), flags, F.col("p_hate"), dist)})
-    return out if trace else out.select("post_id", "text", "bias_detected", "bias_type", "confidence", "important_words", "explanation")
+    return out.drop("_words_in") if trace else out.select("post_id", "text", "bias_detected", "bias_type", "confidence", "important_words", "explanation")
 
 
 def evaluate(predictions: DataFrame, gold: DataFrame, key: str = "post_id") -> dict[str, DataFrame]:

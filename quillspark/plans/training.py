@@ -71,27 +71,6 @@ def argmax_label(prefix: str = "p_"):  # noqa: ANN201
     return best({k: F.col(f"{prefix}{k}") for k in LABELS})["label"]
 
 
-def search_fusion(rows: DataFrame, names: tuple[str, ...], key: str, grid: tuple[float, ...] = (0.1, 1.0, 10.0), neutrals: tuple[float | None, ...] = (None, 0.8), k: int = 4, sanity: DataFrame | None = None, penalty: float = 0.22) -> DataFrame:
-    """(c, neutral, cv_macro_f1, sanity_fpr, objective), best first. One fit for each candidate and fold; rows are cached once."""
-    data = folds(rows, key, k).cache()
-    out = []
-    for c in grid:
-        for neutral in neutrals:
-            scores = []
-            for i in range(k):
-                model = fit_fusion(data.where(F.col("fold") != i), names, c, neutral)
-                held = posteriors(data.where(F.col("fold") == i), model).select(F.col("label").alias("gold"), argmax_label().alias("pred"))
-                scores.append(metrics.multiclass_summary(held).first()["f1_macro"])
-            fpr = 0.0
-            if sanity is not None:
-                model = fit_fusion(data, names, c, neutral)
-                fpr = metrics.sanity_rates(posteriors(sanity, model).withColumn("pred", argmax_label())).first()["fpr"]
-            f = float(np.mean(scores))
-            out.append((c, neutral, f, fpr, f - penalty * fpr))
-    data.unpersist()
-    return rows.sparkSession.createDataFrame(out, "c double, neutral double, cv_macro_f1 double, sanity_fpr double, objective double").orderBy(F.desc("objective"), "sanity_fpr")
-
-
 def fit_platt(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Slopes and intercepts for each class's logit. rows: gold, p_<label>."""
     slopes, intercepts = {}, {}
@@ -200,6 +179,61 @@ def _summed(data: DataFrame, cells: int, count) -> np.ndarray:  # noqa: ANN001
     return out
 
 
+def _added(data: DataFrame, shape: tuple[int, ...], work) -> np.ndarray:  # noqa: ANN001
+    """Sum over all batches of the arrays that work(posteriors, groups) gives."""
+    size = int(np.prod(shape))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for b in batches:
+            if b.num_rows:
+                p = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(_ORDER))])
+                total += work(p, b.column(len(_ORDER)).to_numpy(zero_copy_only=False))
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
+
+    out = np.zeros(size, np.int64)
+    for r in data.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a few numbers for each candidate
+        out[r["cell"]] = r["n"]
+    return out.reshape(shape)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Booleans along the last axis as words of 64 bits."""
+    packed = np.packbits(bits, axis=-1, bitorder="little")
+    spare = -packed.shape[-1] % 8
+    return np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, spare)]).view(np.uint64)
+
+
+def _drawn_counts(p: np.ndarray, g: np.ndarray, drawn: list[tuple[float, np.ndarray]], steps: np.ndarray) -> np.ndarray:
+    """(candidate, group, predicted) counts of rows, by bit slices: 64 rows at a time meet a candidate in a few operations on words."""
+    neutral, others = _ORDER.index(NEUTRAL), [i for i, k in enumerate(_ORDER) if k != NEUTRAL]
+    reach = [_packed(p[:, c] >= steps[:, None]) for c in range(4)]
+    beats = {(a, b): _packed((p[:, a] > p[:, b]) | (p[:, a] == p[:, b]) & (a < b)) for a in range(4) for b in range(4) if a != b}
+    mine = _packed(g == np.arange(_GROUPS)[:, None])
+    every = _packed(np.ones(len(g), bool))
+    gaps = {a: p[:, a] - p[:, neutral] for a in others}
+    out = np.zeros((len(drawn), _GROUPS, 4), np.int64)
+    for i, (gap, t) in enumerate(drawn):
+        ok = [reach[c][np.searchsorted(steps, t[c])] for c in range(4)]
+        pred = [ok[a].copy() for a in range(4)]
+        for a, b in beats:
+            pred[a] &= ~ok[b] | beats[a, b]
+        calm = every & ~(ok[0] | ok[1] | ok[2] | ok[3])
+        if gap > 0:
+            for a in others:
+                lead = ok[a].copy()
+                for b in others:
+                    if a != b:
+                        lead &= ~ok[b] | beats[a, b]
+                calm |= lead & _packed(gaps[a] < gap)
+        for a in others:
+            pred[a] &= ~calm
+        pred[neutral] |= calm
+        out[i] = np.bitwise_count(np.stack(pred)[None] & mine[:, None]).sum(-1)
+    return out
+
+
 def _rated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Macro F1, FPR and FNR from counts (..., group, predicted)."""
     gold = counts[..., :4, :]
@@ -227,7 +261,8 @@ def tune_thresholds(
 
     Coordinate descent for each margin from thresholds of 0.5 (which the grid must hold); it stops when a round changes nothing. A class's
     threshold moves a row between two labels only, so one aggregation by the place of its posterior in the grid scores all values for
-    all margins. Where no margin ends within the caps, the best of `draws` random candidates under a penalty is taken. Null posteriors are 0."""
+    all margins. Where no margin ends within the caps, the best of `draws` random candidates under a penalty is taken: those that the
+    sanity rows alone cannot rule out are scored on all rows. Null posteriors are 0."""
     ps = [F.coalesce(F.col(f"p_{k}").cast("double"), F.lit(0.0)).alias(k) for k in _ORDER]
     group = F.lit(_OTHER)
     for i, k in enumerate(_ORDER):
@@ -289,12 +324,21 @@ def tune_thresholds(
             named = {k: float(rng.choice(steps)) for k in LABELS}
             drawn.append((gap, np.array([named[k] for k in _ORDER])))
 
-        def count_drawn(p: np.ndarray, g: np.ndarray) -> Iterator[np.ndarray]:
-            for i, (gap, t) in enumerate(drawn):
-                yield (i * _GROUPS + g) * 4 + _decided(p, p >= t, gap)
+        def tally(some: list[int], groups: DataFrame) -> tuple[np.ndarray, ...]:
+            chosen = [drawn[i] for i in some]
+
+            def work(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+                return _drawn_counts(p, g.astype(np.int64), chosen, steps)
+
+            return _rated(_added(groups, (len(some), _GROUPS, 4), work))
 
-        f, x, y = _rated(_summed(data, len(drawn) * _GROUPS * 4, count_drawn).reshape(len(drawn), _GROUPS, 4))
-        score = f - 500 * np.maximum(0, x - fpr_max) - 500 * np.maximum(0, y - fnr_max)
+        # a macro F1 is at most 1, so a penalty on the sanity rows that is more than 1 above the least one rules a candidate out
+        fine = lambda x, y: 500 * np.maximum(0, x - fpr_max) + 500 * np.maximum(0, y - fnr_max)
+        _, x, y = tally(list(range(len(drawn))), data.where(F.col("group").isin(_QUIET, _LOUD)))
+        left = np.flatnonzero(fine(x, y) <= fine(x, y).min() + 1 + 1e-9).tolist()
+        drawn = [drawn[i] for i in left]
+        f, x, y = tally(list(range(len(drawn))), data)
+        score = f - fine(x, y)
         k = 0
         for i in range(len(drawn)):
             if score[i] > score[k] + 1e-14:

@@ -19,6 +19,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where the files they come from are too few for that; for narrow rows that much work per row follows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _renamed(raw: DataFrame) -> DataFrame:
     df = raw.toDF(*[c.strip() for c in raw.columns])
     if "post_id" not in df.columns and "id" in df.columns:
