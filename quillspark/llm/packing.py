@@ -5,7 +5,8 @@ Every example asks for tokens, one segment, and loss-bearing tokens; every seque
 largest dot product with its demand, both in shares of the limits. Each task packs the rows it reads, so nothing shuffles.
 An example longer than a sequence is cut: its whole sequences leave at once, the rest is packed. With `cut` set, open
 sequences are topped up with parts of other examples, and what is left at the end of a task goes out as sequences whose
-lengths are powers of two, which need no padding.
+lengths are powers of two, which need no padding; so does a sequence that runs out of segments or loss-bearing tokens before it is full,
+and the rest of it stays open.
 
 Defined cases: null text is empty (its end token is packed alone); ids may be null or repeat, each row is packed by itself;
 an empty table gives no pieces; other columns are not looked at.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, sub_batches, word_hashes, word_spans
 
-MAX_TOKENS, MAX_SEGMENTS = 4096, 256
+MAX_TOKENS, MAX_SEGMENTS = 4096, 4096
 END_ID = 2
 OPEN_BINS = 48
 # What a task holds besides its rows: so many words and pieces of words with their ids, about 25 MB each at most, so much text at
@@ -144,7 +145,28 @@ class Bins:
         self.free[k] = self.free[-1]
         self.held.pop()
         self.free = self.free[:-1]
-        return self._close(pieces)
+        total = sum(p[2] for p in pieces)
+        even = 1 << (total.bit_length() - 1)
+        if not self.cut or total == even or total == int(self.limits[0]):
+            return self._close(pieces)
+        mine = self._first(pieces, even)
+        self.held.append(pieces)
+        self.free = np.vstack([self.free, self.limits - np.array([total - even, len(pieces), sum(p[3] for p in pieces)], float)])
+        return self._close(mine)
+
+    @staticmethod
+    def _first(left: list[tuple], want: int) -> list[tuple]:
+        """Takes the first `want` tokens out of these pieces."""
+        mine = []
+        while want:
+            row, start, length, loss = left.pop(0)
+            take = min(length, want)
+            part = max(0, loss - (length - take))
+            mine.append((row, start, take, part))
+            if take < length:
+                left.insert(0, (row, start + take, length - take, loss - part))
+            want -= take
+        return mine
 
     def _close(self, pieces: list[tuple]) -> list[tuple]:
         name, at, out = self._name(), 0, []
@@ -166,7 +188,7 @@ class Bins:
                 self.held[k].append(piece)
                 self.free[k] -= need
                 return self._pop(k) if self.free[k].min() < 1 else []
-        if len(self.held) >= OPEN_BINS:
+        while len(self.held) >= OPEN_BINS:
             done += self._relieve()
         self.held.append([piece])
         self.free = np.vstack([self.free, self.limits - need])
@@ -215,16 +237,7 @@ class Bins:
             while total:
                 want = min(most, 1 << (total.bit_length() - 1))
                 total -= want
-                mine = []
-                while want:
-                    row, start, length, loss = left.pop(0)
-                    take = min(length, want)
-                    part = max(0, loss - (length - take))
-                    mine.append((row, start, take, part))
-                    if take < length:
-                        left.insert(0, (row, start + take, length - take, loss - part))
-                    want -= take
-                done += self._close(mine)
+                done += self._close(self._first(left, want))
         return done
 
 
