@@ -9,9 +9,11 @@ stands before a word if a hash of it and its predecessor is the smallest within
 these words alone, so a passage of 50 words nearly always holds a whole piece. Pieces are grouped by equality of their words; those that no other
 document has are not in the result.
 
-A line or piece is repeated if two documents have its group, and it is part of a passage if the repeated lines, or the
-repeated pieces of a line, that follow each other have `least_words` or more together. Shorter ones (a license line, a greeting) are boilerplate:
-they are reported, and stay. Of each group of passages the first one stays, by document id and place.
+A line or piece is repeated if two documents have its group, however short it is; of each group the first one stays, by document id and
+place. `passage` says beside that whether the repeated lines, or the repeated pieces of a line, that follow each other have `passage_words` or more
+together; repeats that have not (a license line, a greeting) are boilerplate. That is a report and decides nothing.
+
+A passage inside a line goes with the pieces that lie in it, so up to `2 * REACH` words may stay at each of its ends.
 
 Sets so small that no other set can be similar enough are compared by equality alone.
 
@@ -36,7 +38,7 @@ from .common import _DOWN, lowered, mix, powers, settle, shingle_sets, sub_batch
 from .linking import BROADCAST_IDS, NARROW, linked
 
 HASHES, COMMON, RECALL = 14, 64, 0.999
-LONG, REACH, LEAST_WORDS = 50, 6, 25
+LONG, REACH, PASSAGE_WORDS = 50, 6, 25
 
 
 def tune_bands(similarity: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -123,7 +125,7 @@ def piece_starts(hashes: np.ndarray, first: np.ndarray, long: int, reach: int) -
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, place, piece, words, name_a, name_b) of the pieces of long lines."""
+    """(doc_id, place, piece, start, end, words, name_a, name_b) of the pieces of long lines; start and end in characters of the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw, bounds in sub_batches(batches, "text"):
@@ -145,28 +147,33 @@ def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names.append(mix((sums[stop] - sums[at]) * powers(len(hashes), _DOWN[1])[at] + (stop - at).astype(np.uint64)))
             owner = np.searchsorted(bounds, cuts[line], "right") - 1
             new = np.r_[True, line[1:] != line[:-1]]
+            # characters before each byte: bytes that continue one do not count
+            chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+            left, right = starts[at], np.where(stop < first[line + 1], starts[np.minimum(stop, len(starts) - 1)], ends[stop - 1])
             cols = [
                 b.column(0).take(pa.array(owner)),
                 pa.array(line - np.searchsorted(cuts, bounds[:-1])[owner]),
                 pa.array(np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]),
+                pa.array(chars[left] - chars[cuts[line]]),
+                pa.array(chars[right] - chars[cuts[line]]),
                 pa.array((stop - at).astype(np.int64)),
                 pa.array(names[0].view(np.int64)),
                 pa.array(names[1].view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "piece", "words", "name_a", "name_b"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "piece", "start", "end", "words", "name_a", "name_b"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, place long, piece long, words long, name_a long, name_b long")
+    return rows_in.mapInArrow(run, "doc_id long, place long, piece long, start long, end long, words long, name_a long, name_b long")
 
 
-def _passages(found: DataFrame, line: list[str], place: str, least_words: int) -> DataFrame:
+def _passages(found: DataFrame, line: list[str], place: str, passage_words: int) -> DataFrame:
     """found (.., documents) with `passage`: whether the repeated neighbours of a row, in order of place within line, have enough words together."""
     some = found.where("documents > 1")
     each = W.partitionBy(*line).orderBy(place)
     # rows that repeat an id repeat its places, too
     step = F.col(place) - F.coalesce(F.lag(place).over(each), F.lit(-2))
     run = some.withColumn("step", (step > 1).cast("long")).withColumn("run", F.sum("step").over(each)).withColumn("together", F.sum("words").over(W.partitionBy(*line, "run")))
-    return run.withColumn("passage", F.col("together") >= least_words).drop("step", "run", "together").unionByName(found.where("documents <= 1").withColumn("passage", F.lit(False)))
+    return run.withColumn("passage", F.col("together") >= passage_words).drop("step", "run", "together").unionByName(found.where("documents <= 1").withColumn("passage", F.lit(False)))
 
 
 def _grouped(placed: DataFrame, by: list[str]) -> DataFrame:
@@ -177,12 +184,13 @@ def _grouped(placed: DataFrame, by: list[str]) -> DataFrame:
     return placed.join(groups.drop("rows"), by, "left").withColumns({"documents": F.coalesce("documents", F.lit(1)).cast("long"), "best": F.coalesce("best", order)})
 
 
-def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hashes: int = HASHES, recall: float = RECALL, common: int = COMMON, least_words: int = LEAST_WORDS) -> DataFrame:
+def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hashes: int = HASHES, recall: float = RECALL, common: int = COMMON, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """One row for each line, and for each piece of a long line that other documents have too.
 
-    doc_id, place (of the line, from 0), piece (null for whole lines), words, n (set size; of a piece its shingles), first_doc, first_place, first_piece (the first of the
-    group), repeated (part of a passage that several documents have), members (documents that have it, 1 if not repeated),
-    boilerplate (documents that have it, 0 unless it repeats but is no passage), kept (false for all but the first of a repeated group).
+    doc_id, place (of the line, from 0), piece (null for whole lines), start, end (characters of a piece in its line, null for whole lines), words, n (set
+    size; of a piece its shingles), first_doc, first_place, first_piece (the first of the group), repeated (several documents have it), members (how
+    many), passage (part of so many repeated words in a row), boilerplate (repeated and no passage), kept (false for all but the first of
+    a repeated group).
     """
     bands, rows = tune_bands(percent / 100, recall, hashes)
     cut = settle(paragraphs(docs, id_col, text_col, words, percent, bands, rows))
@@ -199,26 +207,37 @@ def paragraph_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     listed = settle(listed.join(met, "id").select("id", "n", F.col("weight").alias("centre"), "values"), 1 + scale // NARROW)
     found = linked(listed, rich.select(F.col("pid").alias("id"), "text"), words, percent, common, 1, scale, dense=False)
     none = F.lit(None).cast("long")
-    placed = settle(known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("pid", "doc_id", "place", none.alias("piece"), "words", "n", F.coalesce("component", "rep").alias("component")), 1 + scale // NARROW)
-    lines = _passages(_grouped(placed, ["component"]), ["doc_id"], "place", least_words)
+    placed = settle(known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("pid", "doc_id", "place", none.alias("piece"), none.alias("start"), none.alias("end"), "words", "n", F.coalesce("component", "rep").alias("component")), 1 + scale // NARROW)
+    lines = _passages(_grouped(placed, ["component"]), ["doc_id"], "place", passage_words)
 
     # names that several documents have; few enough of them spare the pieces a shuffle, else they meet by it
     parts = pieces(docs, id_col, text_col).withColumn("pid", F.monotonically_increasing_id())
     more = settle(parts.groupBy("name_a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("doc_id").isNull()).alias("none")).where("lo < hi OR none").select("name_a"), 1 + scale // NARROW)
-    again = settle(parts.join(F.broadcast(more) if more.count() <= BROADCAST_IDS else more, "name_a"), 1 + scale // NARROW)
+    shared = settle(parts.join(F.broadcast(more) if more.count() <= BROADCAST_IDS else more, "name_a"), 1 + scale // NARROW)
     n = F.greatest(F.col("words") - (words - 1), F.lit(1))
-    inner = _passages(_grouped(again, ["name_a", "name_b"]), ["doc_id", "place"], "piece", least_words // 2).where("documents > 1").withColumn("n", n)
-    of = F.col("passage")
-    columns = ["doc_id", "place", "piece", "words", "n", F.col("best.doc_id").alias("first_doc"), F.col("best.place").alias("first_place"), F.col("best.piece").alias("first_piece"), of.alias("repeated")]
-    columns += [F.when(of, F.col("documents")).otherwise(1).alias("members"), F.when(~of & (F.col("documents") > 1), F.col("documents")).otherwise(0).alias("boilerplate"), (~of | (F.col("pid") == F.col("best.pid"))).alias("kept")]
+    inner = _passages(_grouped(shared, ["name_a", "name_b"]), ["doc_id", "place"], "piece", passage_words // 2).where("documents > 1").withColumn("n", n)
+    again = F.col("documents") > 1
+    columns = ["doc_id", "place", "piece", "start", "end", "words", "n", F.col("best.doc_id").alias("first_doc"), F.col("best.place").alias("first_place"), F.col("best.piece").alias("first_piece"), again.alias("repeated")]
+    columns += [F.col("documents").alias("members"), "passage", (again & ~F.col("passage")).alias("boilerplate"), (~again | (F.col("pid") == F.col("best.pid"))).alias("kept")]
     return lines.select(*columns).unionByName(inner.select(*columns))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the lines that do not stay taken out of their texts. Ids must be unique here; a row without an id stays whole."""
+    """docs without what does not stay: lines go as a whole, pieces of lines by their characters. Ids must be unique here; a row without an id stays
+    whole."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    gone = paragraph_groups(docs, id_col, text_col, **options).where("NOT kept AND piece IS NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_gone"))
+    gone = paragraph_groups(docs, id_col, text_col, **options).where("NOT kept AND doc_id IS NOT NULL")
+    gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.when(F.col("piece").isNull(), F.col("place"))).alias("_lines"), F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("place", "start", "end")))).alias("_spans"))
     joined = docs.toDF(*names).join(gone, F.col(key).cast("long") == F.col("_doc"), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.coalesce(F.array_contains("_gone", i.cast("long")), F.lit(False)))
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*names).toDF(*docs.columns)
+
+    def cut(line, i):  # noqa: ANN001, ANN202
+        """What is left of a line; null if it goes."""
+        own = F.filter("_spans", lambda s: s["place"] == i)
+        state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+        step = lambda a, s: F.struct(F.concat(a["out"], F.substring(line, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int"))).alias("out"), s["end"].alias("at"))
+        rest = lambda a: F.rtrim(F.concat(a["out"], F.substring(line, a["at"].cast("int") + 1, F.length(line))))
+        return F.when(F.array_contains("_lines", i.cast("long")), None).when(F.size(own) == 0, line).otherwise(F.aggregate(own, state, step, rest))
+
+    kept = F.array_compact(F.transform(F.split(F.col(text), "\n"), cut))
+    return joined.withColumn(text, F.when(F.col("_doc").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*names).toDF(*docs.columns)
