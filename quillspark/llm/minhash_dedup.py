@@ -14,8 +14,9 @@ Nothing is capped: a list of any length is joined, not collected. Full sets are
 documents that have a candidate.
 
 Defined cases: null text and text without words has an empty set, is linked with nothing and stays; a text shorter than a shingle
-is one shingle; rows without an id are left out; rows that repeat an id count as one document whose set is the first of them by
-set size and hash; an empty table gives an empty result; other columns are not looked at.
+is one shingle; rows without an id are left out; rows that repeat an id count as one document with the shortest of their texts (null first, then
+by bytes), and each of them gets its result; a text of any length is read whole; equal texts and sets of equal size need no rule, as
+groups are components; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -92,6 +93,11 @@ def near_groups(
     at most 3 for percent >= 67: smaller sets are only similar when equal. slack: how far below the threshold an estimate may lie.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    repeated = settle(rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), 1)
+    shared = not repeated.isEmpty()
+    if shared:
+        mine = rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.length("text"), "text")).alias("x")).select("id", "x.text")
+        rows = settle(rows.join(repeated, "id", "left_anti").unionByName(mine))
     table = settle(sketches(rows, words, sketch))
     scale = table.count()
     classes = table.where("n > 0").groupBy("print_a", "print_b", "n").agg(F.min("id").alias("rep"))
@@ -99,7 +105,11 @@ def near_groups(
     reps = known.where(F.col("sketch").isNotNull()).select("id", "n", "sketch")
     listed = settle(_listed(reps, prefix, common), 1 + scale // WIDE)
     found = linked(listed, rows, words, percent, common, overlap, scale, _likely(reps, percent, slack))
-    return known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    out = known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    if shared:
+        times = out.join(repeated, "id", "left").withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.coalesce("rows", F.lit(1)).cast("int"))))
+        out = times.select("id", "n", "component")
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
