@@ -3,8 +3,15 @@
 A text is lower-cased (A-Z), everything in ASCII that is no letter becomes a word boundary, and the byte n-grams of 2 to 4
 bytes inside words (boundaries included) are hashed to `BUCKETS` rows of an embedding table. The mean row times a linear
 layer gives the logits. For prediction both layers fold into one table of logits per bucket. A temperature is fitted on a
-part of the sample that the SGD never sees, and the rejection threshold is the score that all but `REJECT_SHARE` of that
-part reach.
+part of the sample that the SGD never sees.
+
+Rejection is calibrated on that part, too. The n-grams of the training part are kept as a bitmap of 2^20 bits; a text is familiar as far as
+its n-grams are in it, which those of another script or of random letters are not. Floors for short, middling and long texts lie where the held-out
+windows part best from the same windows with their letters drawn anew, but so that all but `REJECT_SHARE` of the windows pass. A text is rejected below its floor
+of familiarity, below the score that all but `REJECT_SHARE` of the windows reach, or with under `LEAST_GRAMS` n-grams (one or two letters),
+which say nothing.
+
+Windows for training and calibration: of each text of the sample at most 6, at most 40 and at most 200 words at a random place.
 
 Training reads a bounded sample, at most about `per_lang` labelled rows of each language; prediction reads whole texts.
 
@@ -31,6 +38,7 @@ ORDERS = (2, 3, 4)
 PER_LANG = 1500
 REJECT_SHARE = 0.001
 FEW_LANGS = 10_000
+MARKS, LEAST_GRAMS, LENGTHS = 1 << 20, 8, (60, 400)
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -54,8 +62,8 @@ def folded(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[keep], total[edges]
 
 
-def grams(text: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order the bucket at each byte; bucket 0 stands for no n-gram."""
+def grams(text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the bucket at each byte and its place in the bitmap; bucket 0 stands for no n-gram."""
     wide = text.astype(np.uint32)
     gap = text == 32
     n = len(text)
@@ -70,7 +78,7 @@ def grams(text: np.ndarray) -> Iterator[np.ndarray]:
         for k in range(1, order - 1):
             bad |= gap[k : k + m]
         bucket[bad] = 0
-        yield bucket
+        yield bucket, (h >> np.uint32(3)) % np.uint32(MARKS)
 
 
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -110,11 +118,19 @@ def train(texts: list[str], langs: list[str], seed: int, epochs: int = 3, rate:
     if held.all() or not held.any():
         held[:] = False
 
-    def buckets(chunk: bytes) -> np.ndarray:
+    def both(chunk: bytes) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(chunk, np.uint8)
         text, _ = folded(raw, np.array([0, len(raw)]))
-        got = np.concatenate(list(grams(text)))
-        return got[got > 0]
+        got, mark = (np.concatenate(x) for x in zip(*grams(text)))
+        return got[got > 0], mark[got > 0]
+
+    def buckets(chunk: bytes) -> np.ndarray:
+        return both(chunk)[0]
+
+    met = np.zeros(MARKS, bool)
+    for t, h in zip(texts, held):
+        if not h:
+            met[both(t.encode())[1]] = True
 
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(labels)), np.float32), np.zeros(len(labels), np.float32)
@@ -165,7 +181,22 @@ def train(texts: list[str], langs: list[str], seed: int, epochs: int = 3, rate:
         grid = np.geomspace(0.05, 5, 40)
         heat = float(grid[np.argmin([-np.log(soft(t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid])])
         floor = float(np.quantile(soft(heat).max(1), REJECT_SHARE))
-    return {"labels": labels, "logits": logits, "bias": bias, "heat": heat, "floor": floor}
+    # familiarity of held-out windows, and of the same windows with every letter drawn anew from those of the sample
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    near: list[list] = [[] for _ in range(len(LENGTHS) + 1)]
+    far: list[list] = [[] for _ in range(len(LENGTHS) + 1)]
+    for w, _ in seen:
+        raw = np.frombuffer(w, np.uint8)
+        noise = np.where(raw > 32, letters[rng.integers(0, 26, len(raw))], raw).tobytes()
+        for chunk, into in ((w, near), (noise, far)):
+            mark = both(chunk)[1]
+            if len(mark) >= LEAST_GRAMS:
+                into[int(np.searchsorted(LENGTHS, len(mark), "right"))].append(met[mark].mean())
+    floors = []
+    for a, b in zip(near, far):
+        low = float(np.quantile(a, REJECT_SHARE)) if a else 0.0
+        floors.append(min(low, (low + float(np.quantile(b, 0.99))) / 2) if b else low)
+    return {"labels": labels, "logits": logits, "bias": bias, "heat": heat, "floor": floor, "met": np.packbits(met, bitorder="little"), "floors": floors}
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, seed: int = 7) -> dict:
@@ -182,32 +213,36 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         if len(rows):
             rows = rows.sort_values(["id", "text", "lang"], na_position="first")
             m = train(rows["text"].tolist(), rows["lang"].tolist(), seed)
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps([m["labels"], m["heat"], m["floor"], m["bias"].tolist()])]), pa.array([m["logits"].tobytes()], pa.binary())], ["meta", "logits"])
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps([m["labels"], m["heat"], m["floor"], m["bias"].tolist(), m["floors"]])]), pa.array([m["logits"].tobytes()], pa.binary()), pa.array([m["met"].tobytes()], pa.binary())], ["meta", "logits", "met"])
 
-    got = sample.repartition(1).mapInArrow(run, "meta string, logits binary").collect()
+    got = sample.repartition(1).mapInArrow(run, "meta string, logits binary, met binary").collect()
     if not got:
-        return {"labels": [], "heat": 1.0, "floor": 0.0, "bias": np.zeros(0, np.float32), "logits": np.zeros((BUCKETS, 0), np.float32)}
-    labels, heat, floor, bias = json.loads(got[0]["meta"])
-    return {"labels": labels, "heat": heat, "floor": floor, "bias": np.array(bias, np.float32), "logits": np.frombuffer(bytes(got[0]["logits"]), np.float32).reshape(BUCKETS, len(labels))}
+        return {"labels": [], "heat": 1.0, "floor": 0.0, "bias": np.zeros(0, np.float32), "logits": np.zeros((BUCKETS, 0), np.float32), "met": np.zeros(MARKS // 8, np.uint8), "floors": [0.0] * (len(LENGTHS) + 1)}
+    labels, heat, floor, bias, floors = json.loads(got[0]["meta"])
+    return {"floors": floors, "met": np.frombuffer(bytes(got[0]["met"]), np.uint8), "labels": labels, "heat": heat, "floor": floor, "bias": np.array(bias, np.float32), "logits": np.frombuffer(bytes(got[0]["logits"]), np.float32).reshape(BUCKETS, len(labels))}
 
 
-def score_batch(model: dict, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best label number and its calibrated probability for each row."""
+def score_batch(model: dict, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best label number and its calibrated probability for each row, and whether the row is strange or too short to tell."""
     text, edges = folded(raw, bounds)
     langs = len(model["labels"])
     table = np.concatenate([model["logits"], np.ones((BUCKETS, 1), np.float32)], 1)
     table[0] = 0
-    total = np.zeros((len(bounds) - 1, langs + 1))
-    for bucket in grams(text):
+    met = np.unpackbits(model["met"], bitorder="little").astype(np.float32)
+    total, familiar = np.zeros((len(bounds) - 1, langs + 1)), np.zeros(len(bounds) - 1)
+    for bucket, mark in grams(text):
         total += row_sums(table[bucket], edges)
-    z = (total[:, :langs] / np.maximum(total[:, langs:], 1) + model["bias"]) / model["heat"]
+        familiar += row_sums((met[mark] * (bucket > 0))[:, None], edges)[:, 0]
+    n = total[:, langs]
+    z = (total[:, :langs] / np.maximum(n[:, None], 1) + model["bias"]) / model["heat"]
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    return p.argmax(1), p.max(1)
+    floors = np.array(model["floors"])[np.searchsorted(LENGTHS, n, "right")]
+    return p.argmax(1), p.max(1), (n < LEAST_GRAMS) | (familiar < floors * n)
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_rejected appended."""
+    """docs with lang_pred, lang_score and lang_rejected appended, in place of columns of docs that have these names."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
@@ -221,10 +256,11 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         for rows, raw, bounds in sub_batches(batches, text, most):
             letters = pc.fill_null(pc.match_substring_regex(rows.column(rows.schema.get_field_index(text)), r"\pL"), False).to_numpy(zero_copy_only=False)
             n = rows.num_rows
-            best, score = score_batch(m, raw, bounds) if m["labels"] else (np.zeros(n, int), np.zeros(n))
+            best, score, odd = score_batch(m, raw, bounds) if m["labels"] else (np.zeros(n, int), np.zeros(n), np.ones(n, bool))
             known = letters & bool(m["labels"])
             pred = [m["labels"][b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
             score = np.where(known, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(~known | (score < m["floor"]))], [*names, "lang_pred", "lang_score", "lang_rejected"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(~known | odd | (score < m["floor"]))], [*names, "lang_pred", "lang_score", "lang_rejected"])
 
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, "lang_pred", "lang_score", "lang_rejected")
+    made = ["lang_pred", "lang_score", "lang_rejected"]
+    return plain.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns) if c not in made], *made)
