@@ -129,7 +129,7 @@ def test_drop_exact_copies(docs, empty, odd):
 def test_paragraph_groups(docs, empty, odd):
     sets = {(i, k): shingles(line, 5) for i, t in enumerate(texts()) for k, line in enumerate((t or "").split("\n")) if WORD.search(line)}
     want = brute_groups(sets, 80)
-    got = paragraph_dedup.paragraph_groups(docs, least_words=0).collect()
+    got = paragraph_dedup.paragraph_groups(docs).collect()
     lines = [r for r in got if r["piece"] is None]
     assert {(r["doc_id"], r["place"]): (r["first_doc"], r["first_place"]) for r in lines} == want
     held = collections.defaultdict(set)
@@ -150,18 +150,51 @@ def test_passages(spark):
     rows += [(i, "\n".join([words(12), *spread, words(12)])) for i in range(30, 33)]
     rows += [(40, words(400_000)), (41, None), (None, passage)]
     got = paragraph_dedup.paragraph_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in got if r["repeated"]} == {*range(6), *range(30, 33), None}
-    assert {r["boilerplate"] for r in got if r["place"] == 0 and r["piece"] is None and r["doc_id"] is not None and r["doc_id"] < 30} == {30}
-    whole = [r for r in got if r["doc_id"] in range(30, 33) and r["repeated"]]
+    assert {r["doc_id"] for r in got if r["passage"]} == {*range(6), *range(30, 33), None}
+    assert {r["doc_id"] for r in got if r["repeated"]} == {*range(33), None}
+    first = [r for r in got if r["place"] == 0 and r["piece"] is None and r["doc_id"] is not None and r["doc_id"] < 30]
+    assert {(r["members"], r["boilerplate"], r["kept"]) for r in first} == {(30, True, True), (30, True, False)} and sum(r["kept"] for r in first) == 1
+    whole = [r for r in got if r["doc_id"] in range(30, 33) and r["passage"]]
     assert {(r["place"], r["members"], r["kept"]) for r in whole} == {(k, 3, f) for k in range(1, 7) for f in (True, False)}
     # only pieces that several documents have are rows
-    assert all(r["members"] > 1 or r["boilerplate"] > 1 for r in got if r["piece"] is not None)
+    assert all(r["members"] > 1 for r in got if r["piece"] is not None)
+
+
+@pytest.mark.parametrize("size", [1, 5, 20, 60])
+def test_repeated_lines_stay_once_whatever_their_length(spark, size):
+    rng = random.Random(size)
+    words = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n))
+    shared = words(size)
+    rows = [(i, "\n".join(rng.sample([shared, words(30), words(7)], 3))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = [r for r in paragraph_dedup.paragraph_groups(df).collect() if r["piece"] is None]
+    want = brute_groups({(i, k): shingles(line, 5) for i, t in rows for k, line in enumerate(t.split("\n"))}, 80)
+    held = collections.Counter(want.values())
+    assert {(r["doc_id"], r["place"]): r["kept"] for r in lines} == {k: held[v] == 1 or k == v for k, v in want.items()}
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.drop_repeats(df).collect()}
+    assert [i for i, t in left.items() if shared in t.split("\n")] == [0]
+    assert all(set(left[i].split("\n")) == set(t.split("\n")) - ({shared} if i else set()) for i, t in rows)
+
+
+def test_passages_inside_lines_are_cut_out(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"é{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(80)
+    own = [(words(40), words(45)) for _ in range(5)]
+    rows = [(i, f"{words(3)}\n{a} {passage} {b}\n{words(60)}", "kept") for i, (a, b) in enumerate(own)]
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, _spans string")).collect()}
+    assert left[0] == rows[0][1]
+    for i in range(1, 5):
+        head, line, tail = left[i].split("\n")
+        assert [head, tail] == [rows[i][1].split("\n")[k] for k in (0, 2)]
+        assert line.startswith(own[i][0]) and line.endswith(own[i][1])
+        assert len(set(line.split()) & set(passage.split())) <= 4 * paragraph_dedup.REACH
 
 
 def test_drop_repeats(spark):
     line = " ".join(f"w{i}" for i in range(20))
-    df = spark.createDataFrame([(1, f"a b c\n{line}"), (2, f"{line}\nnew words only here")], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in paragraph_dedup.drop_repeats(df, least_words=10).collect()} == {1: f"a b c\n{line}", 2: "new words only here"}
+    df = spark.createDataFrame([(1, f"a b c\n{line}"), (2, f"{line}\nnew words only here"), (None, line), (3, None), (4, "")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in paragraph_dedup.drop_repeats(df).collect()} == {1: f"a b c\n{line}", 2: "new words only here", None: line, 3: None, 4: ""}
 
 
 def test_repeats(docs, empty, odd):
@@ -221,6 +254,52 @@ def test_packing_limits_without_cutting(spark):
     assert sum(x[0] for x in by.values()) / (100 * len(by)) > 0.6
 
 
+@pytest.mark.parametrize("segments", [4096, 256])
+def test_short_texts_are_packed_with_little_padding(spark, segments):
+    import public_tokenizers
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(["word"] * rng.randint(1, 5))) for i in range(20_000)], "doc_id long, text string").coalesce(2)
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), max_segments=segments).select("sequence_id", "length", "id", "doc_tokens").toPandas()
+    by = got.groupby("sequence_id")["length"].agg(["sum", "size"])
+    padded = sum(0 if n & (n - 1) == 0 else 4096 - n for n in by["sum"])
+    assert by["size"].max() <= segments and by["sum"].max() <= 4096 and padded < 0.02 * got["length"].sum()
+    assert (got.groupby("id")["length"].sum() == got.groupby("id")["doc_tokens"].first()).all()
+
+
+def test_near_groups_of_repeated_ids(spark):
+    a, b, c = "one two three four five six", "one two three four five six seven eight nine", "something quite different from the others here"
+    rows = [(5, b), (5, a), (3, a), (9, c), (9, c), (7, None), (7, c), (None, a)]
+    got = minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert sorted((r["id"], r["n"], r["component"]) for r in got) == [(3, 4, 3), (5, 4, 3), (5, 4, 3), (7, 0, 7), (7, 0, 7), (9, 5, 9), (9, 5, 9)]
+
+
+def test_strange_texts_are_of_no_known_language(spark):
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(20))
+    odd = ["Мама мыла раму и пошла домой вечером", "日本語の文章はここにあります。今日は良い天気です", "Η γλώσσα αυτή δεν είναι γνωστή εδώ", noise, "xqzj vkwq zzkx", "a", "12 34", None]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(odd)], "i int, text string, lang_rejected string")
+    got = language_id.predict(rows, model)
+    assert got.columns == ["i", "text", "lang_pred", "lang_score", "lang_rejected"] and all(r["lang_rejected"] for r in got.collect())
+    assert language_id.predict(docs, model).where("lang_rejected").count() <= 5
+
+
+def test_pipeline_stages_keep_any_column_names(spark, tmp_path):
+    import corpus_pipeline
+
+    extra = ["_row", "_times", "_copy", "lang_rejected", "lang_pred", "_c1", "tag", "again"]
+    rows = [(i, t, "en", ["a", "b", None][i % 3], len(t or ""), *(f"{c}{i}" for c in extra)) for i, t in enumerate([*texts()[:40], "some words of a very long text \n" * 80_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.settle(stage(spark, docs, str(tmp_path)))
+        assert docs.columns[5:] == extra, name
+        for r in docs.collect():
+            assert [r[c] for c in extra] == [f"{c}{r['doc_id']}" for c in extra], name
+    assert docs.where("length(text) > 2000000").count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
 def test_top_k(spark, empty):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 8)).astype("float32")
