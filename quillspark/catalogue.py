@@ -16,7 +16,7 @@ from .functions import decisions, explain, factors, features, rules, text
 from .functions import lexicons as lex
 from .labels import BIAS, LABELS, label_id, to_binary
 from .operators import agreement, metrics, sampling
-from .plans import corpus, joint, scoring, training
+from .plans import corpus, generator, joint, scoring, training
 from .sources import benchmarks, loaders, replies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -912,6 +912,38 @@ def score_posts(spark, sf):
     return scoring.score_posts(p.select("post_id", "text"), scores, hate, temperature=1.0).select("post_id", "bias_detected", "bias_type")
 
 
+WORDS_OF = f"""{HEUR}, {SALIENT.replace("regexp_extract_all(text", "regexp_extract_all(clean")},
+iw AS (SELECT post_id, list_concat(match_terms, CASE WHEN p_hate >= 0.7 AND (len(match_terms) = 0 OR p_hate >= 0.85) THEN [CASE WHEN p_hate >= 0.78 THEN 'toxic' ELSE 'hostile' END] ELSE [] END, words) AS w FROM h3 JOIN sw3 USING (post_id)),
+iw2 AS (SELECT post_id, list_filter(w, lambda v, i: list_position(list_transform(w, lambda u: lower(u)), lower(v)) = i)[1:5] AS words FROM iw)"""
+_WORDS = "CASE WHEN bias_detected = 'true' THEN array_to_string(iw2.words, '|') ELSE '' END"
+
+
+@query("important_words", f"WITH {POSTS}, {FUSE}, {WORDS_OF} SELECT post_id, {_WORDS} AS words FROM fused JOIN iw2 USING (post_id)")
+def important_words(spark, sf):
+    p = fused(spark, sf).withColumn("h", rules.heuristics(F.col("clean"), "words_in"))
+    words = explain.important_words(F.col("clean"), F.col("bias_type"), F.col("bias_detected"), F.col("h.match_terms"), F.col("p_hate"))
+    return p.select("post_id", F.array_join(words, "|").alias("words"))
+
+
+@query("score_posts_all", f"WITH {POSTS}, {FUSE}, {_sql_lines()}, {WORDS_OF} SELECT post_id, fused.text, fused.bias_detected, CASE WHEN fused.bias_detected = 'true' THEN fused.candidate ELSE 'neutral' END AS bias_type, round(greatest(0.5, least(0.95, fused.base_score)), 3) AS confidence, {_WORDS.replace('bias_detected', 'fused.bias_detected')} AS important_words, array_to_string(x1.ls, chr(10)) AS explanation FROM fused JOIN iw2 USING (post_id) JOIN x1 USING (post_id)")
+def score_posts_all(spark, sf):
+    p = posts(spark, sf)
+    out = scoring.score_posts(p.select("post_id", "text"), p.select("post_id", *LABELS), p.select("post_id", "p_hate"), temperature=1.0)
+    return out.withColumns({"confidence": r6("confidence"), "important_words": F.array_join("important_words", "|"), "explanation": F.array_join("explanation", "\n")})
+
+
+_TRACED = (*rules.FLAG_NAMES, *features.LINGUISTIC, *features.STANCE, *features.METHODOLOGY)
+
+
+@query("score_trace", f"WITH {POSTS}, {FUSE}, {LING.replace(FLAGS + ',', '', 1)}, {METH % 'ling'}, {HEUR} SELECT post_id, {', '.join(f'round(meth.{c}::DOUBLE, 6) AS {c}' for c in _TRACED)}, round(h3.strength, 6) AS strength, intent, safeguard_applied, round(base_score, 6) AS base_score FROM meth JOIN h3 USING (post_id) JOIN fused USING (post_id)")
+def score_trace(spark, sf):
+    p = posts(spark, sf)
+    out = scoring.score_posts(p.select("post_id", "text"), p.select("post_id", *LABELS), p.select("post_id", "p_hate"), temperature=1.0, trace=True)
+    held = {"flags": rules.FLAG_NAMES, "ling": features.LINGUISTIC, "stance": features.STANCE, "meth": features.METHODOLOGY}
+    signals = [r6(F.col(f"{s}.{c}").cast("double")).alias(c) for s, names in held.items() for c in names]
+    return out.select("post_id", *signals, r6("heur.strength").alias("strength"), "intent", "safeguard_applied", r6("base_score").alias("base_score"))
+
+
 @query("gold_evaluation", f"""WITH {POSTS}, {FUSE}, e AS (SELECT gold, CASE WHEN bias_detected = 'true' THEN candidate ELSE 'neutral' END AS p FROM fused), {_LAB}, cells AS (SELECT gold, p AS pred, count(*) AS n FROM e GROUP BY 1, 2),
 cls AS (SELECT label, coalesce(sum(n) FILTER (gold = label AND pred = label), 0) AS tp, coalesce(sum(n) FILTER (pred = label), 0) AS predicted, coalesce(sum(n) FILTER (gold = label), 0) AS support FROM lab CROSS JOIN cells GROUP BY 1)
 SELECT label, round(CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END, 6) AS precision, round(tp / support, 6) AS recall, CAST(support AS BIGINT) AS support FROM cls""")
@@ -1010,6 +1042,67 @@ def valid_comparisons(spark, sf):
     return posts(spark, sf).where(corpus.valid_comparison(F.col("text"), ("not inferior", "lol"))).select("post_id")
 
 
+def _sql_pick(slot: str, n: int) -> str:
+    return f"CAST('0x' || substr(md5('42|' || label || '|' || subtype || '|' || CAST(draw AS VARCHAR) || '|{slot}'), 1, 8) AS BIGINT) % {n}"
+
+
+def _sql_generated() -> str:
+    kinds = [(label, kind, i, len(of), of[kind]) for label, of in generator.TEMPLATES.items() for i, kind in enumerate(of)]
+    at = lambda words, slot: f"{_list(words)}[{_sql_pick(slot, len(words))} + 1]"
+    body = "CASE " + " ".join(f"WHEN label = '{a}' AND subtype = '{b}' THEN {at(t, 'template')}" for a, b, _, _, t in kinds) + " END"
+    for name, words in generator.FILLERS.items():
+        for k in (1, 2):
+            body = f"replace({body}, '{{{name}{k}}}', {at(words, f'{name}{k}')})"
+    tail = f"CASE WHEN {_sql_pick('with_tail', 100)} < {generator.TAIL_PERCENT} THEN {at(generator.TAILS, 'tail')} ELSE '' END"
+    banned = " AND ".join(f"NOT contains(lower(text), '{x}')" for x in generator.SAME_SIDE)
+    return f"""q AS (SELECT label, subtype, CAST(per // kinds + CASE WHEN per % kinds > i THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT count(*) // 100 AS per FROM events),
+      (VALUES {', '.join(f"('{a}', '{b}', {i}, {m})" for a, b, i, m, _ in kinds)}) v(label, subtype, i, kinds)),
+    d AS (SELECT label, subtype, n, unnest(range(0, n * {generator.MOST_TRIES})) AS draw FROM q),
+    r AS (SELECT label, subtype, n, draw, trim({at(generator.LEADS, 'lead')} || {body} || {tail}) AS raw, CASE WHEN {_sql_pick('style', 100)} < {generator.X_PERCENT} THEN 'x_like' ELSE 'linkedin_like' END AS style FROM d),
+    g AS (SELECT * EXCLUDE raw, CASE WHEN regexp_matches(raw, '[.!?]$') THEN raw ELSE raw || '.' END AS text FROM r),
+    once AS (SELECT * FROM g WHERE {banned} QUALIFY row_number() OVER (PARTITION BY label, subtype, lower(text) ORDER BY draw) = 1),
+    made AS (SELECT label, subtype, n, row_number() OVER (PARTITION BY label, subtype ORDER BY draw) AS number, text, style FROM once QUALIFY number <= n)"""
+
+
+@query("generated_posts", f"WITH {_sql_generated()} SELECT label, subtype, number, text, style FROM made")
+def generated_posts(spark, sf):
+    per = table(spark, sf, "events").agg(F.floor(F.count(F.lit(1)) / 100).cast("long").alias("per"))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("subtype"), n.alias("n")) for a, b, n in generator.bucket_quotas(F.col("per"))]))
+    return generator.generate(per.select(each.alias("x")).select("x.*"))
+
+
+@query("completeness", """WITH d AS (SELECT CASE WHEN doc_id % 97 = 5 THEN 'twin' ELSE CAST(doc_id AS VARCHAR) END AS post_id, CASE WHEN n_chars < 60 THEN '' ELSE text END AS text,
+  CASE lang WHEN 'en' THEN 'neutral' WHEN 'de' THEN 'gender_bias' WHEN 'fr' THEN 'nationality_bias' ELSE 'other' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'linkedin' END AS platform FROM documents),
+q AS (SELECT label, platform, 40 AS n FROM (VALUES ('neutral'), ('gender_bias'), ('nationality_bias'), ('profession_bias')) a(label), (VALUES ('x'), ('linkedin')) b(platform)),
+h AS (SELECT label, platform, count(*) AS have FROM d GROUP BY ALL), e AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS post_id FROM labels)
+SELECT 'quota' AS "check", coalesce(q.label, h.label) || '/' || coalesce(q.platform, h.platform) AS item, CAST(coalesce(n, 0) - coalesce(have, 0) AS BIGINT) AS n FROM q FULL JOIN h ON q.label = h.label AND q.platform = h.platform WHERE coalesce(n, 0) <> coalesce(have, 0)
+UNION ALL SELECT 'missing_id', post_id, 1 FROM e WHERE post_id NOT IN (SELECT post_id FROM d) UNION ALL SELECT DISTINCT 'extra_id', post_id, 1 FROM d WHERE post_id NOT IN (SELECT post_id FROM e)
+UNION ALL SELECT 'label', '', count(*) FROM d WHERE label = 'other' HAVING count(*) > 0 UNION ALL SELECT 'empty_text', '', count(*) FROM d WHERE trim(text) = '' HAVING count(*) > 0
+UNION ALL SELECT 'repeated_text', '', count(*) FROM (SELECT lower(trim(text)) FROM d WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'repeated_id', '', count(*) FROM (SELECT post_id FROM d GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0""")
+def completeness(spark, sf):
+    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    label = F.when(F.col("lang") == "en", "neutral").when(F.col("lang") == "de", "gender_bias").when(F.col("lang") == "fr", "nationality_bias").otherwise("other")
+    rows = d.select(F.when(i % 97 == 5, "twin").otherwise(i.cast("string")).alias("post_id"), F.when(F.col("n_chars") < 60, "").otherwise(F.col("text")).alias("text"), label.alias("label"), F.when(i % 3 == 0, "x").otherwise("linkedin").alias("platform"))
+    quotas = spark.createDataFrame([(k, p, 40) for k in LABELS for p in ("x", "linkedin")], "label string, platform string, n long")
+    return generator.completeness(rows, quotas, table(spark, sf, "labels").select(i.alias("post_id")))
+
+
+@query("missing_labels", f"WITH {DOCS}, g AS (SELECT DISTINCT CAST(n_chars // 200 AS BIGINT) AS part FROM documents), h AS (SELECT DISTINCT CAST(n_chars // 200 AS BIGINT) AS part, label FROM docs JOIN documents ON post_id = doc_id), l AS (SELECT unnest({_list(LABELS)}) AS label) SELECT part, label FROM g, l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.part = g.part AND h.label = l.label)")
+def missing_labels(spark, sf):
+    part = table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"), F.floor(F.col("n_chars") / 200).cast("long").alias("part"))
+    return generator.missing_labels(labelled_documents(spark, sf).join(part, "post_id"), ("part",))
+
+
+@query("same_side_comparisons", f"WITH {_sql_generated()} SELECT label, subtype, count(*) AS n FROM g WHERE NOT ({' AND '.join(f"NOT contains(lower(text), '{x}')" for x in generator.SAME_SIDE)}) GROUP BY ALL")
+def same_side_comparisons(spark, sf):
+    per = table(spark, sf, "events").agg(F.floor(F.count(F.lit(1)) / 100).cast("long").alias("per"))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("subtype"), n.alias("n")) for a, b, n in generator.bucket_quotas(F.col("per"))]))
+    draws = per.select(each.alias("x")).select("x.label", "x.subtype", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.n") * generator.MOST_TRIES - 1)).alias("draw"))
+    bad = generator.texts(draws, 42).where(~corpus.valid_comparison(F.col("text"), generator.SAME_SIDE))
+    return bad.groupBy("label", "subtype").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("throughput", "SELECT CAST(user_id AS BIGINT) AS user_id, CASE WHEN sum(value) > 1e-6 THEN round(count(*) / (sum(value) / 1000.0), 6) END AS posts_per_s FROM (SELECT user_id, floor(value) AS value FROM events) GROUP BY 1")
 def throughput(spark, sf):
     n = table(spark, sf, "events").groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value").cast("double")).alias("ms"))
