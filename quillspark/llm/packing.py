@@ -108,11 +108,11 @@ class WordTokens:
         if len(self.keys) > self.most:
             self._forget()
         hashes = word_hashes(raw, starts, ends)
-        at = np.searchsorted(self.keys, hashes)
-        miss = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != hashes) if len(self.keys) else np.arange(len(hashes))
+        each, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, each)
+        miss = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != each) if len(self.keys) else np.arange(len(each))
         if len(miss):
-            fresh, sample = np.unique(hashes[miss], return_index=True)
-            sample, data = miss[sample], raw.tobytes()
+            fresh, sample, data = each[miss], sample[miss], raw.tobytes()
             got = self.words([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[sample].tolist(), ends[sample].tolist())])
             size = np.array([len(x) for x in got], np.int64) // 4
             into = np.searchsorted(self.keys, fresh)
@@ -120,7 +120,8 @@ class WordTokens:
             self.base = np.insert(self.base, into, len(self.flat) + np.cumsum(size) - size)
             self.size = np.insert(self.size, into, size)
             self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(got), "<u4")))
-            at = np.searchsorted(self.keys, hashes)
+            at = np.searchsorted(self.keys, each)
+        at = at[which]
         n = self.size[at]
         stop = np.cumsum(n)
         take = np.arange(int(stop[-1])) + np.repeat(self.base[at] - (stop - n), n)
