@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,32 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
+KNOWN = ("id", "post_id", "text", "label", "gold", "subtype", "slice_type", "ambiguous_stance", "platform")
+CORRUPT = "_corrupt"
+
+
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of a CSV file with header, JSON lines or a JSON array, read by a schema of strings and never inferred.
+
+    rows: the known columns that the file has (CSV) or all of them (JSON). quarantine: record, reason; `malformed` is a record that does not parse
+    or, in CSV, has more or fewer fields than the header, as it stands; `no text` is one without text, as JSON."""
+    first = next((r["value"].strip() for r in spark.read.text(path).limit(20).collect() if r["value"].strip()), "")
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if path.lower().rstrip("/").endswith(".csv"):
+        names = [c.strip() for c in next(csv.reader([first]), [])]
+        form = ", ".join(f"`{c}` string" for c in names) + f", {CORRUPT} string"
+        raw = reader.schema(form).option("header", True).option("multiLine", True).option("escape", '"').option("columnPruning", False).csv(path)
+    else:
+        names = list(KNOWN)
+        raw = reader.schema(", ".join(f"{c} string" for c in names) + f", {CORRUPT} string").option("multiLine", first.startswith("[")).json(path)
+    used = [c for c in KNOWN if c in names]
+    rows = raw.withColumn("_all", F.to_json(F.struct(*[F.col(f"`{c}`") for c in used])) if used else F.lit("{}"))
+    blank = F.coalesce(F.trim("text"), F.lit("")) == "" if "text" in used else F.lit(True)
+    broken = F.col(CORRUPT).isNotNull()
+    bad = rows.where(broken | blank).select(F.when(broken, F.col(CORRUPT)).otherwise(F.col("_all")).alias("record"), F.when(broken, "malformed").otherwise("no text").alias("reason"))
+    return rows.where(~broken & ~blank).select(*used), bad
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores where the files they come from are too few for that; for narrow rows that much work per row follows."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -71,7 +99,11 @@ def four_way_corpus(raw: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, path: str, form: str = "parquet") -> None:
-    df.write.mode("overwrite").format(form).save(path)
+    """Results as parquet, JSON lines (nulls kept) or CSV with header and doubled quotes (arrays and structs as JSON)."""
+    if form == "csv":
+        nested = [c for c, t in df.dtypes if t.startswith(("array", "struct", "map"))]
+        df = df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested})
+    df.write.mode("overwrite").format(form).options(**({"header": True, "escape": '"'} if form == "csv" else {"ignoreNullFields": False} if form == "json" else {})).save(path)
 
 
 def thresholds_table(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
