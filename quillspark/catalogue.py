@@ -1191,7 +1191,7 @@ def cross_fit(spark, sf):
 def fit_text_classifier(spark, sf):
     rows = labelled_documents(spark, sf)
     split = sampling.stratified_split(rows, "post_id")
-    model = training.text_pipeline(4096).fit(split.where("split = 'train'"))
+    model = training.text_pipeline().fit(split.where("split = 'train'"))
     got = model.transform(split.where("split <> 'train'")).select(F.col("label").alias("gold"), "pred")
     return _rounded(metrics.class_report(got), "support", "tp", "predicted")
 
@@ -1204,8 +1204,9 @@ def bootstrap_f1(spark, sf):
 @query("linear_attributions")
 def linear_attributions(spark, sf):
     rows = posts(spark, sf).select("post_id", "text", "clean", F.col("gold").alias("label"))
-    model = training.text_pipeline(512).fit(rows)
-    words = explain.linear_attributions(rows.withColumn("bias_type", F.col("label")), training.word_weights(model, spark))
+    model = training.text_pipeline(1 << 14).fit(rows)
+    known = rows.select(F.explode(text.tokens(F.col("clean"))).alias("word")).distinct()
+    words = explain.linear_attributions(rows.withColumn("bias_type", F.col("label")), training.word_weights(model, known))
     return explain.top_attributions(words)
 
 

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, RegexTokenizer, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..labels import LABELS, NEUTRAL
@@ -350,12 +350,13 @@ def tune_thresholds(
     return {k: float(t[_ORDER.index(k)]) for k in LABELS}, about
 
 
-def text_pipeline(words: int = 1 << 14, reg: float = 1e-3) -> Pipeline:
-    """Counts of the `words` most frequent words, IDF, multinomial logistic regression; takes text and label."""
+def text_pipeline(width: int = 1 << 17, reg: float = 1e-3) -> Pipeline:
+    """Counts of all words by hash in `width` buckets, IDF, multinomial logistic regression; takes text and label. No word goes by its rank;
+    words that share a bucket share a weight."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[a-z0-9']+", gaps=False),
-            CountVectorizer(inputCol="words", outputCol="counts", vocabSize=words),
+            HashingTF(inputCol="words", outputCol="counts", numFeatures=width),
             IDF(inputCol="counts", outputCol="features"),
             StringIndexerModel.from_labels(list(LABELS), inputCol="label", outputCol="target", handleInvalid="skip"),
             LogisticRegression(labelCol="target", family="multinomial", regParam=reg, maxIter=50),
@@ -370,8 +371,10 @@ def type_scores(scored: DataFrame, key: str = "post_id") -> DataFrame:
     return scored.select(key, *[p[i].alias(k) for i, k in enumerate(LABELS)])
 
 
-def word_weights(model, spark: SparkSession) -> DataFrame:  # noqa: ANN001
-    """(label, word, weight) of a fitted text pipeline: coefficient times IDF, for the words that the model knows."""
-    words, idf, lr = model.stages[1].vocabulary, np.array(model.stages[2].idf), model.stages[4]
-    weights = lr.coefficientMatrix.toArray() * idf
-    return spark.createDataFrame([(k, w, float(weights[i, j])) for i, k in enumerate(LABELS) for j, w in enumerate(words)], "label string, word string, weight double")
+def word_weights(model, words: DataFrame) -> DataFrame:  # noqa: ANN001
+    """(label, word, weight) of a fitted text pipeline for words (word, each once): coefficient times IDF of the word's bucket, which is
+    the score of the word as a text of its own, less the class's intercept."""
+    alone = model.transform(words.select("word", F.col("word").alias("text"), F.lit(LABELS[0]).alias("label")))
+    raw, base = vector_to_array("rawPrediction"), model.stages[4].interceptVector.toArray()
+    each = F.array(*[F.struct(F.lit(k).alias("label"), (raw[i] - float(base[i])).alias("weight")) for i, k in enumerate(LABELS)])
+    return alone.select("word", F.explode(each).alias("x")).select("x.label", "word", "x.weight")

@@ -108,3 +108,21 @@ def test_report_is_of_unseen_rows_and_the_model_of_all(spark):
     df = spark.createDataFrame(rows, "post_id long, label string, " + ", ".join(f"x{k} double" for k in range(4)))
     model, report = training.report_then_refit(df, ("x0", "x1", "x2", "x3"), "post_id")
     assert sum(r["support"] for r in report.collect()) == 16 and model == training.fit_fusion(df, ("x0", "x1", "x2", "x3"))
+
+
+def test_no_word_goes_by_rank(spark):
+    rng = random.Random(9)
+    kinds = {"gender_bias": "women", "nationality_bias": "border", "profession_bias": "office", "neutral": "report"}
+    rows = [(k, f"{w} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(5))}") for k, w in kinds.items() for _ in range(30)]
+    df = spark.createDataFrame(rows, "label string, text string")
+    model = training.text_pipeline(1 << 12).fit(df)
+    words = sorted({w for _, t in rows for w in t.split()})
+    got = {(r["label"], r["word"]): r["weight"] for r in training.word_weights(model, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert len(got) == 4 * len(words)
+    for k, w in kinds.items():
+        assert max(LABELS, key=lambda x: got[x, w]) == k
+    # a text's score is the sum of its words' weights and the intercept
+    one = model.transform(df.limit(1)).select("label", "text", "rawPrediction").first()
+    base = model.stages[4].interceptVector
+    for i, k in enumerate(LABELS):
+        assert one["rawPrediction"][i] == pytest.approx(base[i] + sum(got[k, w] for w in one["text"].split()))
