@@ -75,14 +75,14 @@ def _sketch(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return each, n > 1
 
 
-def flag_possible_repeats(rows: DataFrame, key: str, least_segments: int = LEAST_SEGMENTS) -> DataFrame:
+def flag_possible_repeats(rows: DataFrame, key: str, least_segments: int = LEAST_SEGMENTS, segment_keys: int = SEGMENT_KEYS) -> DataFrame:
     """rows with `again`: true wherever another row has the same digest (32 bytes) in column key, and for a few others.
 
-    rows is a settled table: it is read more than once.
+    rows is a settled table of narrow rows: it is read more than once, and its rows are dealt to chunks once.
     """
     spark = rows.sparkSession
     total = rows.count()
-    segments = max(least_segments, -(-total // SEGMENT_KEYS))
+    segments = max(least_segments, -(-total // segment_keys))
     width = 1 << max(10, int(np.ceil(np.log2(max(1, SLOTS_PER_KEY * total / segments)))))
     chunks = hold(chunked(rows).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk"))
 

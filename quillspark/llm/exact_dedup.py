@@ -1,9 +1,9 @@
-"""Exact dedup: two Bloom passes find the digests that may repeat; only their rows shuffle, the others pass straight through.
+"""Exact dedup: two Bloom passes find the digests that may repeat; only their rows meet by digest, the others pass straight through.
 
-Pass 1 turns every digest into a few slots of a segmented filter. Each task sends its slots (four bytes each, a slot once or
-"twice") to the slot's segment, where they become a bitmap of the slots hit twice. Pass 2 asks for each digest whether all
-its slots were hit twice; if not, no other row has this text. A filter larger than `filter_bytes` is asked in ranges of
-segments, one bounded broadcast after the other.
+Texts are read once, for their digests. Pass 1 counts every digest's slots in a segmented counting filter (`counting_bloom`): chunks of
+digests send their slots, four bytes each, to the segments that own them. Pass 2 sends one bit back for each slot: hit more than
+once or not. A digest with a slot that no other row has hit is the only one of its text. Nothing passes through the driver, and
+one pass does for any number of rows.
 
 Defined cases: null text counts as empty; a null id sorts below every other id; of rows that share text and id one stays;
 an empty table gives an empty result; other columns are carried along and never looked at.
@@ -14,19 +14,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, settle
+from .common import settle
+from .counting_bloom import SLOTS_PER_KEY, flag_possible_repeats
+from .linking import only
 
-SEGMENT_KEYS = 1 << 15
-SLOTS_PER_KEY = 16
-PROBES = 3
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 8 << 20
 
 
 def _digest(texts: pa.Array) -> list[bytes]:
@@ -45,100 +42,37 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, tag long, digest binary")
 
 
-def _slots(column: pa.Array, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each digest, and its slots there as a matrix."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, 4)
-    size = np.uint64(SEGMENT_KEYS * SLOTS_PER_KEY)
-    probes = [(raw[:, 1] + np.uint64(k) * raw[:, 2]) % size for k in range(PROBES)]
-    return (raw[:, 0] % np.uint64(segments)).astype(np.int64), np.stack(probes, 1).astype(np.uint32)
-
-
-def repeat_filter(keys: DataFrame, segments: int) -> DataFrame:
-    """(segment, bits): for each segment the bitmap of slots that were hit more than once."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            where, slots = _slots(b.column(0), segments)
-            order = np.argsort(where, kind="stable")
-            cuts = np.flatnonzero(np.diff(where[order])) + 1
-            for part in np.split(order, cuts):
-                # a probe counts once for each row, even where two probes of the row meet
-                own = np.sort(slots[part], 1)
-                fresh = np.ones(own.shape, bool)
-                fresh[:, 1:] = own[:, 1:] != own[:, :-1]
-                hit, n = np.unique(own[fresh], return_counts=True)
-                row = [int(where[part[0]]), hit.astype("<u4").tobytes(), hit[n > 1].astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary()))], ["segment", "once", "twice"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(SEGMENT_KEYS * SLOTS_PER_KEY, bool), np.zeros(SEGMENT_KEYS * SLOTS_PER_KEY, bool)
-        for a, b in zip(pdf["once"], pdf["twice"]):
-            hit = np.frombuffer(a, "<u4")
-            twice[hit] |= once[hit]
-            twice[np.frombuffer(b, "<u4")] = True
-            once[hit] = True
-        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [np.packbits(twice).tobytes()]})
-
-    sent = keys.select("digest").mapInArrow(count, "segment long, once binary, twice binary")
-    return sent.groupBy("segment").applyInPandas(merge, "segment long, bits binary")
-
-
-def flag_possible_repeats(rows: DataFrame, keys: DataFrame, filter_bytes: int = FILTER_BYTES, text: str | None = None) -> DataFrame:
-    """rows with `again`: true for each digest that occurs twice in keys, and for a few others. keys is a settled table.
-
-    text: the column to take the digest from, in the same pass, where rows have none."""
-    spark = rows.sparkSession
-    segments = max(1, -(-keys.count() // SEGMENT_KEYS))
-    step = max(1, filter_bytes // (SEGMENT_KEYS * SLOTS_PER_KEY // 8))
-    bits = hold(repeat_filter(keys, segments))
-    at = rows.columns.index(text or "digest")
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + (", digest binary" if text else "") + ", again boolean"
-    out = None
-    for lo in range(0, segments, step):
-        held = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in bits.where(F.col("segment").between(lo, lo + step - 1)).toLocalIterator()})
-
-        def ask(batches: Iterator[pa.RecordBatch], lo: int = lo, held=held) -> Iterator[pa.RecordBatch]:
-            table = {k: np.frombuffer(v, np.uint8) for k, v in held.value.items()}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                if text:
-                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(_digest(b.column(at)), pa.binary())], [*b.schema.names, "digest"])
-                where, slots = _slots(b.column(b.num_columns - 1 if text else at), segments)
-                again = np.zeros(b.num_rows, bool)
-                for s in np.unique(where):
-                    if (mine := table.get(int(s))) is not None:
-                        rows_of = np.flatnonzero(where == s)
-                        x = slots[rows_of]
-                        again[rows_of] = ((mine[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1).all(1)
-                inside = (where >= lo) & (where < lo + step)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], [*b.schema.names, "again"]).filter(pa.array(inside))
-
-        part = rows.mapInArrow(ask, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+def flagged(keys: DataFrame, filter_bytes: int) -> DataFrame:
+    """keys (settled, with a column digest) with `again`: whether the digest may occur twice. filter_bytes: most counters of one segment."""
+    return settle(flag_possible_repeats(keys, "digest", segment_keys=max(1, filter_bytes // SLOTS_PER_KEY)))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row for each row of docs: id, keep_id (largest id of its text), group_size, kept, digest."""
     keys = settle(digests(docs, id_col, text_col))
-    flagged = hold(flag_possible_repeats(keys, keys, filter_bytes))
-    lone = flagged.where(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    some = flagged.where("again")
+    rows = flagged(keys, filter_bytes)
+    lone = rows.where(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    some = rows.where("again")
     groups = some.groupBy("digest").agg(F.max(F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("at"), "tag", "id")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     met = some.join(groups, "digest").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("tag") == F.col("best.tag")).alias("kept"), "digest")
     return lone.unionByName(met)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """docs without the rows that exact_groups drops. Rows of texts that cannot repeat never shuffle."""
+    """docs without the rows that exact_groups drops. Rows are written once beside their digests; of texts, none shuffles unless the list of dropped
+    rows has outgrown a broadcast."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
-    plain = docs.toDF(*names)
-    flagged = flag_possible_repeats(plain, settle(digests(docs, id_col, text_col).select("digest")), filter_bytes, text)
-    some = flagged.where("again")
-    best = some.groupBy("digest").agg(F.max(key).alias("best"))
-    met = some.join(best, "digest").where(F.col(key).eqNullSafe(F.col("best"))).dropDuplicates(["digest"])
-    return flagged.where(~F.col("again")).select(*names).unionByName(met.select(*names)).toDF(*docs.columns)
+    plain = docs.toDF(*names).withColumn("id", F.monotonically_increasing_id())
+    form = ", ".join(f"`{n}` {t}" for n, t in plain.dtypes) + ", digest binary"
+    at = plain.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_digest(b.column(at)), pa.binary())], [*b.schema.names, "digest"])
+
+    rows = settle(plain.mapInArrow(run, form))
+    some = flagged(rows.select("id", F.col(key).cast("long").alias("key"), "digest"), filter_bytes).where("again")
+    best = some.groupBy("digest").agg(F.max(F.struct(F.coalesce("key", F.lit(-(2**63))).alias("key"), "id")).alias("best")).select(F.col("best.id").alias("id"))
+    gone = settle(some.select("id").join(best, "id", "left_anti"))
+    return only(rows, gone, "left_anti").select(*names).toDF(*docs.columns)
