@@ -29,9 +29,9 @@ from .common import give_back, sub_batches, word_hashes, word_spans
 MAX_TOKENS, MAX_SEGMENTS = 4096, 4096
 END_ID = 2
 OPEN_BINS = 48
-# What a task holds besides its rows: so many words and pieces of words with their ids, about 80 MB each at most, so much text at
+# What a task holds besides its rows: so many words and pieces of words with their ids, about 30 MB each at most, so much text at
 # once, and so many bytes of pieces that are ready to leave.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 400_000, 150_000
 BATCH_BYTES, OUT_BYTES = 1 << 20, 1 << 21
 ODD_SPACE = regex.compile(r"[^\S\n]")  # white space that does not end a word here, but does in the tokenizer
 
