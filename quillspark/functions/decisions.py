@@ -43,12 +43,13 @@ def intent(p_hate: Column) -> Column:
     return F.when(p_hate > 0.75, "hostile").when(p_hate < 0.2, "non_hostile").otherwise("uncertain")
 
 
-def fuse(dist: Dist, flags: Dist, p_hate: Column, text: Column, words: str | None = None) -> dict[str, Column]:
-    """Hand-tuned fusion: bias_detected (true, false or uncertain), bias_type, confidence, base_score, and what led there."""
+def fuse(dist: Dist, flags: Dist, p_hate: Column, text: Column, words: str | None = None, critical: Column | None = None) -> dict[str, Column]:
+    """Hand-tuned fusion: bias_detected (true, false or uncertain), bias_type, confidence, base_score, and what led there. critical: what
+    rules.critique says of the text, where that is known."""
     structure = structure_score(flags)
     top = best(dist, BIAS)
     tone = intent(p_hate)
-    guarded = (structure > 0) & (p_hate < 0.2) & critique(text, words)
+    guarded = (structure > 0) & (p_hate < 0.2) & (critique(text, words) if critical is None else critical)
     shift = F.when(tone == "hostile", 0.15).when((tone == "non_hostile") & (structure == 0), -0.2).otherwise(0.0)
     score = 0.65 * top["p"] + 0.35 * structure + shift - F.when(guarded, 0.25).otherwise(0.0)
     # rounded far below any weight, so that cut-offs do not hang on the order of additions
@@ -124,9 +125,9 @@ def clamped(confidence: Column) -> Column:
     return F.bround(F.greatest(F.lit(0.5), F.least(F.lit(0.95), confidence)), 3)
 
 
-def rule_only(flags: Dist, text: Column, words: str | None = None) -> dict[str, Column]:
+def rule_only(flags: Dist, text: Column, words: str | None = None, critical: Column | None = None) -> dict[str, Column]:
     """Baseline from rules alone: the hand-tuned fusion of a head that says neutral, without hate."""
-    got = fuse({k: F.lit(1.0 if k == NEUTRAL else 0.0) for k in LABELS}, flags, F.lit(0.0), text, words)
+    got = fuse({k: F.lit(1.0 if k == NEUTRAL else 0.0) for k in LABELS}, flags, F.lit(0.0), text, words, critical)
     return {"pred": got["bias_type"], "base_score": got["base_score"], "confidence": got["confidence"]}
 
 

@@ -60,7 +60,8 @@ def content_words(text: Column) -> Column:
 
 def _first_by_lower(words: Column) -> Column:
     """Keeps the first of words that differ in case alone."""
-    return F.filter(words, lambda w, i: F.array_position(F.transform(words, F.lower), F.lower(w)) == i + 1)
+    both = F.array(F.struct(words.alias("as_is"), F.transform(words, F.lower).alias("low")))  # made once, not for each word
+    return F.element_at(F.transform(both, lambda x: F.filter(x["as_is"], lambda w, i: F.array_position(x["low"], F.lower(w)) == i + 1)), 1)
 
 
 def salient_words(text: Column, k: int = 5) -> Column:
@@ -73,12 +74,13 @@ def salient_words(text: Column, k: int = 5) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(words) > 0, F.slice(_first_by_lower(ranked), 1, k)).otherwise(spare)
 
 
-def important_words(text: Column, bias_type: Column, found: Column, terms: Column, p_hate: Column, attributed: Column | None = None, k: int = 5) -> Column:
-    """Attributed words, matched terms, a word for the tone, salient words; without repeats; empty unless a bias was found."""
+def important_words(text: Column, bias_type: Column, found: Column, terms: Column, p_hate: Column, attributed: Column | None = None, k: int = 5, salient: Column | None = None) -> Column:
+    """Attributed words, matched terms, a word for the tone, salient words; without repeats; empty unless a bias was found. salient: the
+    salient words of the text, where they are known."""
     words = F.concat(attributed, F.array_except(terms, attributed)) if attributed is not None else terms
     tone = F.when(p_hate >= 0.78, "toxic").otherwise("hostile")
     loud = (p_hate >= 0.7) & ((F.size(words) == 0) | (p_hate >= 0.85))
-    words = F.concat(words, F.when(loud, F.array(tone)).otherwise(F.array().cast("array<string>")), salient_words(text, k))
+    words = F.concat(words, F.when(loud, F.array(tone)).otherwise(F.array().cast("array<string>")), salient_words(text, k) if salient is None else salient)
     out = F.slice(_first_by_lower(words), 1, max(2, min(k, 6)))
     return F.when((found == "true") & (bias_type != NEUTRAL), out).otherwise(F.array().cast("array<string>"))
 

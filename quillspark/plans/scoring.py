@@ -1,7 +1,8 @@
-"""Scoring posts end to end, and the reports that follow. One narrow stage from text to explanation; joins only bring scores."""
+"""Scoring posts end to end, and the reports that follow. What hangs on the text alone is worked out once for each distinct text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,15 +31,25 @@ class FusionModel:
     names: tuple[str, ...] = field(default=features.CORE_NAMES)
 
 
+def per_text(posts: DataFrame, derive: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """posts with the columns that `derive` adds to a table of their texts. A post costs a shuffle, which is far less than the patterns that a
+    text goes through, so each distinct text (null is one) goes through them once. Streams cannot meet themselves and are derived row by row."""
+    if posts.isStreaming:
+        return derive(posts)
+    derived = derive(posts.select(text).distinct()).withColumnRenamed(text, "_of")
+    return posts.drop(*derived.columns).join(derived, F.col(text).eqNullSafe(F.col("_of"))).drop("_of")
+
+
 def with_signals(posts: DataFrame, text: str = "clean") -> DataFrame:
-    """posts with structs flags, ling, stance, meth and heur, each computed once, and the index of the text in _words_in."""
+    """posts with structs flags, ling, stance, meth and heur, each computed once, the index of the text in _words_in, whether it is critical in
+    _critical, and its salient words in _salient."""
     t, words = F.col(text), "_words_in"
     out = posts.withColumn("_words_in", factors.index(t))
     out = out.withColumn("flags", F.struct(*[c.alias(k) for k, c in rules.flags(t, words).items()]))
     f = {k: F.col(f"flags.{k}") for k in rules.FLAG_NAMES}
     named = lambda d: F.struct(*[c.alias(k) for k, c in d.items()])
     out = out.withColumns({"ling": named(features.linguistic(t, f, words)), "stance": named(features.stance(t, words)), "meth": named(features.methodology(t, words)), "heur": rules.heuristics(t, words)})
-    return out
+    return out.withColumns({"_critical": rules.critique(t, words), "_salient": explain.salient_words(t)})
 
 
 def _struct(name: str, keys: tuple[str, ...]) -> dict[str, Column]:
@@ -59,7 +70,7 @@ def decided(scored: DataFrame, model: FusionModel | None = None) -> DataFrame:
     """with bias_detected, bias_type and confidence; hand-tuned fusion where no model is given."""
     dist, flags = _struct("dist", LABELS), _struct("flags", rules.FLAG_NAMES)
     if model is None:
-        got = decisions.fuse(dist, flags, F.col("p_hate"), F.col("clean"), "_words_in")
+        got = decisions.fuse(dist, flags, F.col("p_hate"), F.col("clean"), "_words_in", F.col("_critical"))
         return scored.withColumns({**got, "confidence": decisions.clamped(got["confidence"])}).withColumn("posterior", F.lit(None).cast("struct<" + ",".join(f"{k}:double" for k in LABELS) + ">"))
     row = features.feature_row(dist, F.col("p_hate"), flags, rules.structure_score(flags), _struct("ling", features.LINGUISTIC), _struct("stance", features.STANCE), _struct("meth", features.METHODOLOGY))
     post = decisions.linear_posterior({k: row[k] for k in model.names}, model.means, model.scales, model.coefficients, model.intercepts)
@@ -77,11 +88,11 @@ def decided(scored: DataFrame, model: FusionModel | None = None) -> DataFrame:
 
 def score_posts(posts: DataFrame, type_scores: DataFrame, hate_scores: DataFrame | None = None, model: FusionModel | None = None, temperature: float = 1.35, trace: bool = False) -> DataFrame:
     """post_id, text, bias_detected, bias_type, confidence, important_words, explanation; with trace all signals too."""
-    scored = decided(with_signals(with_scores(clean_posts(posts), type_scores, hate_scores, temperature)), model)
+    scored = decided(per_text(with_scores(posts, type_scores, hate_scores, temperature), lambda texts: with_signals(clean_posts(texts))), model)
     dist, flags = _struct("dist", LABELS), _struct("flags", rules.FLAG_NAMES)
-    words = explain.important_words(F.col("clean"), F.col("bias_type"), F.col("bias_detected"), F.col("heur.match_terms"), F.col("p_hate"))
+    words = explain.important_words(F.col("clean"), F.col("bias_type"), F.col("bias_detected"), F.col("heur.match_terms"), F.col("p_hate"), salient=F.col("_salient"))
     out = scored.withColumns({"important_words": words, "explanation": explain.lines(F.col("bias_detected"), F.col("bias_type"), flags, F.col("p_hate"), dist)})
-    return out.drop("_words_in") if trace else out.select("post_id", "text", "bias_detected", "bias_type", "confidence", "important_words", "explanation")
+    return out.drop("_words_in", "_critical", "_salient") if trace else out.select("post_id", "text", "bias_detected", "bias_type", "confidence", "important_words", "explanation")
 
 
 def evaluate(predictions: DataFrame, gold: DataFrame, key: str = "post_id") -> dict[str, DataFrame]:
