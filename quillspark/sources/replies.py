@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,18 +73,26 @@ def _norm(label: Column) -> Column:
     )
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hate_of(reply: Column) -> Column:
     """Struct (label, label_norm, hate, not_hate, p_hate) from a JSON array of (label, score); null for an empty reply."""
-    items = F.from_json(reply, "array<struct<label:string,score:double>>")
-
     def side(x: Column) -> Column:
         low = F.lower(x["label"])
         no = low.rlike(r"\bnot(\s+|-)hate\b") | low.rlike(r"\bno(\s+|-)hate\b") | low.isin("nohate", "neither")
         return F.when(low.contains("hate"), F.when(no, "NOT_HATE").otherwise("HATE")).otherwise(_norm(x["label"]))
 
-    most = lambda k: F.coalesce(F.array_max(F.transform(F.filter(items, lambda x: side(x) == k), lambda x: F.greatest(x["score"], F.lit(0.0)))), F.lit(0.0))
-    hate, no = most("HATE"), most("NOT_HATE")
-    p = F.when(hate + no > 1e-9, hate / (hate + no)).otherwise(F.greatest(F.lit(0.0), hate))
-    first = items[0]["label"]
-    norm = F.when(_norm(first).isin("HATE", "NOT_HATE"), _norm(first)).when(p >= 0.5, "HATE").otherwise("NOT_HATE")
-    return F.when(F.size(items) > 0, F.struct(first.alias("label"), norm.alias("label_norm"), hate.alias("hate"), no.alias("not_hate"), p.alias("p_hate")))
+    def read(items: Column) -> Column:
+        most = lambda k: F.coalesce(F.array_max(F.transform(F.filter(items, lambda x: x["side"] == k), lambda x: F.greatest(x["score"], F.lit(0.0)))), F.lit(0.0))
+        first = F.struct(items[0]["label"].alias("label"), _norm(items[0]["label"]).alias("norm"), most("HATE").alias("hate"), most("NOT_HATE").alias("no"))
+        return F.when(F.size(items) > 0, _once(first, judged))
+
+    def judged(x: Column) -> Column:
+        hate, no = x["hate"], x["no"]
+        return _once(F.when(hate + no > 1e-9, hate / (hate + no)).otherwise(F.greatest(F.lit(0.0), hate)), lambda p: F.struct(x["label"].alias("label"), F.when(x["norm"].isin("HATE", "NOT_HATE"), x["norm"]).when(p >= 0.5, "HATE").otherwise("NOT_HATE").alias("label_norm"), hate.alias("hate"), no.alias("not_hate"), p.alias("p_hate")))
+
+    items = F.from_json(reply, "array<struct<label:string,score:double>>")
+    return _once(F.transform(items, lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score"), side(x).alias("side"))), read)

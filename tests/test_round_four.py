@@ -20,3 +20,12 @@ def test_confidence_is_rounded_as_in_sql(spark):
     want = con.sql(catalogue.SQL["score_posts_all"]).df().set_index("post_id")["confidence"].sort_index()
     got = catalogue.QUERIES["score_posts_all"](spark, sf).select("post_id", "confidence").toPandas().set_index("post_id")["confidence"].sort_index()
     assert len(got) == 10000 and (got.to_numpy() == want.to_numpy()).all()
+
+
+def test_a_hate_reply_is_parsed_once(spark):
+    df = spark.createDataFrame([('[{"label": "not hate", "score": 0.3}, {"label": "hate", "score": 0.6}]',), ("[]",), ("",), (None,), ('[{"label": null, "score": null}]',)], "r string").coalesce(1)
+    got = df.select(replies.hate_of(F.col("r")).alias("h"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    rows = [r["h"] for r in got.collect()]
+    assert tuple(rows[0])[:4] == ("not hate", "NOT_HATE", 0.6, 0.3) and rows[0]["p_hate"] == pytest.approx(2 / 3)
+    assert rows[1:4] == [None, None, None] and tuple(rows[4])[1:] == ("NOT_HATE", 0.0, 0.0, 0.0)
