@@ -121,3 +121,12 @@ def linear_attributions(posts: DataFrame, weights: DataFrame, key: str = "post_i
     flat = posts.select(key, F.col(label).alias("label"), F.posexplode(tokens(F.col(text))).alias("at", "word"))
     counted = flat.groupBy(key, "label", "word").agg(F.min("at").alias("word_no"), F.count(F.lit(1)).alias("n"))
     return counted.join(weights, ["label", "word"]).select(key, "word_no", "word", (F.col("n") * F.col("weight")).alias("score"))
+
+
+def top_of_posts(posts: DataFrame, weights: DataFrame, k: int = 5, key: str = "post_id", text: str = "clean", label: str = "bias_type") -> DataFrame:
+    """(key, rank, word, score): top_attributions of linear_attributions. Posts of one text and label share their words, which are found once."""
+    about = F.struct(F.col(text).alias("text"), F.col(label).alias("label"))
+    each = posts.select(about.alias("about")).distinct().select("about", F.col("about.text").alias(text), F.col("about.label").alias(label))
+    best = top_attributions(linear_attributions(each, weights, "about", text, label), k, "about")
+    lists = best.groupBy(F.col("about").alias("_about")).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "score"))).alias("_best"))
+    return posts.select(key, about.alias("about")).join(lists, F.col("about") == F.col("_about")).select(key, F.explode("_best").alias("x")).select(key, "x.*")

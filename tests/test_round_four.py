@@ -29,3 +29,12 @@ def test_a_hate_reply_is_parsed_once(spark):
     rows = [r["h"] for r in got.collect()]
     assert tuple(rows[0])[:4] == ("not hate", "NOT_HATE", 0.6, 0.3) and rows[0]["p_hate"] == pytest.approx(2 / 3)
     assert rows[1:4] == [None, None, None] and tuple(rows[4])[1:] == ("NOT_HATE", 0.0, 0.0, 0.0)
+
+
+def test_words_of_copies_are_found_once(spark):
+    texts = ["men are bad men", "a good team", "", "men and the team"]
+    posts = spark.createDataFrame([(i, texts[i % 4], LABELS[i % 3]) for i in range(60)], "post_id long, clean string, bias_type string")
+    weights = spark.createDataFrame([(k, w, (i + 1) * s) for i, k in enumerate(LABELS) for w, s in (("men", 0.5), ("bad", 0.9), ("team", 0.5), ("good", -1.0))], "label string, word string, weight double")
+    got = explain.top_of_posts(posts, weights, 2)
+    want = explain.top_attributions(explain.linear_attributions(posts, weights), 2)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 60
