@@ -365,6 +365,12 @@ def text_pipeline(width: int = 1 << 17, reg: float = 1e-3) -> Pipeline:
     )
 
 
+def counted(rows: DataFrame, pipeline: Pipeline, *columns: str) -> tuple[DataFrame, Pipeline]:
+    """(columns, label and the counts of words, what is left of the text pipeline to fit), so that the texts are read once and go no further."""
+    tokenizer, counter, *rest = pipeline.getStages()
+    return counter.transform(tokenizer.transform(rows)).select(*columns, "label", "counts"), Pipeline(stages=rest)
+
+
 def type_scores(scored: DataFrame, key: str = "post_id") -> DataFrame:
     """(key, a column for each label) from the output of a fitted text pipeline."""
     p = vector_to_array("probability")

@@ -38,3 +38,12 @@ def test_words_of_copies_are_found_once(spark):
     got = explain.top_of_posts(posts, weights, 2)
     want = explain.top_attributions(explain.linear_attributions(posts, weights), 2)
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 60
+
+
+def test_counts_of_words_train_the_same_classifier(spark):
+    rows = spark.createDataFrame([(i, f"word{i % 4} men and women {i % 7}", LABELS[i % 4]) for i in range(80)], "post_id long, text string, label string")
+    counts, rest = training.counted(rows, training.text_pipeline(1 << 10), "post_id")
+    assert counts.columns == ["post_id", "label", "counts"]
+    told = {r["post_id"]: r["pred"] for r in rest.fit(counts).transform(counts).collect()}
+    whole = training.text_pipeline(1 << 10).fit(rows)
+    assert told == {r["post_id"]: r["pred"] for r in whole.transform(rows).collect()}
