@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -148,47 +149,88 @@ _ORDER = sorted(LABELS)  # ties go to the smaller name
 _QUIET, _LOUD, _OTHER, _GROUPS = 4, 5, 6, 7  # groups of rows beside the four gold labels
 
 
-def _decided(p: np.ndarray, ok: np.ndarray, margin: float) -> np.ndarray:
-    """Number in _ORDER of the label of each row, for posteriors and which of them reach their thresholds."""
+_BIASED = [i for i, k in enumerate(_ORDER) if k != NEUTRAL]
+_CHUNK = 1 << 17  # rows that meet all drawn candidates at a time
+_BITS = 15  # of a place in the grid or among the margins
+
+
+def _alike(data: DataFrame, steps: np.ndarray, gaps: np.ndarray) -> DataFrame:
+    """(places, order, n0 ... n6): rows that no thresholds of the grid and no margin can tell apart, as one, with how many of each group they are.
+
+    places: of the four posteriors in the grid, 15 bits each. order: rank of each class, 2 bits each, the larger first and ties by name, above the
+    places of the three leads over neutral among the margins. There are as many of them as the grid tells apart, however many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(_ORDER))])
+            rank = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1, kind="stable")
+            places, order = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+            for i in range(len(_ORDER)):
+                places = places << _BITS | np.searchsorted(steps, p[:, i], "right")
+                order = order << 2 | rank[:, i]
+            for i in _BIASED:
+                order = order << _BITS | np.searchsorted(gaps, p[:, i] - p[:, _ORDER.index(NEUTRAL)], "right")
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(order), b.column(len(_ORDER))], ["places", "order", "group"])
+
+    each = [F.count_if(F.col("group") == g).alias(f"n{g}") for g in range(_GROUPS)]
+    return data.mapInArrow(run, "places long, order long, group int").groupBy("places", "order").agg(*each)
+
+
+def _decided(rank: np.ndarray, ok: np.ndarray, lead: np.ndarray, margin: int | None) -> np.ndarray:
+    """Number in _ORDER of the label of each row: of the classes that reach their thresholds (ok) the one of least rank; neutral where the best of
+    the others leads it by less than the margin, the place of which among all margins is given (None: no margin). lead: places of the leads."""
     neutral = _ORDER.index(NEUTRAL)
-    held = np.where(ok, p, -np.inf)
-    pred = np.where(ok.any(1), held.argmax(1), neutral)
-    if margin > 0:
-        lead = np.delete(held, neutral, 1).max(1)
-        pred[(lead > -np.inf) & (lead - p[:, neutral] < margin)] = neutral
+    held = np.where(ok, rank, len(_ORDER))
+    pred = np.where(ok.any(1), held.argmin(1), neutral)
+    if margin is not None:
+        others = held[:, _BIASED]
+        first = others.argmin(1)
+        pred[(others.min(1) < len(_ORDER)) & (lead[np.arange(len(lead)), first] <= margin)] = neutral
     return pred
 
 
-def _summed(data: DataFrame, cells: int, count) -> np.ndarray:  # noqa: ANN001
-    """Sums over all rows of what count(posteriors, groups) gives: positions, in an array of `cells` numbers, to add one to."""
+def _summed(alike: DataFrame, cells: int, count) -> np.ndarray:  # noqa: ANN001
+    """Sums over all rows of what count(places, ranks, leads) gives for groups of like rows: the positions, in an array of `cells` numbers, of
+    label group 0, and how far apart those of the label groups are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for b in batches:
-            p = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(_ORDER))])
-            for at in count(p, b.column(len(_ORDER)).to_numpy(zero_copy_only=False)):
-                lo = int(at.min()) if len(at) else 0
-                here = np.bincount(at - lo)
-                total[lo : lo + len(here)] += here
+            if not b.num_rows:
+                continue
+            places, order = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = np.column_stack([places >> _BITS * i & (1 << _BITS) - 1 for i in reversed(range(len(_ORDER)))])
+            rank = np.column_stack([order >> len(_BIASED) * _BITS + 2 * i & 3 for i in reversed(range(len(_ORDER)))])
+            lead = np.column_stack([order >> _BITS * i & (1 << _BITS) - 1 for i in reversed(range(len(_BIASED)))])
+            many = [(g, b.column(2 + g).to_numpy().astype(float)) for g in range(_GROUPS)]
+            many = [(g, m) for g, m in many if m.any()]
+            for cell, apart in count(at, rank, lead):
+                lo = int(cell.min())
+                for g, m in many:
+                    here = np.bincount(cell - lo, m).astype(np.int64)  # whole numbers far below 2^53
+                    total[lo + g * apart : lo + g * apart + len(here)] += here
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
 
     out = np.zeros(cells, np.int64)
-    for r in data.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # some tens of thousands at most
+    for r in alike.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # some tens of thousands at most
         out[r["cell"]] = r["n"]
     return out
 
 
 def _added(data: DataFrame, shape: tuple[int, ...], work) -> np.ndarray:  # noqa: ANN001
-    """Sum over all batches of the arrays that work(posteriors, groups) gives."""
+    """Sum of the arrays that work(posteriors, groups) gives, for some 2^17 rows at a time: each candidate costs a number of calls."""
     size = int(np.prod(shape))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.int64)
-        for b in batches:
-            if b.num_rows:
-                p = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(_ORDER))])
-                total += work(p, b.column(len(_ORDER)).to_numpy(zero_copy_only=False))
+        total, held = np.zeros(shape, np.int64), []
+        for b in chain(batches, [None]):
+            if b is not None and b.num_rows:
+                held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(_ORDER) + 1)])
+            if held and (b is None or sum(len(x[0]) for x in held) >= _CHUNK):
+                p = np.column_stack([np.concatenate([x[i] for x in held]) for i in range(len(_ORDER))])
+                total += work(p, np.concatenate([x[-1] for x in held]))
+                held = []
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
 
@@ -210,11 +252,25 @@ def _drawn_counts(p: np.ndarray, g: np.ndarray, drawn: list[tuple[float, np.ndar
     neutral, others = _ORDER.index(NEUTRAL), [i for i, k in enumerate(_ORDER) if k != NEUTRAL]
     reach = [_packed(p[:, c] >= steps[:, None]) for c in range(4)]
     beats = {(a, b): _packed((p[:, a] > p[:, b]) | (p[:, a] == p[:, b]) & (a < b)) for a in range(4) for b in range(4) if a != b}
-    mine = _packed(g == np.arange(_GROUPS)[:, None])
+    present = np.unique(g)
+    mine = _packed(g == present[:, None])
     every = _packed(np.ones(len(g), bool))
-    gaps = {a: p[:, a] - p[:, neutral] for a in others}
+    # candidates by rising margin: each adds the rows whose lead is below its margin, and not below the one before
+    cuts = np.array([gap for gap, _ in drawn])
+    lower, rising = {}, {}
+    for a in others:
+        lead = p[:, a] - p[:, neutral]
+        by_lead = np.argsort(lead, kind="stable")
+        lower[a], rising[a] = np.zeros_like(every), (by_lead, np.searchsorted(lead[by_lead], cuts, "left"))
+    added = dict.fromkeys(others, 0)
     out = np.zeros((len(drawn), _GROUPS, 4), np.int64)
-    for i, (gap, t) in enumerate(drawn):
+    for i in np.argsort(cuts, kind="stable").tolist():
+        gap, t = drawn[i]
+        for a in others:
+            by_lead, ends = rising[a]
+            more = by_lead[added[a] : ends[i]]
+            np.bitwise_or.at(lower[a], more >> 6, np.uint64(1) << (more & 63).astype(np.uint64))
+            added[a] = max(added[a], int(ends[i]))
         ok = [reach[c][np.searchsorted(steps, t[c])] for c in range(4)]
         pred = [ok[a].copy() for a in range(4)]
         for a, b in beats:
@@ -226,11 +282,11 @@ def _drawn_counts(p: np.ndarray, g: np.ndarray, drawn: list[tuple[float, np.ndar
                 for b in others:
                     if a != b:
                         lead &= ~ok[b] | beats[a, b]
-                calm |= lead & _packed(gaps[a] < gap)
+                calm |= lead & lower[a]
         for a in others:
             pred[a] &= ~calm
         pred[neutral] |= calm
-        out[i] = np.bitwise_count(np.stack(pred)[None] & mine[:, None]).sum(-1)
+        out[i, present] = np.bitwise_count(np.stack(pred)[None] & mine[:, None]).sum(-1)
     return out
 
 
@@ -261,7 +317,7 @@ def tune_thresholds(
 
     Coordinate descent for each margin from thresholds of 0.5 (which the grid must hold); it stops when a round changes nothing. A class's
     threshold moves a row between two labels only, so one aggregation by the place of its posterior in the grid scores all values for
-    all margins. Where no margin ends within the caps, the best of `draws` random candidates under a penalty is taken: those that the
+    all margins. Rows that grid and margins cannot tell apart are one row there, with how many they are. Where no margin ends within the caps, the best of `draws` random candidates under a penalty is taken: those that the
     sanity rows alone cannot rule out are scored on all rows. Null posteriors are 0."""
     ps = [F.coalesce(F.col(f"p_{k}").cast("double"), F.lit(0.0)).alias(k) for k in _ORDER]
     group = F.lit(_OTHER)
@@ -276,6 +332,10 @@ def tune_thresholds(
     theta = np.full((m, 4), int(np.argmin(abs(steps - 0.5))))
     ended = np.zeros((m, 3))
     shape = (m, 2, n + 1, _GROUPS, 4)
+    gaps = np.unique(np.array(margins, float))
+    if max(n, m) >= 1 << _BITS:
+        raise ValueError(f"a grid and margins have fewer than {1 << _BITS} values")
+    alike = _alike(data, steps, gaps).cache()
 
     def within(fpr: np.ndarray, fnr: np.ndarray) -> np.ndarray:
         return (fpr <= fpr_max + 1e-9) & (fnr <= fnr_max + 1e-9)
@@ -284,17 +344,17 @@ def tune_thresholds(
     for _ in range(rounds):
         before = theta.copy()
         for c in [_ORDER.index(k) for k in LABELS]:
-            todo, at = np.flatnonzero(active).tolist(), steps[theta]
+            todo, held = np.flatnonzero(active).tolist(), theta.copy()
 
-            def count(p: np.ndarray, g: np.ndarray, c: int = c, todo: list = todo, at: np.ndarray = at) -> Iterator[np.ndarray]:
-                place = np.searchsorted(steps, p[:, c], "right")  # so many values of the grid does it reach
+            def count(at: np.ndarray, rank: np.ndarray, lead: np.ndarray, c: int = c, todo: list = todo, held: np.ndarray = held) -> Iterator[tuple[np.ndarray, int]]:
                 for j in todo:
-                    ok = p >= at[j]
+                    ok = at > held[j]  # a place is the number of values of the grid that are reached
+                    margin = int(np.searchsorted(gaps, margins[j])) if margins[j] > 0 else None
                     for on in (0, 1):
                         ok[:, c] = bool(on)
-                        yield np.ravel_multi_index((np.full(len(g), j), np.full(len(g), on), place, g, _decided(p, ok, margins[j])), shape)
+                        yield ((j * 2 + on) * (n + 1) + at[:, c]) * _GROUPS * 4 + _decided(rank, ok, lead, margin), 4
 
-            got = _summed(data, int(np.prod(shape)), count).reshape(shape)
+            got = _summed(alike, int(np.prod(shape)), count).reshape(shape)
             # at value i the rows with place > i reach the threshold
             reach = got[:, 1].sum(1, keepdims=True) - np.cumsum(got[:, 1], 1)
             f, fpr, fnr = _rated(reach[:, :n] + np.cumsum(got[:, 0], 1)[:, :n])
@@ -310,6 +370,7 @@ def tune_thresholds(
         active &= (theta != before).any(1)
         if not active.any():
             break
+    alike.unpersist()
     best, top = None, -1.0
     for j in range(m):
         if within(ended[j, 1], ended[j, 2]) and ended[j, 0] > top + 1e-12:

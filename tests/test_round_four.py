@@ -47,3 +47,30 @@ def test_counts_of_words_train_the_same_classifier(spark):
     told = {r["post_id"]: r["pred"] for r in rest.fit(counts).transform(counts).collect()}
     whole = training.text_pipeline(1 << 10).fit(rows)
     assert told == {r["post_id"]: r["pred"] for r in whole.transform(rows).collect()}
+
+
+def test_rows_the_grid_cannot_tell_apart_are_one(spark):
+    rng = random.Random(4)
+    steps, gaps = np.array([0.25, 0.5, 0.75]), np.array([0.0, 0.1])
+    rows = [(*[round(rng.random(), 2) for _ in LABELS], rng.randrange(7)) for _ in range(3000)]
+    alike = training._alike(spark.createDataFrame(rows, ", ".join(f"{k} double" for k in sorted(LABELS)) + ", `group` int"), steps, gaps).toPandas()
+    order = sorted(LABELS).index("neutral")
+
+    def sign(p):
+        others = [i for i in range(4) if i != order]
+        return tuple(sum(x >= s for s in steps) for x in p), tuple(sorted(range(4), key=lambda i: (-p[i], i))), tuple(sum(p[i] - p[order] >= g for g in gaps) for i in others)
+
+    assert len(alike) == len({sign(r[:4]) for r in rows}) < 3000
+    assert [int(alike[f"n{g}"].sum()) for g in range(7)] == [sum(r[4] == g for r in rows) for g in range(7)]
+
+
+def test_candidates_meet_whole_chunks(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(p, g):
+        seen.add(1)
+        return np.array([len(p), int(g.sum())])
+
+    rows = spark.range(0, 60000, 1, 2).select(*[F.lit(0.25).alias(k) for k in sorted(LABELS)], (F.col("id") % 7).cast("int").alias("group"))
+    assert training._added(rows, (2,), work).tolist() == [60000, sum(i % 7 for i in range(60000))]
+    assert seen.value == 2
