@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StandardScaler, StringIndexerModel, VectorAssembler
@@ -40,13 +41,15 @@ def fit_fusion(rows: DataFrame, names: tuple[str, ...], c: float = 1.0, neutral:
     """Standardise and multinomial logistic regression with L2. rows: label and a column for each name.
 
     Strength follows C times the sum of weighted losses plus half the squared norm, so regParam is 1 / (C * sum of weights)."""
-    data = _prepared(rows, names, neutral)
+    # on disk while the passes over it go on, as LogisticRegression holds what it reads in memory
+    data = _prepared(rows, names, neutral).select("target", "weight", "raw").persist(StorageLevel.DISK_ONLY)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(data)
     stats = data.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
     # MLlib's deviation divides by n - 1; the scale here divides by n
     scale = np.array(scaler.std) * np.sqrt((stats["n"] - 1) / max(stats["n"], 1))
     factor = 1.0 / (c * stats["w"])
     model = LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight", family="multinomial", regParam=factor, elasticNetParam=0.0, standardization=False, maxIter=300, tol=1e-8).fit(scaler.transform(data))
+    data.unpersist()
     coef, inter = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     shrink = np.where(np.array(scaler.std) > 0, scale / np.where(np.array(scaler.std) > 0, scaler.std, 1), 0)
     return FusionModel(
