@@ -55,6 +55,38 @@ def test_joint_fits_equal_separate_ones(spark, rows):
     assert apart(spark, rows, together[-1], training.fit_fusion(rows, NAMES, fits[-1].c, fits[-1].neutral)) < 2e-3
 
 
+def test_few_passes_where_features_nearly_say_the_same(spark, rows, monkeypatch):
+    names, taken, passes = ("x0", "x1", "both", "near", "flat"), [], joint._passes
+    alike = rows.withColumn("both", F.col("x0") + F.col("x1")).withColumn("near", F.col("x0") + F.col("x2") / 1000)
+    data = folds(alike, "post_id", 4).cache()
+    monkeypatch.setattr(joint, "_passes", lambda *a: taken.append(len(a[1])) or passes(*a))
+    fits = [joint.Fit(c, n, f) for c in (0.1, 1000.0) for n in (None, 0.8) for f in (0, 1, None)]
+    together = joint.fit_all(data, names, fits, 4)
+    assert len(taken) <= 25 and taken[0] == len(fits)
+    pdf = data.toPandas()
+    for f, model in zip(fits, together):
+        seen = pdf if f.without is None else pdf[pdf["fold"] != f.without]
+        x, y = seen[list(names)].to_numpy(), np.array([LABELS.index(v) for v in seen["label"]])
+        z = (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0), np.inf)
+        w = np.array([f.neutral if k == "neutral" else 1.0 for k in LABELS])[y] if f.neutral else (len(y) / (4 * np.bincount(y, minlength=4)))[y]
+        coef = np.array([[model.coefficients[k][n] for n in names] for k in LABELS])
+        p = joint._softmax(z @ coef.T + [model.intercepts[k] for k in LABELS])
+        p[np.arange(len(y)), y] -= 1
+        assert np.abs((p * w[:, None]).T @ z + coef / f.c).max() < 1e-5
+
+
+def test_a_class_without_rows_and_one_that_features_tell_apart(spark, rows, monkeypatch):
+    taken, passes = [], joint._passes
+    monkeypatch.setattr(joint, "_passes", lambda *a: taken.append(len(a[1])) or passes(*a))
+    data = folds(rows.where("label <> 'gender_bias'").withColumn("tells", (F.col("label") == "neutral").cast("double")), "post_id", 4)
+    models = joint.fit_all(data, (*NAMES, "tells"), [joint.Fit(100.0, n, f) for n in (None, 0.8) for f in (0, None)], 4)
+    assert len(taken) <= 60
+    for m in models:
+        got = training.posteriors(data, m).withColumn("pred", training.argmax_label()).toPandas()
+        assert got["p_gender_bias"].max() < 1e-3 or m is not models[1]
+        assert ((got["label"] == "neutral") == (got["pred"] == "neutral")).all() and np.isfinite(got[[f"p_{k}" for k in LABELS]].to_numpy()).all()
+
+
 def test_a_row_is_scored_by_a_model_that_has_not_seen_it(spark, rows):
     got = joint.cross_fit(rows, NAMES, "post_id", k=4)
     assert got.count() == rows.count() and got.groupBy("post_id").count().where("count > 1").isEmpty()
