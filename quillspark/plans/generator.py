@@ -18,6 +18,7 @@ from .corpus import valid_comparison
 LEADS = ("", "", "to be blunt, ", "small observation: ", "after ten years in teams, ", "maybe it is just me, but ", "unpopular view: ", "for the record, ")
 TAILS = (" that is all.", " make of it what you will.", " no offence meant.", " i keep noticing it.", " thoughts?")
 TAIL_PERCENT, X_PERCENT, MOST_TRIES = 35, 45, 40
+BLOCK = 1 << 14  # draws that one task makes at a time
 FILLERS = {
     "g": ("women", "men", "female colleagues", "male colleagues", "mothers", "fathers", "women in tech", "men in finance"),
     "n": ("immigrants", "locals", "foreign graduates", "domestic applicants", "visa holders", "people from abroad", "native speakers", "expats"),
@@ -67,13 +68,23 @@ def _of(words: tuple[str, ...], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), at + 1)
 
 
+def draws_of(buckets: DataFrame) -> DataFrame:
+    """(label, subtype, draw): the draws from 0 to tries - 1 of each bucket (label, subtype, tries). A bucket is cut into blocks, and the blocks
+    are dealt over the cores, as the few buckets lie in a single task."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1, F.lit(BLOCK).cast("long"))).alias("_first")
+    blocks = buckets.where("tries > 0").select("label", "subtype", "tries", first).repartition(4 * buckets.sparkSession.sparkContext.defaultParallelism)
+    return blocks.select("label", "subtype", F.explode(F.sequence("_first", F.least(F.col("_first") + BLOCK, "tries") - 1)).alias("draw"))
+
+
 def texts(draws: DataFrame, seed: int) -> DataFrame:
     """draws (label, subtype, draw) with text and style."""
     of = draws.sparkSession.createDataFrame([(label, kind, list(t)) for label, kinds in TEMPLATES.items() for kind, t in kinds.items()], "label string, subtype string, _of array<string>")
     out = draws.join(F.broadcast(of), ["label", "subtype"]).withColumn("_t", F.element_at("_of", picked(seed, "template", F.size("_of")) + 1))
     for name, words in FILLERS.items():
         for k in (1, 2):
-            out = out.withColumn("_t", F.replace("_t", F.lit(f"{{{name}{k}}}"), _of(words, picked(seed, f"{name}{k}", len(words)))))
+            slot = F.lit(f"{{{name}{k}}}")
+            # a template has few of the slots, and each costs a digest
+            out = out.withColumn("_t", F.when(F.contains("_t", slot), F.replace("_t", slot, _of(words, picked(seed, f"{name}{k}", len(words))))).otherwise(F.col("_t")))
     tail = F.when(picked(seed, "with_tail", 100) < TAIL_PERCENT, _of(TAILS, picked(seed, "tail", len(TAILS)))).otherwise("")
     text = F.trim(F.concat(_of(LEADS, picked(seed, "lead", len(LEADS))), "_t", tail))
     text = F.regexp_replace(text, r"([^.!?])$", "$1.")
@@ -84,8 +95,7 @@ def texts(draws: DataFrame, seed: int) -> DataFrame:
 
 def _drawn(quotas: DataFrame, seed: int) -> DataFrame:
     """The valid draws of quotas (label, subtype, tries), the first of each text."""
-    draws = quotas.where("tries > 0").select("label", "subtype", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1)).alias("draw"))
-    good = texts(draws, seed).where(valid_comparison(F.col("text"), SAME_SIDE))
+    good = texts(draws_of(quotas), seed).where(valid_comparison(F.col("text"), SAME_SIDE))
     best = good.groupBy("label", "subtype", F.lower("text").alias("_low")).agg(F.min(F.struct("draw", "text", "style")).alias("x"))
     return best.select("label", "subtype", "x.draw", "x.text", "x.style")
 

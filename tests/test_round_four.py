@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark import catalogue
 from quillspark.functions import explain
 from quillspark.labels import LABELS
-from quillspark.plans import training
+from quillspark.plans import generator, training
 from quillspark.sources import replies
 
 
@@ -74,3 +74,15 @@ def test_candidates_meet_whole_chunks(spark, monkeypatch):
     rows = spark.range(0, 60000, 1, 2).select(*[F.lit(0.25).alias(k) for k in sorted(LABELS)], (F.col("id") % 7).cast("int").alias("group"))
     assert training._added(rows, (2,), work).tolist() == [60000, sum(i % 7 for i in range(60000))]
     assert seen.value == 2
+
+
+def test_draws_of_a_bucket_are_dealt_over_the_tasks(spark):
+    n = generator.BLOCK
+    tries = {("neutral", "policy"): 3 * n + 1, ("neutral", "fairness"): n, ("gender_bias", "explicit"): 1, ("gender_bias", "coded"): 0}
+    buckets = spark.createDataFrame([(*b, m) for b, m in tries.items()], "label string, subtype string, tries long").coalesce(1)
+    got = generator.texts(generator.draws_of(buckets), 42).withColumn("task", F.spark_partition_id()).cache()
+    said = {(r["label"], r["subtype"]): tuple(r[2:]) for r in got.groupBy("label", "subtype").agg(F.count("*"), F.count_distinct("draw"), F.min("draw"), F.max("draw")).collect()}
+    assert said == {b: (m, m, 0, m - 1) for b, m in tries.items() if m}
+    assert got.select("task").distinct().count() >= 3 and got.where(F.contains("text", F.lit("{"))).isEmpty()
+    none = spark.createDataFrame([("neutral", "policy", 0)], "label string, subtype string, tries long")
+    assert generator.draws_of(none).isEmpty()
