@@ -20,10 +20,12 @@ def _sum(columns) -> Column:  # noqa: ANN001
 
 
 def temper(dist: Dist, temperature: float) -> Dist:
-    """p^(1/T), renormalised; T is 0.5 at least."""
+    """p^(1/T), renormalised; T is 0.5 at least. Where T is 1 and the sum is 1 but for rounding, shares stay as they are to the last bit."""
     power = 1.0 / max(temperature, 0.5)
     raised = {k: F.pow(F.greatest(F.lit(1e-9), p), F.lit(power)) for k, p in dist.items()}
     total = _sum(raised.values())
+    if power == 1:
+        total = F.when(F.abs(total - 1) < 1e-12, 1.0).otherwise(total)
     return {k: p / total for k, p in raised.items()}
 
 
