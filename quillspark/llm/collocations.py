@@ -1,7 +1,8 @@
 """Phrase collocation mining over weighted acyclic automata.
 
-1. Every task turns about `SHARD_BYTES` of text into sorted n-grams of 1 to 3 words with counts, cuts them at the borders of prefix
-   ranges and builds one automaton for each range (`count_automata`).
+0. A pass of counts by hash tells which n-grams may reach `least` (`likely_grams`); the others, which are nearly all, are left out from here on.
+1. Every task turns about `SHARD_BYTES` of text at a time into sorted n-grams of 1 to 3 words with counts, gathers up to `HELD_GRAMS` of
+   them, cuts them at the borders of prefix ranges and builds one automaton for each range (`count_automata`).
 2. The automata of a range are united and their weights added up. No part of a phrase is rarer than the phrase, so n-grams under
    `least` go for good from here on.
 3. Each range lists its candidates and sends the automaton of their parts to the ranges that own them, which compose it with their own:
@@ -9,7 +10,7 @@
 4. Scores, the weakest cut, candidates that a longer one covers and ranks are DataFrame operations over candidates.
 
 Borders come from the n-grams of about `SAMPLE_DOCS` documents. They decide only how evenly work is dealt: ranges may begin inside the n-grams
-of one word, so a frequent word is no hot key. A range stands for about `RANGE_BYTES` of text.
+of one word, so a frequent word is no hot key. A range stands for about `RANGE_BYTES` of text, not counting what the first pass ruled out.
 
 Defined cases: null text is empty; a null lang is `und`; pieces are never cut, so memory follows the longest piece of text between two
 separators; rows without id or with repeated ids all count (ids are not looked at); ties go to the phrase that is smaller in UTF-8
@@ -19,21 +20,24 @@ bytes; an empty table gives no rows; other columns are not looked at. Counts are
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_view, give_back, lowered, settle, sub_batches
-from .count_automata import Automaton, total_counts, unite, words_table
+from .common import binary_view, give_back, lowered, settle, sub_batches, word_hashes
+from .count_automata import Automaton, spread, total_counts, unite, united
+from .likely_grams import Likely, gram_hashes, likely
 
 SHARD_BYTES = 6 << 20
 RANGE_BYTES = 12 << 20
+HELD_GRAMS = 2 << 20
 SAMPLE_DOCS, MARKS, MAX_RANGES = 2000, 64, 1 << 17
 UNKNOWN = "und"
 
@@ -43,8 +47,8 @@ _GAP = _CUT.copy()
 _GAP[[0x20, 0x09]] = True
 
 
-def ngrams(raw: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
-    """(table of words, n-grams of 1 to 3 words in order, their counts, number of words) of lower-cased rows, end to end."""
+def words_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of lower-cased rows, end to end, and whether the next word is of the same piece (one less)."""
     ink = ~_GAP[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[bounds] = True
@@ -52,30 +56,44 @@ def ngrams(raw: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, n
     start[1:] &= ~ink[:-1] | edge[1:-1]
     end[:-1] &= ~ink[1:] | edge[1:-1]
     starts = np.flatnonzero(start)
+    piece = np.cumsum(_CUT[raw] | edge[:-1], dtype=np.int32)[starts]
+    return starts, np.flatnonzero(end) + 1, piece[1:] == piece[:-1]
+
+
+def ngrams(raw: np.ndarray, bounds: np.ndarray, may: Likely | None = None, lang: str = UNKNOWN) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
+    """(table of words, n-grams of 1 to 3 words in order, their counts, number of words) of lower-cased rows, end to end; without the n-grams
+    that `may` rules out."""
+    starts, ends, near = words_of(raw, bounds)
     n = len(starts)
     if not n:
         return pa.array([], pa.large_binary()), np.zeros((0, 3), np.int64), np.zeros(0, np.int64), 0
-    offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(end) + 1 - starts))).astype("<i8")
-    piece = np.cumsum(_CUT[raw] | edge[:-1], dtype=np.int32)[starts]
-    words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[ink])]).dictionary_encode()
+    one, two, three = np.ones(n, bool), near, near[1:] & near[:-1]
+    if may:
+        marks = gram_hashes(word_hashes(raw, starts, ends), lang)
+        one = may.holds(marks[0])
+        two = two & one[1:] & one[:-1]
+        two[two] = may.holds(marks[1][two])
+        three = three & two[1:] & two[:-1]
+        three[three] = may.holds(marks[2][three])
+        del marks
+    size = (ends - starts)[one]
+    offsets = np.concatenate(([0], np.cumsum(size))).astype("<i8")
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw[spread(starts[one], size)])]).dictionary_encode()
     order = pc.array_sort_indices(words.dictionary)
-    place = np.empty(len(order), np.int64)
-    place[order.to_numpy()] = np.arange(1, len(order) + 1)
-    w = place[words.indices.to_numpy()]
-    grams = np.zeros((n, 3), np.int64)
-    grams[:, 0] = w
-    for k in (1, 2):
-        grams[: n - k, k] = np.where(piece[k:] == piece[: n - k], w[k:], 0) if n > k else 0
-    size = len(order)
-    runs, counts = total_counts(grams, None, size)
+    number = np.empty(len(order), np.int64)
+    number[order.to_numpy()] = np.arange(1, len(order) + 1)
+    w = np.zeros(n, np.int64)
+    w[one] = number[words.indices.to_numpy()]
     every, totals = [], []
-    for k in (1, 2, 3):
-        some = runs[:, k - 1] > 0
-        head = np.where(np.arange(3) < k, runs[some], 0)
-        got = total_counts(head, counts[some], size) if k < 3 else (head, counts[some])
+    for k, some in enumerate((one, two, three), 1):
+        at = np.flatnonzero(some)
+        grams = np.zeros((len(at), 3), np.int64)
+        for i in range(k):
+            grams[:, i] = w[at + i]
+        got = total_counts(grams, None, len(order))
         every.append(got[0])
         totals.append(got[1])
-    keys, counts = total_counts(np.concatenate(every), np.concatenate(totals), size)
+    keys, counts = total_counts(np.concatenate(every), np.concatenate(totals), len(order))
     return words.dictionary.take(order), keys, counts, n
 
 
@@ -124,20 +142,22 @@ def _words(table: pa.Array, key: np.ndarray) -> tuple[bytes, ...]:
     return tuple(table[int(k) - 1].as_py() for k in key if k)
 
 
-def borders(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, range_bytes: int = RANGE_BYTES, max_ranges: int = MAX_RANGES) -> dict[str, list[tuple[bytes, ...]]]:
-    """For each language the n-grams at which prefix ranges begin, from a sample of about sample_docs of docs (text, lang)."""
+def borders(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, range_bytes: int = RANGE_BYTES, max_ranges: int = MAX_RANGES, may: Broadcast | None = None) -> dict[str, list[tuple[bytes, ...]]]:
+    """For each language the n-grams at which prefix ranges begin, from a sample of about sample_docs of docs (text, lang). Text counts as far as
+    its n-grams are not ruled out."""
     total = docs.count()
     rate = min(1.0, sample_docs / max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, raw, bounds in _by_lang(batches, SHARD_BYTES):
-            table, keys, _, _ = ngrams(raw, bounds)
+            table, keys, counts, n = ngrams(raw, bounds, may and may.value, lang)
+            size = len(raw) * counts.sum() / max(3 * n, 1)
             at = np.unique(np.linspace(0, len(keys) - 1, min(len(keys), MARKS)).astype(int)) if len(keys) else []
             for k in at:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([list(_words(table, keys[k]))], pa.list_(pa.binary())), pa.array([len(raw) / len(at)])], ["lang", "words", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([list(_words(table, keys[k]))], pa.list_(pa.binary())), pa.array([size / len(at)])], ["lang", "words", "bytes"])
 
     marks: dict[str, list] = defaultdict(list)
-    for r in docs.sample(rate, seed=11).mapInArrow(run, "lang string, words array<binary>, bytes double").toLocalIterator():
+    for r in docs.sample(rate, seed=11).mapInArrow(run, "lang string, words array<binary>, bytes double").collect():  # MARKS rows a sampled document at most
         marks[r["lang"]].append((tuple(map(bytes, r["words"])), r["bytes"] / rate))
     step = max(range_bytes, sum(x for m in marks.values() for _, x in m) / max_ranges)
     out = {}
@@ -169,30 +189,55 @@ def _place(table: list[bytes], keys: np.ndarray, words: tuple[bytes, ...]) -> in
     return lo
 
 
-def counted(docs: DataFrame, edges: dict[str, list[tuple[bytes, ...]]], least: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(lang, r, words, body): for each prefix range the automaton of its n-grams with counts of at least `least`."""
+FORM = "lang string, r long, words long, body binary"
+
+
+def pieces(docs: DataFrame, edges: dict[str, list[tuple[bytes, ...]]], shard_bytes: int = SHARD_BYTES, may: Broadcast | None = None, held_grams: int = HELD_GRAMS) -> DataFrame:
+    """(lang, r, words, body): what tasks send. Shards of a language meet in their task until it holds `held_grams`; then what the largest language
+    has is cut at the borders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, raw, bounds in _by_lang(batches, shard_bytes):
-            table, keys, counts, n = ngrams(raw, bounds)
-            if not n:
-                continue
+        held: dict[str, list] = defaultdict(list)
+        size, words = Counter(), Counter()
+
+        def give(lang: str) -> Iterator[pa.RecordBatch]:
+            table, keys, counts = united(held.pop(lang))
+            n = words.pop(lang)  # a shard's words count once
             names = table.to_pylist() if edges.get(lang) else []
             cuts = [0, *(_place(names, keys, w) for w in edges.get(lang, [])), len(keys)]
             for r, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if hi > lo:
+                if hi > lo or n:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([r]), pa.array([n]), pa.array([Automaton.build(table, keys[lo:hi], counts[lo:hi]).dump()], pa.binary())], ["lang", "r", "words", "body"])
-                    n = 0  # a shard's words count once
-            del table, keys, counts, names
+                    n = 0
+            del size[lang], table, keys, counts, names
+            give_back()
+
+        for lang, raw, bounds in _by_lang(batches, shard_bytes):
+            table, keys, counts, n = ngrams(raw, bounds, may and may.value, lang)
+            if not n:
+                continue
+            held[lang].append((table, keys.astype(np.int32), counts))
+            size[lang] += len(keys)
+            words[lang] += n
+            del table, keys, counts
             give_back()
+            while size.total() >= held_grams:
+                yield from give(max(held, key=size.__getitem__))
+        for lang in list(held):
+            yield from give(lang)
+
+    return docs.mapInArrow(run, FORM)
+
+
+def counted(docs: DataFrame, edges: dict[str, list[tuple[bytes, ...]]], least: int, shard_bytes: int = SHARD_BYTES, may: Broadcast | None = None, held_grams: int = HELD_GRAMS) -> DataFrame:
+    """(lang, r, words, body): for each prefix range the automaton of its n-grams with counts of at least `least`."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = unite(pdf["body"].tolist(), least).dump()
         give_back()
         return pd.DataFrame({"lang": [key[0]], "r": [key[1]], "words": [int(pdf["words"].sum())], "body": [out]})
 
-    form = "lang string, r long, words long, body binary"
-    return docs.mapInArrow(run, form).groupBy("lang", "r").applyInPandas(merge, form)
+    return pieces(docs, edges, shard_bytes, may, held_grams).groupBy("lang", "r").applyInPandas(merge, FORM)
 
 
 def _lists(table: pa.Array, keys: np.ndarray) -> pa.Array:
@@ -252,8 +297,10 @@ def part_counts(ranges: DataFrame, edges: dict[str, list[tuple[bytes, ...]]]) ->
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, cover_percent: int = 50, top: int = 2000, sample_docs: int = SAMPLE_DOCS, range_bytes: int = RANGE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    edges = borders(texts, sample_docs, range_bytes)
-    ranges = settle(counted(texts, edges, least, shard_bytes))
+    found = likely(texts, lambda batches: ((lang, raw, *words_of(raw, bounds)) for lang, raw, bounds in _by_lang(batches, shard_bytes)), least)
+    may = docs.sparkSession.sparkContext.broadcast(found) if found else None
+    edges = borders(texts, sample_docs, range_bytes, may=may)
+    ranges = settle(counted(texts, edges, least, shard_bytes, may))
     total = ranges.groupBy("lang").agg(F.sum("words").alias("n"))
     found = candidates(ranges).withColumn("phrase", F.array_join("words", " "))
     parts = settle(part_counts(ranges, edges))

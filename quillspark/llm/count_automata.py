@@ -216,6 +216,20 @@ class Automaton:
         return cls(words, [parts[1:5], parts[5:9], parts[9:13]])
 
 
+def united(own: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(table of words, distinct n-grams in order, counts added up) of several such; the list is emptied on the way."""
+    words = words_table(pa.chunked_array([w for w, _, _ in own], pa.large_binary()))
+    weights = np.concatenate([n for _, _, n in own]) if own else np.zeros(0, np.int64)
+    keys = np.zeros((len(weights), 3), np.int64)
+    at = 0
+    for k, (w, mine, _) in enumerate(own):
+        number = np.concatenate(([0], pc.index_in(w, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64) + 1))
+        keys[at : at + len(mine)] = number[mine]
+        at += len(mine)
+        own[k] = ()
+    return words, *total_counts(keys, weights, len(words))
+
+
 def unite(bodies: list[bytes], least: int = 1) -> Automaton:
     """All n-grams of several dumped automata with their counts added up; those of a smaller count than `least` are left out.
 
@@ -227,15 +241,6 @@ def unite(bodies: list[bytes], least: int = 1) -> Automaton:
         keys, counts = a.paths()
         own.append((a.words, keys.astype(np.int32), counts))
         del a, keys
-    words = words_table(pa.chunked_array([w for w, _, _ in own], pa.large_binary()))
-    weights = np.concatenate([n for _, _, n in own]) if own else np.zeros(0, np.int64)
-    keys = np.zeros((len(weights), 3), np.int64)
-    at = 0
-    for k, (w, mine, _) in enumerate(own):
-        number = np.concatenate(([0], pc.index_in(w, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64) + 1))
-        keys[at : at + len(mine)] = number[mine]
-        at += len(mine)
-        own[k] = ()
-    keys, totals = total_counts(keys, weights, len(words))
+    words, keys, totals = united(own)
     keep = totals >= least
     return Automaton.build(words, keys[keep], totals[keep])
