@@ -1,6 +1,6 @@
 """Phrase collocation mining over weighted acyclic automata.
 
-0. A pass of counts by hash tells which n-grams may reach `least` (`likely_grams`); the others, which are nearly all, are left out from here on.
+0. A pass of counts by hash tells which n-grams may reach `least` (`likely_grams`); the others are left out from here on.
 1. Every task turns about `SHARD_BYTES` of text at a time into sorted n-grams of 1 to 3 words with counts, gathers up to `HELD_GRAMS` of
    them, cuts them at the borders of prefix ranges and builds one automaton for each range (`count_automata`).
 2. The automata of a range are united and their weights added up. No part of a phrase is rarer than the phrase, so n-grams under
